@@ -1,11 +1,58 @@
-"""Corpus pipeline; its stages follow."""
+"""Corpus pipeline: quality, toxicity, near-duplicates, mixing to target weights, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that is
+written as Parquet and read again as the next stage's docs. All but the last return the columns of documents. Labels are
+read from sf_dir. Near-duplicates are those of the operator's contract (three-word shingles, at most two bits apart); of a
+group the document of the smallest id stays.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from tidemark.llm import mixing, packing, quality, simhash, toxicity
+from tidemark.llm.common import table
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicate(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.op9(docs)
+
+
+STAGES = [("quality", drop_poor), ("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("packing", pack)]
+#: The classifiers and the random rounding have no SQL counterpart; tests/llm holds each stage against its operator.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Stages hand on Parquet in the shared folder that spark.checkpoint.dir names; where it is
+    unset (tests), checkpoints of Spark's own temporary folder do."""
+    docs = table(spark, sf_dir, "documents")
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    for name, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-    return docs
+        if shared:
+            path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+            docs.write.parquet(path)
+            docs = spark.read.parquet(path)
+        else:
+            from tidemark.llm.common import cut
+
+            docs = cut(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

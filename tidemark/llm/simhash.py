@@ -24,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, bound_batches, cut
@@ -277,3 +277,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
 def op4(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"))
+
+
+def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each component, with the smallest key (nulls last)."""
+    narrow = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    rows = cut(fingerprints(narrow, text="_text", width=width).select("_key", "_hash", "fp"))
+    first = F.min(F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash")).alias("first")
+    distinct = cut(rows.groupBy("fp").agg(first))
+    labels = components(links(distinct, radius=radius))
+    labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("first", F.coalesce("label", "fp").alias("label"))
+    stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first._key", "first._hash")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(*own, F.xxhash64(text).alias("_h"))
+    kept = marked.join(stays, marked[key].eqNullSafe(stays["_key"]) & (marked["_h"] == stays["_hash"]), "left_semi")
+    if rows.groupBy("_key", "_hash").count().where("count > 1").limit(1).count():  # repeated rows: one of them
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_h").orderBy("_h"))).where("_n = 1")
+    return kept.select(*own)
