@@ -40,17 +40,24 @@ def render_turn(role: F.Column, text: F.Column, level: int) -> F.Column:
     return F.concat(F.lit(OPEN), escape(role, level), F.lit(SEP), escape(text, level), F.lit(CLOSE + END))
 
 
+def let(value: F.Column, body) -> F.Column:
+    """body(value), with value computed once and not once for each use."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse(rendered: F.Column) -> F.Column:
     """array<struct<role, text>> of a rendered string; null if the grammar rejects it."""
-    tokens = F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), F.lit(1))
-    pieces = F.split(rendered, CONTROL, -1)
-    n = F.floor(F.size(tokens) / 4).cast("int")
-    grammar = F.flatten(F.array_repeat(F.array(*[F.lit(x) for x in (OPEN, SEP, CLOSE, END)]), n))
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    between = F.forall(at, lambda i: (F.get(pieces, i * 4) == "") & (F.get(pieces, i * 4 + 3) == ""))
-    ok = (tokens == grammar) & between & (F.get(pieces, n * 4) == "")
-    turns = F.transform(at, lambda i: F.struct(unescape(F.get(pieces, i * 4 + 1)).alias("role"), unescape(F.get(pieces, i * 4 + 2)).alias("text")))
-    return F.when(ok, turns)
+
+    def body(v: F.Column) -> F.Column:
+        tokens, pieces = v["tokens"], v["pieces"]
+        n = F.floor(F.size(tokens) / 4).cast("int")
+        at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        grammar = F.flatten(F.array_repeat(F.array(*[F.lit(x) for x in (OPEN, SEP, CLOSE, END)]), n))
+        between = F.forall(at, lambda i: (F.get(pieces, i * 4) == "") & (F.get(pieces, i * 4 + 3) == ""))
+        ok = (tokens == grammar) & between & (F.get(pieces, n * 4) == "")
+        return F.when(ok, F.transform(at, lambda i: F.struct(unescape(F.get(pieces, i * 4 + 1)).alias("role"), unescape(F.get(pieces, i * 4 + 2)).alias("text"))))
+
+    return let(F.struct(F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), F.lit(1)).alias("tokens"), F.split(rendered, CONTROL, -1).alias("pieces")), body)
 
 
 def _same(parsed: F.Column, turns: F.Column) -> F.Column:
