@@ -2,8 +2,8 @@
 
 Fit, on the driver, from at most FIT_ROWS vectors (smallest hash of the id): a graph of nearest neighbours is cut into
 balanced parts (recursive bisection, then moves to the part of most neighbours under a capacity), and a softmax classifier
-learns the parts that a vector's neighbours lie in. The number of parts a query is sent to is the least that finds RECALL
-of the sample's own neighbours.
+learns the parts that a vector's neighbours lie in. A fifth of the sample is kept from it; the number of parts a query is
+sent to is the least that finds RECALL of those rows' neighbours in the whole sample.
 
 Search: every vector goes to its most probable part, every query to its most probable parts. A part of more than BLOCK
 vectors is dealt into blocks, so a hot part is searched by many tasks; a task holds one block and streams queries past it.
@@ -24,9 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, cut
 
-#: Vectors the index is fitted on at most, mean vectors of a part, parts at most, neighbours in the graph, vectors of a
-#: block, recall that the number of parts searched is fitted to.
-FIT_ROWS, PART, PARTS, DEGREE, BLOCK, RECALL = 6000, 1500, 64, 10, 4096, 0.97
+#: Vectors the index is fitted on at most, parts at most, neighbours in the graph, vectors of a block, queries scored at
+#: once, recall that the number of parts searched is fitted to.
+FIT_ROWS, PARTS, DEGREE, BLOCK, ASKED, RECALL = 6000, 64, 10, 16384, 128, 0.97
+
+
+def parts_of(n: int) -> int:
+    """Parts grow as the root of the vectors, so that neither a part nor a query's candidates from all parts do faster."""
+    return min(PARTS, round(n**0.5 / 16))
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -119,21 +124,21 @@ def fit(x: np.ndarray, parts: int, k: int, *, recall: float = RECALL) -> Router
     if parts < 2:
         return None
     x = x.astype(np.float64)
-    graph = neighbour_graph(x, min(max(DEGREE, k), len(x) - 1))
-    label = balanced_parts(x, graph[:, :DEGREE], parts)
-    target = np.zeros((len(x), parts))
-    np.add.at(target, (np.repeat(np.arange(len(x)), DEGREE), label[graph[:, :DEGREE]].ravel()), 1.0 / (DEGREE + 1))
-    target[np.arange(len(x)), label] += 1.0 / (DEGREE + 1)
-    router = Router(x, target)
+    held = np.arange(len(x)) % 5 == 0  # the sample comes in order of a hash
+    learn = x[~held]
+    graph = neighbour_graph(learn, min(DEGREE, len(learn) - 1))
+    label = balanced_parts(learn, graph, parts)
+    target = np.zeros((len(learn), parts))
+    np.add.at(target, (np.repeat(np.arange(len(learn)), graph.shape[1]), label[graph].ravel()), 1.0 / (graph.shape[1] + 1))
+    target[np.arange(len(learn)), label] += 1.0 / (graph.shape[1] + 1)
+    router = Router(learn, target)
+    # rows that the router has not seen ask for their neighbours among all
     order = router.order(x)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(parts)[None, :].repeat(len(x), 0), 1)
-    lies = order[:, 0]  # where the index puts each vector
-    found = np.take_along_axis(place, lies[graph[:, :k]], 1)
-    for n in range(1, parts + 1):
-        if (found < n).mean() >= recall:
-            router.probes = n
-            break
+    near = neighbour_graph(x, min(k, len(x) - 1))[held]
+    found = np.take_along_axis(place[held], order[:, 0][near], 1)
+    router.probes = next((n for n in range(1, parts + 1) if (found < n).mean() >= recall), parts)
     return router
 
 
@@ -175,7 +180,7 @@ def best_of(queries: np.ndarray, ids: np.ndarray, have: np.ndarray, have_ids: np
         yield q, have_ids[near[order]], exact[order]
 
 
-def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, fit_rows: int = FIT_ROWS, part: int = PART) -> DataFrame:
+def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, fit_rows: int = FIT_ROWS, parts: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of df where query holds (a condition on the column id)."""
     spark = df.sparkSession
     bound_batches(spark)
@@ -185,7 +190,7 @@ def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str =
     total = lengths["count"] if lengths else 0
     sample = rows.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(fit_rows).select("v").toArrow()
     x = np.array(sample.column("v").combine_chunks().flatten()).reshape(sample.num_rows, -1) if sample.num_rows else np.zeros((0, 1))
-    router = fit(x, min(PARTS, total // part), k)
+    router = fit(x, parts or parts_of(total), k)
     index = cut(_placed(rows, router, None))
     # a row for each part, and parts are bounded
     sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -193,8 +198,8 @@ def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str =
     held = index.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("part", "block", F.lit(0).alias("asks"), "id", "v")
     asked = _placed(rows.where(query), router, router.probes if router else None).join(sizes, "part")
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", F.lit(1).alias("asks"), "id", "v")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = held.unionByName(asked).repartition(parts, "part", "block").sortWithinPartitions("part", "block", "asks")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = held.unionByName(asked).repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "asks")
 
     def run(batches):
         key_, have, have_ids = None, [], []
@@ -213,9 +218,11 @@ def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str =
                     have_ids.append(ids[s:e])
                 elif have:
                     have, have_ids = [np.concatenate(have)], [np.concatenate(have_ids)]
-                    made = list(best_of(v[s:e], ids[s:e], have[0], have_ids[0], k))
-                    n = [len(m[1]) for m in made]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[s:e], n)), pa.array(np.concatenate([m[1] for m in made])), pa.array(np.concatenate([m[2] for m in made]))], names=["query_id", "vec_id", "score"])
+                    for q in range(s, e, ASKED):
+                        asked_ids = ids[q : min(e, q + ASKED)]
+                        made = list(best_of(v[q : q + len(asked_ids)], asked_ids, have[0], have_ids[0], k))
+                        n = [len(m[1]) for m in made]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked_ids, n)), pa.array(np.concatenate([m[1] for m in made])), pa.array(np.concatenate([m[2] for m in made]))], names=["query_id", "vec_id", "score"])
 
     near = ordered.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
