@@ -71,6 +71,19 @@ def arrow_map(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def text_values(spark: SparkSession, setup: Callable[[], Callable[[list], pa.Array]], kind: str) -> Callable[..., F.Column]:
+    """A column function of texts. Only texts go to Python and only the values come back; all other columns wait in the JVM.
+    setup() runs once a task and gives the kernel, which maps a list of texts to an array."""
+    bound_batches(spark)
+
+    def values(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kernel = setup()
+        for batch in batches:
+            yield kernel(batch.to_pylist())
+
+    return F.arrow_udf(values, kind)
+
+
 def held_out(doc_id) -> F.Column:
     """True for rows that no label may be learned from: crc32 of the id as text (null: empty) is 0 mod 5."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

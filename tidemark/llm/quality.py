@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import arrow_map, cut, held_out
+from .common import arrow_map, cut, held_out, text_values
 
 #: Labelled rows the classifier is fitted on at most; score from which a document is kept.
 FIT_ROWS, KEEP = 20_000, 0.3
@@ -118,8 +118,11 @@ def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = KEEP) -> Data
     chosen = F.broadcast(fit_rows(labels, "quality"))
     sample = cut(with_statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")).select("doc_id", "stats"))
     model = fit(sample, labels)
-    judged = scored(with_statistics(docs, name="_stats"), model, name="_stats", out="_score")
-    return judged.where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+    def setup():
+        return lambda texts: pa.array(model.score(np.stack([statistics(t) for t in texts]).astype(np.float32).astype(np.float64)) if texts else [], pa.float64())
+
+    return docs.where(text_values(docs.sparkSession, setup, "double")(F.col("text")) >= threshold)
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut, held_out
+from .common import arrow_map, bound_batches, cut, held_out, text_values
 from .quality import FIT_ROWS, fit_rows
 
 #: Score from which a document is toxic; E below which a segment is a passage; candidates at most (a size of the model).
@@ -100,6 +100,14 @@ class Lexicon:
     def statistic(self, best, n):
         return best - np.log(self.k * np.maximum(n, 1))
 
+    def probability(self, statistic: float) -> float:
+        return 1 / (1 + math.exp(-(self.a + self.b * max(-50.0, min(50.0, float(statistic))))))
+
+
+def best_segment(memory: dict[bytes, float], own: list[bytes]) -> tuple[float, int]:
+    """Score of the best segment (0: none) and number of words."""
+    return max((x[2] for x in segments(np.array([memory[w] for w in own]))), default=0.0) if own else 0.0, len(own)
+
 
 def _count(df: DataFrame, only: frozenset[bytes] | None, label: str | None) -> DataFrame:
     """(token binary, docs long, toxic long): in how many documents tokens (those of only, if given) stand."""
@@ -136,8 +144,8 @@ def _count(df: DataFrame, only: frozenset[bytes] | None, label: str | None) -> D
     return counts.groupBy("token").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
 
 
-def _scan(df: DataFrame, model: Lexicon, adds: bool) -> DataFrame:
-    """df with best double, n_words long and, if adds, passages."""
+def _scan(df: DataFrame, model: Lexicon) -> DataFrame:
+    """df with best double, n_words long and passages."""
 
     def setup():
         memory = model.memory()
@@ -151,12 +159,11 @@ def _scan(df: DataFrame, model: Lexicon, adds: bool) -> DataFrame:
                 best.append(max((x[2] for x in found), default=0.0))
                 sizes.append(len(own))
                 passages.append([{"start_word": s, "end_word": e, "score": x, "e_value": math.exp(min(50.0, -float(model.statistic(x, len(own)))))} for s, e, x in found if model.statistic(x, len(own)) > -math.log(PASSAGE_E)])
-            made = {"best": pa.array(best, pa.float64()), "n_words": pa.array(sizes, pa.int64())}
-            return made | ({"passages": pa.array(passages, _PASSAGES)} if adds else {})
+            return {"best": pa.array(best, pa.float64()), "n_words": pa.array(sizes, pa.int64()), "passages": pa.array(passages, _PASSAGES)}
 
         return kernel
 
-    return arrow_map(df, setup, "best double, n_words long" + (", passages array<struct<start_word:int,end_word:int,score:double,e_value:double>>" if adds else ""))
+    return arrow_map(df, setup, "best double, n_words long, passages array<struct<start_word:int,end_word:int,score:double,e_value:double>>")
 
 
 _PASSAGES = pa.list_(pa.struct([("start_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
@@ -200,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most: int =
                 in_toxic, in_clean = in_toxic + t, in_clean + c
     rest_t, rest_c = 1 - in_toxic / (n_toxic + PRIOR), 1 - in_clean / (n_clean + PRIOR)
     model = Lexicon(odds, -max(1e-3, math.log(rest_c / rest_t) if rest_t > 0 else 1.0))
-    found = _scan(sample, model, False).select("y", "best", "n_words").toArrow()
+    found = _scan(sample, model).select("y", "best", "n_words").toArrow()
     y, best, n = (found.column(c).to_numpy().astype(float) for c in ("y", "best", "n_words"))
     clean = y == 0
     if clean.any():
@@ -221,16 +228,24 @@ def score(model: Lexicon) -> F.Column:
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = TOXIC) -> DataFrame:
     """doc_id, held_out, score, predicted, passages array<struct<start_word, end_word, score, e_value>>: a row a document."""
     model = fit(docs.select("doc_id", "text"), labels)
-    out = _scan(docs.select("doc_id", "text"), model, True).withColumn("_score", score(model))
+    out = _scan(docs.select("doc_id", "text"), model).withColumn("_score", score(model))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
 def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = TOXIC) -> DataFrame:
     """The rows of docs, all columns, that are not toxic."""
     model = fit(docs.select("doc_id", "text"), labels)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    judged = _scan(docs.select(F.struct(*own).alias("_row"), "text"), model, False)
-    return judged.where(score(model) < threshold).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+    def setup():
+        memory = model.memory()
+
+        def kernel(texts):
+            t = [model.statistic(*best_segment(memory, words(x))) for x in texts]
+            return pa.array([model.probability(x) for x in t], pa.float64())
+
+        return kernel
+
+    return docs.where(text_values(docs.sparkSession, setup, "double")(F.col("text")) < threshold)
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
