@@ -122,15 +122,15 @@ def _with_extra(out: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, seed: int = 3) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it (0 to MOST times); docs has doc_id, source and text."""
-    parts = copies(docs, seed=seed).groupBy("doc_id", "source", "text_hash").agg(F.array_sort(F.collect_list(F.struct("occurrence", "copies"))).alias("_copies"))
-    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "text_hash")], "_copies")
+    """docs with each row repeated as often as the mix takes it (0 to MOST times); docs has doc_id, source and text. One
+    struct is the key of both the numbering of equal rows and the join, so documents are shuffled once."""
+    taken = copies(docs, seed=seed).select(F.struct("doc_id", "source", "text_hash").alias("_key"), "occurrence", "copies")
+    taken = taken.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("occurrence", "copies"))).alias("_copies"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, F.xxhash64("text").alias("_hash"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_hash").orderBy(F.lit(0))))
-    match = rows["doc_id"].eqNullSafe(parts["_doc_id"]) & rows["source"].eqNullSafe(parts["_source"]) & (rows["_hash"] == parts["_text_hash"])
+    rows = docs.select(*names, F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("_key"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
     times = F.get(F.col("_copies"), F.col("_n") - 1)["copies"]
-    return rows.join(parts, match).withColumn("_times", times).where("_times > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_k")).drop("_k")
+    return rows.join(taken, "_key").withColumn("_times", times).where("_times > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_k")).drop("_k")
 
 
 def op3(docs: DataFrame) -> DataFrame:
