@@ -32,7 +32,7 @@ from .common import arrow_map, bound_batches, cut
 SEED, RADIUS, SHINGLE = 42, 2, 3
 #: Fingerprints the partition tree is built from at most; mean fingerprints of a leaf; most of a block; most that visit at
 #: once; fingerprints of a local leaf that are compared one by one; words hashed at once.
-SAMPLE, LEAF, BLOCK, CHUNK, LOCAL, WORDS = 8192, 4096, 8192, 4096, 256, 1 << 18
+SAMPLE, LEAF, BLOCK, CHUNK, LOCAL, WORDS = 65536, 4096, 8192, 4096, 256, 1 << 18
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------

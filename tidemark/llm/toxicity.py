@@ -4,7 +4,8 @@ Fit. At most FIT_ROWS labelled documents that are not held out (smallest hash of
 toxic and clean texts; a token is a word or its first 4, 5 or 6 bytes (marked with a star). Tokens of at least MIN_TOXIC
 toxic documents are candidates. Their document counts over all documents are the Dirichlet prior of a log-odds ratio with
 its standard error; tokens of a clear and significant excess form the lexicon. The score of a word is the largest
-log-odds ratio of its tokens in the lexicon, or of all other tokens together, which is just below zero.
+log-odds ratio of its tokens in the lexicon where the word first stands in a text, or else that of all other tokens
+together, which is just below zero.
 
 Scan. All maximal scoring segments of a whole text are found in linear time. A segment of score S in a text of n words has
 E = K n exp(-S) (scores are natural log-odds, so lambda is 1); K comes from the largest segments of clean fitted
@@ -32,7 +33,7 @@ from .quality import FIT_ROWS, fit_rows
 #: Score from which a document is toxic; E below which a segment is a passage; candidates at most (a size of the model).
 TOXIC, PASSAGE_E, CANDIDATES = 0.5, 0.01, 65_536
 #: Least toxic documents of a token, log-odds, standard errors, weight of the prior in documents' tokens, lengths of prefixes.
-MIN_TOXIC, MIN_ODDS, MIN_Z, PRIOR, PREFIXES = 3, 2.0, 3.0, 20_000.0, (4, 5, 6)
+MIN_TOXIC, MIN_ODDS, MIN_Z, PRIOR, PREFIXES = 3, 4.0, 3.0, 20_000.0, (4, 5, 6)
 #: Entries after which a task passes its counts on or forgets remembered words.
 FLUSH = 200_000
 
@@ -104,9 +105,21 @@ class Lexicon:
         return 1 / (1 + math.exp(-(self.a + self.b * max(-50.0, min(50.0, float(statistic))))))
 
 
-def best_segment(memory: dict[bytes, float], own: list[bytes]) -> tuple[float, int]:
+def word_scores(model: Lexicon, memory: dict[bytes, float], own: list[bytes]) -> np.ndarray:
+    """Score of each word. The model is of words being there or not, so a word of the lexicon counts where it first stands
+    and later like any other."""
+    scores = np.array([memory[w] for w in own])
+    seen: set[bytes] = set()
+    for i in np.flatnonzero(scores > 0).tolist():
+        if own[i] in seen:
+            scores[i] = model.other
+        seen.add(own[i])
+    return scores
+
+
+def best_segment(model: Lexicon, memory: dict[bytes, float], own: list[bytes]) -> tuple[float, int]:
     """Score of the best segment (0: none) and number of words."""
-    return max((x[2] for x in segments(np.array([memory[w] for w in own]))), default=0.0) if own else 0.0, len(own)
+    return max((x[2] for x in segments(word_scores(model, memory, own))), default=0.0) if own else 0.0, len(own)
 
 
 def _count(df: DataFrame, only: frozenset[bytes] | None, label: str | None) -> DataFrame:
@@ -114,7 +127,7 @@ def _count(df: DataFrame, only: frozenset[bytes] | None, label: str | None) -> D
     bound_batches(df.sparkSession)
 
     def run(batches):
-        seen, toxic, n, n_toxic = Counter(), Counter(), [0, 0], [0, 0]
+        seen, toxic = Counter(), Counter()
 
         def emit():
             keys = list(seen)
@@ -154,8 +167,7 @@ def _scan(df: DataFrame, model: Lexicon) -> DataFrame:
             best, sizes, passages = [], [], []
             for text in batch.column("text").to_pylist():
                 own = words(text)
-                scores = np.array([memory[w] for w in own])
-                found = segments(scores) if len(own) else []
+                found = segments(word_scores(model, memory, own)) if own else []
                 best.append(max((x[2] for x in found), default=0.0))
                 sizes.append(len(own))
                 passages.append([{"start_word": s, "end_word": e, "score": x, "e_value": math.exp(min(50.0, -float(model.statistic(x, len(own)))))} for s, e, x in found if model.statistic(x, len(own)) > -math.log(PASSAGE_E)])
@@ -186,7 +198,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most: int = FIT_ROWS) -> Lexicon:
     chosen = F.broadcast(fit_rows(labels, label, most).select(F.col("doc_id").alias("_id"), F.col("label").alias("_y")))
-    sample = cut(docs.join(chosen, F.col("doc_id") == F.col("_id")).select("text", F.col("_y").cast("int").alias("y")))
+    # copies of one text are one observation
+    sample = cut(docs.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("text").agg(F.max("_y").cast("int").alias("y")))
     counted = _count(sample, None, "y").where(f"toxic >= {MIN_TOXIC}").withColumn("clean", F.col("docs") - F.col("toxic"))
     rows = counted.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), F.desc("toxic"), "token").limit(CANDIDATES + 1).toArrow().to_pylist()
     total = next((r for r in rows if bytes(r["token"]) == b" "), None) or next(iter(_count(sample, frozenset(), "y").withColumn("clean", F.col("docs") - F.col("toxic")).where("docs > 0").toArrow().to_pylist()), {"toxic": 0, "clean": 0})
@@ -240,7 +253,7 @@ def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = TOXIC) -> Dat
         memory = model.memory()
 
         def kernel(texts):
-            t = [model.statistic(*best_segment(memory, words(x))) for x in texts]
+            t = [model.statistic(*best_segment(model, memory, words(x))) for x in texts]
             return pa.array([model.probability(x) for x in t], pa.float64())
 
         return kernel
