@@ -62,6 +62,39 @@ def exact_day(bars: DataFrame, other: DataFrame, take: list[str], *, prefix: str
     return bars.join(o, (bars["symbol"] == o["_s"]) & (bars["timestamp"].cast("date") == o["_d"]), "left").drop("_s", "_d")
 
 
+def join_context(bars: DataFrame, context: DataFrame, *, on: list[str] = ("timestamp",)) -> DataFrame:
+    """Bars with the context columns (market_, sector_, multitf_) of their time; context has one row a key."""
+    take = [c for c in context.columns if c.startswith(("market_", "sector_", "multitf_"))]
+    return bars.join(context.select(*on, *take), list(on), "left")
+
+
+def suspended(bars: DataFrame, events: DataFrame | None, covered: DataFrame | None = None) -> DataFrame:
+    """Bars with is_suspended: true on an event's day, false where the source covers the day, null where it does not.
+    covered: (timestamp) days the source has; None with events: all days."""
+    if events is None:
+        return bars.withColumn("is_suspended", F.lit(None).cast("boolean"))
+    e = events.select(F.col("symbol").alias("_s"), F.col("timestamp").cast("date").alias("_d"), F.lit(True).alias("_hit")).distinct()
+    out = bars.join(e, (bars["symbol"] == e["_s"]) & (bars["timestamp"].cast("date") == e["_d"]), "left").drop("_s", "_d")
+    if covered is None:
+        known = F.lit(True)
+    else:
+        c = covered.select(F.col("timestamp").cast("date").alias("_c"), F.lit(True).alias("_known")).distinct()
+        out = out.join(c, out["timestamp"].cast("date") == c["_c"], "left").drop("_c")
+        known = F.col("_known")
+    return out.withColumn("is_suspended", F.coalesce("_hit", F.when(known, F.lit(False)))).drop("_hit", "_known")
+
+
+def overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of left (symbol, start, end) that overlap any row of right of their symbol: right's ends run as a maximum over
+    starts, so rows are not paired. An overlap is a right row that starts by left's end and ends from its start on."""
+    keep = left.columns
+    l = left.select(*keep, F.col("end").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema["end"].dataType).alias("_e"))
+    r = right.select("symbol", F.col("start").alias("_t"), F.lit(0).alias("_side"), F.col("end").alias("_e"))
+    w = Window.partitionBy("symbol").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("_last", F.max("_e").over(w))
+    return both.where("_side = 1 AND _last >= start").select(*keep)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().where("count > 1")
 

@@ -88,6 +88,11 @@ def per_class(df: DataFrame, labels: list[str]) -> DataFrame:
     return out.select("label", "precision", "recall", f1.alias("f1"), "weighted_support")
 
 
+def macro_metrics(df: DataFrame, labels: list[str]) -> DataFrame:
+    """One row: macro_f1, and balanced_accuracy over labels that occur."""
+    return per_class(df, labels).agg(F.avg("f1").alias("macro_f1"), F.avg(F.when(F.col("weighted_support") > 0, F.col("recall"))).alias("balanced_accuracy"))
+
+
 def aps_scores(df: DataFrame, labels: list[str]) -> DataFrame:
     """df with aps_score: the probability of all labels at least as probable as the truth (null for other truths)."""
     ps = F.array(*[F.col(f"prob_{x}") for x in labels])

@@ -289,6 +289,27 @@ def align_labels(overlap: list[tuple[str, str, float]]) -> dict[str, str]:
     return {right[j]: left[i] for i, j in enumerate(K.assign(-square)) if i < len(left) and j < len(right)}
 
 
+def remap(df: DataFrame, names: dict[str, str], prefix: str = "prob_") -> DataFrame:
+    """df with probability columns renamed by a label map (from align_labels)."""
+    return df.withColumnsRenamed({f"{prefix}{a}": f"{prefix}{b}" for a, b in names.items() if f"{prefix}{a}" in df.columns})
+
+
+def training_digest(sample: DataFrame) -> str:
+    """SHA-256 of the ids of a fit's bounded sample, in order."""
+    return sample.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.col("segment_id").cast("string"))), "\n"), 256)).first()[0]
+
+
+def silhouette(df: DataFrame, features: list[str], label: str = "candidate_label") -> float:
+    """Mean silhouette of labelled rows on standardised features (squared Euclidean, MLlib's linear-time form)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+
+    rows = df.where((F.col(label) != L.UNKNOWN) & F.col(label).isNotNull()).select(label, *[F.col(f).cast("double") for f in features]).dropna()
+    steps = [StringIndexer(inputCol=label, outputCol="_y"), VectorAssembler(inputCols=features, outputCol="_x"), StandardScaler(withMean=True, inputCol="_x", outputCol="_z")]
+    return ClusteringEvaluator(featuresCol="_z", predictionCol="_y").evaluate(Pipeline(stages=steps).fit(rows).transform(rows))
+
+
 def tree_rules(df: DataFrame, features: list[str], label: str = "label") -> str:
     """Text of a shallow balanced tree that tells known labels apart."""
     from pyspark.ml import Pipeline

@@ -132,6 +132,36 @@ def merge_runs(segments: DataFrame, *, merge_unknown: bool = False) -> DataFrame
     }).drop("_run")
 
 
+def version_transitions(df: DataFrame, by: str = "model_version", label: str = "label") -> DataFrame:
+    """(by, from_label, to_label, n) of adjacent segments of one symbol and version, on a dense grid of a version's labels."""
+    w = Window.partitionBy(by, "symbol").orderBy("start_idx", "end_idx")
+    steps = df.withColumn("_next", F.lead(F.struct(label, "start_idx")).over(w)).where("_next IS NOT NULL AND _next.start_idx <= end_idx + 1")
+    steps = steps.groupBy(by, F.col(label).alias("from_label"), F.col(f"_next.{label}").alias("to_label")).agg(F.count(F.lit(1)).alias("n"))
+    names = df.select(by, F.col(label).alias("from_label")).distinct()  # a row a version and label
+    grid = names.join(names.withColumnRenamed("from_label", "to_label"), by)
+    return grid.join(steps, [by, "from_label", "to_label"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def weighted_summary(df: DataFrame, values: list[str], weight: str, by: list[str] = ()) -> DataFrame:
+    """Weighted means of values by slice, with rows and weight."""
+    w = F.col(weight).cast("double")
+    mean = lambda v: F.sum(F.when(F.col(v).isNotNull(), w * F.col(v))) / F.nullif(F.sum(F.when(F.col(v).isNotNull(), w)), F.lit(0.0))
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sum(w).alias("weight"), *[mean(v).alias(v) for v in values])
+
+
+def duration_sensitivity(segments: DataFrame, shortest: tuple = (2, 3), by: str = "model_version") -> DataFrame:
+    """(by, shortest, rows, changed, self_transition_rate) of explicit-duration decoding at several least runs."""
+    out = None
+    for n in shortest:
+        d = decode_durations(segments, shortest=n)
+        w = Window.partitionBy(by, "symbol").orderBy("start_idx", "end_idx")
+        d = d.withColumn("_p", F.lag("hsmm_label").over(w))
+        known = (F.col("hsmm_label") != UNKNOWN) & (F.col("_p") != UNKNOWN)
+        row = d.groupBy(by).agg(F.lit(n).alias("shortest"), F.count(F.lit(1)).alias("rows"), F.avg(F.col("hsmm_changed").cast("double")).alias("changed"), F.avg(F.when(known, (F.col("hsmm_label") == F.col("_p")).cast("double"))).alias("self_transition_rate"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def transitions(segments: DataFrame, *, drop_unknown: bool = False, label: str = "label") -> DataFrame:
     """(from_label, to_label, n, probability), dense over all labels; rows without a transition have probability 0."""
     if drop_unknown:

@@ -291,3 +291,35 @@ SELECT symbol, CAST(idx AS INT) AS idx, round(max(shift), 4) AS score FROM x GRO
 )
 def structure_scores(spark, d):
     return rounded(indicators.structure_scores(load(spark, d, "f1_event_bars")).where("score > 0"), 4)
+
+
+@query(
+    "exact_day_metadata",
+    oracle(("f2b_supplier_panel", "f6_adjusted_source"), """
+SELECT b.symbol, CAST(b.timestamp AS TIMESTAMP) AS timestamp, m.adj_factor AS meta_adj_factor FROM f2b_supplier_panel b LEFT JOIN (SELECT * FROM f6_adjusted_source WHERE month(timestamp) % 4 <> 0) m ON m.ts_code = b.symbol AND CAST(m.timestamp AS DATE) = CAST(b.timestamp AS DATE)"""),
+)
+def exact_day_metadata(spark, d):
+    meta = load(spark, d, "f6_adjusted_source").withColumnRenamed("ts_code", "symbol").where(F.month("timestamp") % 4 != 0)
+    return asof.exact_day(load(spark, d, "f2b_supplier_panel"), meta, ["adj_factor"], prefix="meta_").select("symbol", "timestamp", "meta_adj_factor")
+
+
+@query(
+    "suspension_tristate",
+    oracle("f2b_supplier_panel", """
+, e AS (SELECT symbol, timestamp FROM f2b_supplier_panel WHERE CAST(volume AS INT) % 13 = 0 AND month(timestamp) <> 6)
+SELECT b.symbol, CAST(b.timestamp AS TIMESTAMP) AS timestamp, CASE WHEN e.symbol IS NOT NULL THEN true WHEN month(b.timestamp) <> 6 THEN false END AS is_suspended FROM f2b_supplier_panel b LEFT JOIN e ON e.symbol = b.symbol AND e.timestamp = b.timestamp"""),
+)
+def suspension_tristate(spark, d):
+    rows = load(spark, d, "f2b_supplier_panel")
+    covered = rows.where(F.month("timestamp") != 6)
+    return asof.suspended(rows, covered.where(F.col("volume").cast("int") % 13 == 0), covered).select("symbol", "timestamp", "is_suspended")
+
+
+@query(
+    "interval_overlaps",
+    oracle("f3_fixed_segments", """
+SELECT l.segment_id FROM f3_fixed_segments l WHERE l.segment_no % 2 = 0 AND EXISTS (SELECT 1 FROM f3_fixed_segments r WHERE r.segment_no % 5 = 1 AND r.symbol = l.symbol AND r.start_ts <= l.end_ts AND r.end_ts >= l.start_ts)"""),
+)
+def interval_overlaps(spark, d):
+    rows = load(spark, d, "f3_fixed_segments").withColumnsRenamed({"start_ts": "start", "end_ts": "end"}).select("segment_id", "symbol", "segment_no", "start", "end")
+    return asof.overlapping(rows.where("segment_no % 2 = 0"), rows.where("segment_no % 5 = 1")).select("segment_id")

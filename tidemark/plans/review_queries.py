@@ -217,3 +217,10 @@ def bulk_partition_audit(spark, d):
     m = F.month("trade_date")
     daily = rows.where(m != 7).withColumn("adj_factor", F.when(m != 5, F.col("adj_factor"))).unionByName(rows.where(m == 3))
     return audit.audit_partitions(daily, rows.select("trade_date").distinct(), load(spark, d, "f6_master"), row_limit=100)
+
+
+@query("macro_metrics", oracle("f7_scored", SCORED + """
+, l AS (SELECT unnest(['BAD', 'GOOD']) AS label), g AS (SELECT label, sum(CASE WHEN truth = label AND said = label THEN w ELSE 0 END) AS tp, sum(CASE WHEN said = label THEN w ELSE 0 END) AS p, sum(CASE WHEN truth = label THEN w ELSE 0 END) AS s FROM l, c WHERE truth <> 'UNKNOWN' GROUP BY label)
+SELECT round(avg(2 * (tp / p) * (tp / s) / (tp / p + tp / s)), 6) AS macro_f1, round(avg(tp / s), 6) AS balanced_accuracy FROM g"""))
+def macro_metrics(spark, d):
+    return rounded(calibration.macro_metrics(scored(spark, d), LABELS))

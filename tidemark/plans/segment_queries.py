@@ -429,3 +429,44 @@ def segment_audit(spark, d):
 SELECT count(*) AS rows, count(*) FILTER (WHERE available_at IS NULL) AS without_time, count(*) FILTER (WHERE prob_CLUSTER_A + prob_CLUSTER_B NOT BETWEEN 0.999999 AND 1.000001) AS bad_probabilities FROM f4_states"""))
 def causal_state_audit(spark, d):
     return states(spark, d).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("available_at").isNull()).alias("without_time"), F.count_if(~(F.col("prob_CLUSTER_A") + F.col("prob_CLUSTER_B")).between(0.999999, 1.000001)).alias("bad_probabilities"))
+
+
+@query("version_transitions", oracle("f4_states", """
+, n AS (SELECT model_version AS v, label AS f, lead(label) OVER w AS g, lead(start_idx) OVER w AS s, end_idx AS e FROM f4_states WINDOW w AS (PARTITION BY model_version, symbol ORDER BY start_idx, end_idx)), q AS (SELECT v, f, g, count(*) AS n FROM n WHERE g IS NOT NULL AND s <= e + 1 GROUP BY ALL), l AS (SELECT DISTINCT model_version AS v, label AS x FROM f4_states)
+SELECT a.v AS model_version, a.x AS from_label, b.x AS to_label, coalesce(q.n, 0) AS n FROM l a JOIN l b USING (v) LEFT JOIN q ON q.v = a.v AND q.f = a.x AND q.g = b.x"""))
+def version_transitions(spark, d):
+    return labels.version_transitions(states(spark, d))
+
+
+@query("weighted_robustness", oracle("f4_states", """
+SELECT model_version, label, count(*) AS rows, sum(n_bars)::DOUBLE AS weight, round(sum(n_bars * prob_CLUSTER_A) / sum(n_bars), 6) AS "prob_CLUSTER_A", round(sum(n_bars * boundary_uncertainty) / sum(n_bars), 6) AS boundary_uncertainty FROM f4_states GROUP BY ALL"""))
+def weighted_robustness(spark, d):
+    return rounded(labels.weighted_summary(states(spark, d), ["prob_CLUSTER_A", "boundary_uncertainty"], "n_bars", ["model_version", "label"]))
+
+
+@query("hsmm_sensitivity")
+def hsmm_sensitivity(spark, d):
+    return rounded(labels.duration_sensitivity(states(spark, d)))
+
+
+@query("label_profiles", oracle("f4_states", """
+, x AS (SELECT prob_CLUSTER_A AS a, prob_CLUSTER_B AS b, CAST(n_bars AS DOUBLE) AS n, boundary_uncertainty AS u FROM f4_states)
+SELECT 'CLUSTER_A' AS label, 'n_bars' AS feature, round(sum(a * n) / sum(a), 6) AS mean FROM x UNION ALL SELECT 'CLUSTER_A', 'boundary_uncertainty', round(sum(a * u) / sum(a), 6) FROM x UNION ALL SELECT 'CLUSTER_B', 'n_bars', round(sum(b * n) / sum(b), 6) FROM x UNION ALL SELECT 'CLUSTER_B', 'boundary_uncertainty', round(sum(b * u) / sum(b), 6) FROM x"""))
+def label_profiles(spark, d):
+    return rounded(discovery.profiles(states(spark, d), ["n_bars", "boundary_uncertainty"], ["CLUSTER_A", "CLUSTER_B"]))
+
+
+@query("descriptive_workflow")
+def descriptive_workflow(spark, d):
+    """Merged rows of the whole retrospective flow."""
+    from .workflows import describe_bars
+
+    return describe_bars(load(spark, d, "f1_event_bars"))["merged"].select("segment_id", "symbol", "label", "start_idx", "end_idx", "n_bars", "cumulative_return")
+
+
+@query("causal_workflow_audit")
+def causal_workflow_audit(spark, d):
+    """Audit counts of out-of-sample states of the causal flow."""
+    from .workflows import causal_states
+
+    return audit.audit_states(causal_states(load(spark, d, "f1_event_bars"), min_rows=40)["states"])
