@@ -110,8 +110,8 @@ def test_neighbours_recall(spark):
     want = exact(np.arange(3000), v, range(0, 3000, 20))
     hits = [len(set(want[q]) & set(g.vec_id)) / 20 for q, g in got.groupby("query_id")]
     assert len(hits) == 150 and np.mean(hits) >= 0.95
-    one = got[got.query_id == 120].sort_values("rank")
-    assert one.vec_id.tolist()[:20] == sorted(set(range(100, 121)) - {120})[:20]
+    for q in (100, 120, 600):  # copies of the common vector: ties go to the smaller id
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == want[q]
     s = {(a, b): float(np.dot(v[a], v[b])) for a, b in zip(got.query_id, got.vec_id, strict=True)}
     assert all(abs(s[a, b] - x) < 1e-9 for a, b, x in zip(got.query_id, got.vec_id, got.score, strict=True))
 

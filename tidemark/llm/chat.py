@@ -5,8 +5,9 @@ control strings ``<s> </s> [INST] [/INST]``, accepts only the token sequence of
 undoes the escapes (a backslash keeps the next character) in roles and texts.
 
 Content is first rendered as it is. A turn whose parse differs from its source is escaped: level 1 doubles backslashes and
-breaks control strings with a backslash; level 2 puts a backslash before every ``\``, ``<`` and ``[``. Level 2 cannot meet a
-control string, so the loop ends. A conversation that still differs after its turns are joined is rendered at level 2.
+breaks control strings with a backslash; level 2 also puts a backslash behind every ``<`` and ``[`` that has another
+character than one behind it. Level 2 leaves no control string, so the loop ends. A conversation that still differs after
+its turns are joined is rendered at level 2.
 
 Turns are ordered by turn (null first), then role, then text. Null roles and texts count as empty. All rows of a null
 conv_id form one conversation. Repeated rows stay turns of their own. An empty table gives an empty result. Only
@@ -27,9 +28,10 @@ LEVELS = 3
 def escape(text: F.Column, level: int) -> F.Column:
     if level == 0:
         return text
+    doubled = F.regexp_replace(text, r"\\", r"\\\\")
     if level == 1:
-        return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), r"([<\[])(/?s>|/?INST\])", r"$1\\$2")
-    return F.regexp_replace(text, r"([\\<\[])", r"\\$1")
+        return F.regexp_replace(doubled, r"([<\[])(/?s>|/?INST\])", r"$1\\$2")
+    return F.regexp_replace(doubled, r"(?s)([<\[])(?=[^\\])", r"$1\\")
 
 
 def unescape(text: F.Column) -> F.Column:
@@ -91,6 +93,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     checked = joined.withColumn("recovered", parse(F.col("plain"))).withColumn("identical", _same(F.col("recovered"), F.col("source")))
     final = checked.withColumns({
         "rendered": F.when(F.col("identical"), F.col("plain")).otherwise(F.col("safe")),
+        "loss_spans": F.when(F.col("identical"), F.col("loss_spans")),  # they are of the plain rendering
         "recovered": F.when(F.col("identical"), F.col("recovered")).otherwise(parse(F.col("safe"))),
         "level": F.when(F.col("identical"), F.col("level")).otherwise(LEVELS - 1),
     })
