@@ -168,7 +168,7 @@ def test_assignment(n):
 def test_mixtures_find_separate_groups():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in (-4, 0, 4)])
-    for m in (K.gaussian_mixture(x, 3, rng), K.process_mixture(x, 3, rng)):
+    for m in (K.gaussian_mixture(x, 3, rng), K.process_mixture(x, 3, rng), K.full_mixture(x, 3, rng)):
         p = m.probabilities(x)
         assert m.converged and np.allclose(p.sum(axis=1), 1)
         assert len({tuple(np.unique(p[a : a + 60].argmax(axis=1))) for a in (0, 60, 120)}) == 3

@@ -148,6 +148,8 @@ def test_discovery_labels_are_closed_and_sum_to_one(spark):
     ps = [c for c in out if c.startswith("prob_")]
     assert np.allclose(out[ps].sum(axis=1), 1) and set(out.label) <= {"CLUSTER_A", "CLUSTER_B", "CLUSTER_C", "UNKNOWN"}
     assert out[out.label != "UNKNOWN"].groupby("candidate_label").cumulative_return.mean().is_monotonic_increasing
+    base = discovery.discover(groups(spark), ["cumulative_return", "duration_bars"], GateConfig(n_clusters=3), backend="gmm").toPandas()
+    assert np.allclose(base[ps].sum(axis=1), 1) and (base.label != "UNKNOWN").any()
     alone = discovery.discover(groups(spark).drop("symbol"), ["cumulative_return"], GateConfig(n_clusters=2)).toPandas()
     assert (alone.label == "UNKNOWN").all() and alone.unknown_reason.str.contains("insufficient_cluster_support").all()
 

@@ -457,6 +457,52 @@ def gaussian_mixture(x: np.ndarray, k: int, rng: np.random.Generator, *, starts:
     return best
 
 
+class FullMixture(NamedTuple):
+    """A mixture with whole covariance matrices, by their Cholesky factors of the precision."""
+
+    weights: np.ndarray
+    means: np.ndarray
+    factors: np.ndarray
+    converged: bool
+    bound: float
+
+    def log_joint(self, x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(self.weights)))
+        for j, (w, m, f) in enumerate(zip(self.weights, self.means, self.factors, strict=True)):
+            z = (x - m) @ f
+            out[:, j] = np.log(max(w, 1e-300)) + np.log(np.abs(np.diag(f))).sum() - 0.5 * ((z**2).sum(axis=1) + x.shape[1] * np.log(2 * np.pi))
+        return out
+
+    log_density, probabilities = Mixture.log_density, Mixture.probabilities
+
+
+def full_mixture(x: np.ndarray, k: int, rng: np.random.Generator, *, starts: int = 2, reg: float = 1e-5, max_iter: int = 100, tol: float = 1e-3) -> FullMixture:
+    """Mixture with full covariances by EM; the start of the best likelihood."""
+    best, d = None, x.shape[1]
+    for _ in range(starts):
+        near = ((x[:, None, :] - _seeds(x, k, rng)) ** 2).sum(axis=2).argmin(axis=1)
+        r, last = np.eye(k)[near] + 1e-3 / k, -np.inf
+        for _ in range(max_iter):
+            r = r / r.sum(axis=1, keepdims=True)
+            size = r.sum(axis=0) + 1e-12
+            means = r.T @ x / size[:, None]
+            factors = np.empty((k, d, d))
+            for j in range(k):
+                c = x - means[j]
+                factors[j] = np.linalg.inv(np.linalg.cholesky((c * r[:, j : j + 1]).T @ c / size[j] + reg * np.eye(d))).T
+            m = FullMixture(size / len(x), means, factors, False, last)
+            joint = m.log_joint(x)
+            total = np.logaddexp.reduce(joint, axis=1)
+            r, bound = np.exp(joint - total[:, None]), float(total.mean())
+            done, last = abs(bound - last) < tol, bound
+            if done:
+                break
+        m = m._replace(converged=done, bound=last)
+        if best is None or m.bound > best.bound:
+            best = m
+    return best
+
+
 def _digamma(x: np.ndarray) -> np.ndarray:
     x, shift = np.array(x, float), np.zeros_like(x, dtype=float)
     while (x < 6).any():

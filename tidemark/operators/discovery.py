@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import GateConfig
+from ..config import BASELINE_GATES, GateConfig
 from ..functions import kernels as K
 from ..functions.checks import DISCOVERY_TOKENS, reject_look_ahead, require
 from . import labels as L
@@ -28,27 +28,30 @@ class Ensemble:
     features: list[str]
     scaler: K.RobustScaler
     members: list[K.Mixture]
-    process: K.Mixture
+    process: K.Mixture | None
     low_density: float
     names: list[str]
 
     @property
     def converged(self) -> bool:
-        return all(m.converged for m in self.members) and self.process.converged
+        return all(m.converged for m in self.members) and (self.process is None or self.process.converged)
 
     def score(self, x: np.ndarray) -> dict[str, np.ndarray]:
         z = self.scaler(x)
-        each = np.stack([m.probabilities(z) for m in [*self.members, self.process]])
+        own = np.stack([m.probabilities(z) for m in self.members])
+        each = own if self.process is None else np.concatenate([own, self.process.probabilities(z)[None]])
         p = each.mean(axis=0)
         p = p / p.sum(axis=1, keepdims=True)
         k = p.shape[1]
         entropy = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1) / np.log(k) if k > 1 else np.zeros(len(p))
-        density = self.members[0].log_density(z)
-        return {"p": p, "gmm": each[:-1].mean(axis=0), "dpgmm": each[-1], "entropy": entropy, "disagreement": each.std(axis=0).mean(axis=1), "density": density, "low": density < self.low_density}
+        # the discovery ensemble takes the first member's density, the baseline the mean of all
+        density = self.members[0].log_density(z) if self.process is not None else np.mean([m.log_density(z) for m in self.members], axis=0)
+        return {"p": p, "gmm": own.mean(axis=0), "dpgmm": each[-1], "entropy": entropy, "disagreement": each.std(axis=0).mean(axis=1), "density": density, "low": density < self.low_density}
 
 
-def _reorder(m: K.Mixture, order: np.ndarray) -> K.Mixture:
-    return m._replace(weights=m.weights[order], means=m.means[order], variances=m.variances[order])
+def _reorder(m, order: np.ndarray):
+    """A mixture with its components in another order."""
+    return m._replace(**{f: getattr(m, f)[order] for f in m._fields if f not in ("converged", "bound")})
 
 
 def fit_ensemble(x: np.ndarray, features: list[str], cfg: GateConfig, key: tuple = ()) -> Ensemble:
@@ -71,6 +74,21 @@ def fit_ensemble(x: np.ndarray, features: list[str], cfg: GateConfig, key: tuple
     return Ensemble(features, scaler, members, align(process), low, [f"CLUSTER_{chr(65 + j)}" for j in range(k)])
 
 
+def fit_baseline(x: np.ndarray, features: list[str], cfg: GateConfig, key: tuple = ()) -> Ensemble:
+    """Full-covariance mixtures on all rows from different seeds, aligned with the first; no process mixture."""
+    scaler = K.RobustScaler(x)
+    z = scaler(x)
+    k = max(1, min(cfg.n_clusters, len(z), len(np.unique(z, axis=0))))
+    members = [K.full_mixture(z, k, K.keyed_rng(cfg.random_state + j, *key), max_iter=cfg.max_iter) for j in range(cfg.ensemble_size)]
+    lead = features.index("cumulative_return") if "cumulative_return" in features else 0
+    members[0] = _reorder(members[0], np.lexsort((members[0].means.sum(axis=1), members[0].means[:, lead])))
+    base = members[0].means
+    members[1:] = [_reorder(m, K.assign(((base[:, None, :] - m.means[None, :, :]) ** 2).sum(axis=2))) for m in members[1:]]
+    model = Ensemble(features, scaler, members, None, -np.inf, [f"CLUSTER_{chr(65 + j)}" for j in range(k)])
+    model.low_density = float(np.quantile(model.score(x)["density"], cfg.density_quantile))
+    return model
+
+
 def sample_rows(df: DataFrame, most: int = FIT_ROWS, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed)), "segment_id").limit(most)
 
@@ -134,27 +152,29 @@ def context_conflict(df: DataFrame) -> DataFrame:
     return df.withColumn("context_conflict", F.coalesce(F.aggregate(arr, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(arr).cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
-def label_segments(df: DataFrame, model: Ensemble, support: DataFrame, cfg: GateConfig) -> DataFrame:
+def label_segments(df: DataFrame, model: Ensemble, support: DataFrame, cfg: GateConfig, gates: list | None = None) -> DataFrame:
     """Scores, recognizability and gates. support: (candidate_label, cluster_supported) of the fitted rows."""
     scored = L.recognizability(context_conflict(boundary_uncertainty(score_segments(df, model))), cfg)
     scored = scored.join(F.broadcast(support), "candidate_label", "left").withColumn("cluster_supported", F.coalesce("cluster_supported", F.lit(False)))
-    return L.apply_gates(scored, L.discovery_gates(cfg))
+    return L.apply_gates(scored, gates or L.discovery_gates(cfg))
 
 
-def discover(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, most: int = FIT_ROWS) -> DataFrame:
-    """Fit on a bounded sample, then label every row."""
-    cfg = cfg or GateConfig()
+def discover(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, most: int = FIT_ROWS, backend: str = "ensemble") -> DataFrame:
+    """Fit on a bounded sample, then label every row. backend: ensemble, or gmm for the baseline with its own gates."""
+    if backend not in ("ensemble", "gmm"):
+        raise ValueError(f"unknown backend {backend!r}")
+    cfg = cfg or (GateConfig() if backend == "ensemble" else BASELINE_GATES)
     reject_look_ahead(features, DISCOVERY_TOKENS)
     require(df, ("segment_id", *features), "segments")
     sample = sample_rows(df.select("segment_id", *[F.col(f).cast("double") for f in features]), most).toPandas()
     if not len(sample):
         raise ValueError("no segments to fit on")
-    model = fit_ensemble(sample[features].to_numpy(float), features, cfg)
+    model = (fit_ensemble if backend == "ensemble" else fit_baseline)(sample[features].to_numpy(float), features, cfg)
     if {"symbol", "start"} <= set(df.columns):
         support = L.cluster_support(score_segments(df, model), cfg)
     else:  # without provenance no cluster is supported
         support = df.sparkSession.createDataFrame([(n, False) for n in model.names], "candidate_label string, cluster_supported boolean")
-    return label_segments(df, model, support, cfg)
+    return label_segments(df, model, support, cfg, L.discovery_gates(cfg) if backend == "ensemble" else L.baseline_gates(cfg))
 
 
 def profiles(df: DataFrame, features: list[str], labels: list[str]) -> DataFrame:

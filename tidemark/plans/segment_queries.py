@@ -355,6 +355,12 @@ def discovery_labels(spark, d):
     return out.select("segment_id", "candidate_label", "max_probability", "posterior_entropy", "model_disagreement", "density_score", "recognizability", "unknown_reason", "label", "is_unknown")
 
 
+@query("discovery_labels_baseline")
+def discovery_labels_baseline(spark, d):
+    out = discovery.discover(_causal_features(spark, d), list(features.CAUSAL_FEATURES), backend="gmm")
+    return out.select("segment_id", "candidate_label", "max_probability", "posterior_entropy", "recognizability", "unknown_reason", "label", "is_unknown")
+
+
 @query("discovery_walk_forward")
 def discovery_walk_forward(spark, d):
     out = discovery.walk_forward(_causal_features(spark, d), list(features.CAUSAL_FEATURES), min_rows=40, every=20)

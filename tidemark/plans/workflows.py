@@ -22,7 +22,7 @@ def describe_bars(bars: DataFrame, cfg: PipelineConfig | None = None, *, names:
         segs = segments.fold_in_stability(segs, stable)
     segs = segs.persist()  # the fit, the labels and the merged rows all start from it
     rows = segs.join(features.segment_features(segs, bars), "segment_id").persist()
-    found = discovery.discover(rows, names, cfg.model)
+    found = discovery.discover(rows, names, cfg.model, backend=cfg.backend)
     found = labels.dwell_filter(found, cfg.duration.dwell_bars)
     final = found
     if cfg.duration.enabled:
