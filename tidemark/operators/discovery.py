@@ -219,7 +219,7 @@ def training_bounds(df: DataFrame, schedule: DataFrame) -> DataFrame:
 
 def purge_overlaps(df: DataFrame, schedule: DataFrame) -> DataFrame:
     """df with version and purged: the row starts no later than the last end of its symbol's rows that the version saw."""
-    rows = df.join(F.broadcast(schedule), df["available_at"] == schedule["decision_at"], "left").drop("decision_at")
+    rows = df.join(schedule, df["available_at"] == schedule["decision_at"], "left").drop("decision_at")
     asks = rows.where("version IS NOT NULL").select("segment_id", "symbol", F.col("version").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("timestamp_ntz").alias("e"))
     seen = df.select(F.lit(None).cast("string").alias("segment_id"), "symbol", F.col("available_at").alias("t"), F.lit(1).alias("side"), F.col("end").alias("e"))
     w = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
@@ -238,7 +238,7 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
     rows = purge_overlaps(df, schedule)
     need = df.select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features])
     # versions are few (one in `every` days); rows are capped a version by hash, as a fit's documented bound
-    train = need.join(F.broadcast(bounds.select("version")), F.col("available_at") < F.col("version"))
+    train = need.join(bounds.select("version"), F.col("available_at") < F.col("version"))
     w = Window.partitionBy("version").orderBy(F.xxhash64("segment_id", F.lit(cfg.random_state)), "segment_id")
     train = train.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).withColumn("fits", F.lit(True))
     asks = rows.where("version IS NOT NULL").select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features], "version", F.lit(0).alias("_r"), F.lit(False).alias("fits"))
@@ -262,7 +262,7 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
         return out.assign(**{c: p[:, j] for j, c in enumerate(columns)})[names]
 
     scored = train.unionByName(asks).groupBy("version").applyInPandas(run, schema)
-    out = rows.join(scored, "segment_id", "left").join(F.broadcast(bounds), "version", "left")
+    out = rows.join(scored, "segment_id", "left").join(bounds, "version", "left")
     out = L.apply_gates(L.recognizability(context_conflict(boundary_uncertainty(out)), cfg), L.discovery_gates(cfg))
     special = F.when(F.col("version").isNull(), "insufficient_history").when(F.col("purged"), "purged_overlap")
     reason = F.coalesce(special, F.col("unknown_reason"))

@@ -96,7 +96,7 @@ def stratified_sample(df: DataFrame, target: int, *, unknown_share: float = 0.35
     take = allocation(df, target, unknown_share=unknown_share, seed=seed).select("sampling_stratum", "take", (F.col("take") / F.col("capacity")).alias("sampling_probability"))
     rows = df.withColumn("sampling_stratum", stratum(df)).drop("sampling_probability")
     w = Window.partitionBy("sampling_stratum").orderBy(F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed)), "segment_id")
-    chosen = rows.withColumn("_r", F.row_number().over(w)).join(F.broadcast(take), "sampling_stratum").where(F.col("_r") <= F.col("take")).drop("_r", "take")
+    chosen = rows.withColumn("_r", F.row_number().over(w)).join(take, "sampling_stratum").where(F.col("_r") <= F.col("take")).drop("_r", "take")
     return review_queue(chosen)
 
 

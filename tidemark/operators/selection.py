@@ -38,7 +38,7 @@ def forward_targets(bars: DataFrame, horizons=(5, 20, 60), benchmark: str | None
         raise ValueError("horizons must be positive")
     calendar = sessions(bars)
     # rows of a symbol by session number: a range window of sessions sees exactly the sessions ahead
-    out = bars.join(F.broadcast(calendar), "timestamp")
+    out = bars.join(calendar, "timestamp")
     own = Window.partitionBy("symbol").orderBy("session")
     for h in horizons:
         at = own.rangeBetween(h, h)
@@ -51,11 +51,11 @@ def forward_targets(bars: DataFrame, horizons=(5, 20, 60), benchmark: str | None
             out = out.withColumn(f"target_tradable_{h}d", F.max("selection_eligible").over(at))
     for h in horizons:
         later = calendar.select((F.col("session") - h).alias("session"), F.col("timestamp").alias(f"target_available_at_{h}d"))
-        out = out.join(F.broadcast(later), "session", "left")
+        out = out.join(later, "session", "left")
         if benchmark is not None:
-            b = bars.where(F.col("symbol") == benchmark).select("timestamp", "close").join(F.broadcast(calendar), "timestamp")
+            b = bars.where(F.col("symbol") == benchmark).select("timestamp", "close").join(calendar, "timestamp")
             b = b.select("session", F.col("close").alias("_now")).join(b.select((F.col("session") - h).alias("session"), F.col("close").alias("_then")), "session").select("session", (ratio("_then", "_now") - 1).alias("_b"))
-            out = out.join(F.broadcast(b), "session", "left").withColumn(f"future_excess_{h}d", F.col(f"future_excess_{h}d") - F.col("_b")).drop("_b")
+            out = out.join(b, "session", "left").withColumn(f"future_excess_{h}d", F.col(f"future_excess_{h}d") - F.col("_b")).drop("_b")
         out = out.withColumn(f"future_reward_risk_{h}d", ratio(f"future_excess_{h}d", F.abs(f"future_mae_{h}d")))
         known = F.count(f"future_excess_{h}d").over(same_day())
         out = out.withColumn(f"future_rank_{h}d", average_rank(f"future_excess_{h}d", ["timestamp"]) / F.nullif(known.cast("double"), F.lit(0.0)))
@@ -129,20 +129,20 @@ def long_short(df: DataFrame, target: str, *, every: int, cost_bps: float = 0.0,
     """(timestamp, turnover, gross, net) of each rebalance day with weights: +1/n on its top group, -1/n on its bottom.
     Turnover is half the absolute change of weights, 0 on the first day; gross takes the last and first group of all days."""
     days = rebalance_days(df, every)
-    held = df.join(F.broadcast(days), "timestamp").where(F.col(group).isNotNull())
+    held = df.join(days, "timestamp").where(F.col(group).isNotNull())
     top, low = F.max(group).over(same_day()), F.min(group).over(same_day())
     held = held.withColumns({"_top": top, "_low": low}).where(f"`{group}` = _top OR `{group}` = _low")
     n = F.count(F.lit(1)).over(Window.partitionBy("timestamp", group))
     held = held.withColumn("w", F.when(F.col(group) == F.col("_top"), 1.0 / n).otherwise(-1.0 / n)).select("timestamp", "symbol", "w")
     # days with weights are numbered; a weight changes against the day before, where a missing one is 0
     order = held.select("timestamp").distinct().withColumn("j", F.row_number().over(Window.orderBy("timestamp")))
-    w = held.join(F.broadcast(order), "timestamp").select("symbol", "j", "w")
+    w = held.join(order, "timestamp").select("symbol", "j", "w")
     moves = w.unionByName(w.select("symbol", (F.col("j") + 1).alias("j"), (-F.col("w")).alias("w"))).groupBy("symbol", "j").agg(F.sum("w").alias("d"))
     turnover = moves.groupBy("j").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
     turnover = order.join(turnover, "j", "left").select("timestamp", F.when(F.col("j") == 1, 0.0).otherwise(F.coalesce("turnover", F.lit(0.0))).alias("turnover"))
     means = group_returns(df, target, group)
     ends = means.agg(F.max(group).alias("hi"), F.min(group).alias("lo"))
-    both = means.join(F.broadcast(days.select("timestamp")), "timestamp").crossJoin(F.broadcast(ends))  # one row
+    both = means.join(days.select("timestamp"), "timestamp").crossJoin(F.broadcast(ends))  # one row
     gross = both.groupBy("timestamp").agg((F.max(F.when(F.col(group) == F.col("hi"), F.col("mean_return"))) - F.max(F.when(F.col(group) == F.col("lo"), F.col("mean_return")))).alias("gross"))
     out = gross.join(turnover, "timestamp", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
     return out.select("timestamp", "turnover", "gross", (F.col("gross") - F.col("turnover") * F.lit(cost_bps / 1e4)).alias("net"))
@@ -280,7 +280,7 @@ def ridge_walk_forward(df: DataFrame, features: list[str], target: str, *, min_d
         yield pd.DataFrame(out, columns=["timestamp", "model_trained_at", "intercept", "slopes"])
 
     models = run.coalesce(1).mapInPandas(lambda it: solve(list(it)), "timestamp timestamp_ntz, model_trained_at timestamp_ntz, intercept double, slopes array<double>")
-    scored = df.join(F.broadcast(models), "timestamp")  # a row a day
+    scored = df.join(models, "timestamp")  # a row a day
     value = F.col("intercept")
     for k, c in enumerate(features):
         value = value + F.get("slopes", F.lit(k)) * finite(F.col(c).cast("double"))
