@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import mixing, packing, quality, simhash, toxicity
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +43,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Stages hand on Parquet in the shared folder that spark.checkpoint.dir names; where it is
     unset (tests), checkpoints of Spark's own temporary folder do."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     for name, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        if shared:
-            path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-        else:
-            from tidemark.llm.common import cut
-
+        if not shared:
             docs = cut(docs)
+            continue
+        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{name}"
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:  # the stage before is read no more
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(last).getParent()
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -28,8 +28,11 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation."""
+def cut(df: DataFrame, *, compact: bool = False) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation.
+    compact: for narrow rows made by scan tasks; files of the advisory size, not one for each scan task."""
+    if compact:
+        df = df.hint("rebalance")
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))

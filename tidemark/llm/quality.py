@@ -107,7 +107,7 @@ def scored(stats: DataFrame, model: boosting.Boosted, *, name: str = "stats", ou
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = KEEP) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of docs."""
-    stats = cut(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"))
+    stats = cut(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), compact=True)
     out = scored(stats, fit(stats, labels)).drop("stats")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -116,7 +116,7 @@ def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = KEEP) -> Data
     """The rows of docs, all columns, that the classifier keeps. Statistics for the fit come from the sampled documents
     only; then each document is judged where it is read, and nothing is shuffled."""
     chosen = F.broadcast(fit_rows(labels, "quality"))
-    sample = cut(with_statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")).select("doc_id", "stats"))
+    sample = cut(with_statistics(docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")).select("doc_id", "stats"), compact=True)
     model = fit(sample, labels)
 
     def setup():

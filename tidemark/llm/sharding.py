@@ -47,7 +47,7 @@ def assign_shards(df: DataFrame, keys: Sequence[str], weights: Sequence[float],
 
 def number_slots(df: DataFrame, group: str, order: Sequence[str], slot: str = "slot") -> DataFrame:
     """df with a gapless number from 0 in each value of group (null is a value). df should be narrow: it is checkpointed."""
-    rows = cut(without(df, (slot, "_bucket", "_offset", "_g", "_n")))
+    rows = cut(without(df, (slot, "_bucket", "_offset", "_g", "_n")), compact=True)
     n, groups = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(group)).first()
     buckets = max(1, -(-n // (BUCKET_ROWS * max(1, groups))))
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.spark_partition_id()), F.lit(buckets)).cast("int"))

@@ -266,7 +266,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id: a row for each row of docs."""
-    rows = cut(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), text="text", width=width).select("doc_id", "fp"))
+    rows = cut(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), text="text", width=width).select("doc_id", "fp"), compact=True)
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = components(links(distinct, radius=radius))
     labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
@@ -282,7 +282,7 @@ def op4(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each component, with the smallest key (nulls last)."""
     narrow = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    rows = cut(fingerprints(narrow, text="_text", width=width).select("_key", "_hash", "fp"))
+    rows = cut(fingerprints(narrow, text="_text", width=width).select("_key", "_hash", "fp"), compact=True)
     first = F.min(F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash")).alias("first")
     distinct = cut(rows.groupBy("fp").agg(first))
     labels = components(links(distinct, radius=radius))
