@@ -128,21 +128,22 @@ def rebalance_days(df: DataFrame, every: int) -> DataFrame:
 def long_short(df: DataFrame, target: str, *, every: int, cost_bps: float = 0.0, group: str = "group") -> DataFrame:
     """(timestamp, turnover, gross, net) of each rebalance day with weights: +1/n on its top group, -1/n on its bottom.
     Turnover is half the absolute change of weights, 0 on the first day; gross takes the last and first group of all days."""
-    days = rebalance_days(df, every)
-    held = df.join(days, "timestamp").where(F.col(group).isNotNull())
-    top, low = F.max(group).over(same_day()), F.min(group).over(same_day())
-    held = held.withColumns({"_top": top, "_low": low}).where(f"`{group}` = _top OR `{group}` = _low")
-    n = F.count(F.lit(1)).over(Window.partitionBy("timestamp", group))
-    held = held.withColumn("w", F.when(F.col(group) == F.col("_top"), 1.0 / n).otherwise(-1.0 / n)).select("timestamp", "symbol", "w")
+    # rows are read twice: for one row a day and group, from which days, ends and weights follow, and for the weights' symbols
+    per = df.groupBy("timestamp", group).agg(F.avg(target).alias("mean_return"), F.count(F.lit(1)).alias("n")).persist()  # a row a day and group
+    days = rebalance_days(per, every).select("timestamp")
+    some = per.where(F.col(group).isNotNull()).join(days, "timestamp")
+    some = some.withColumns({"_top": F.max(group).over(same_day()), "_low": F.min(group).over(same_day())}).where(f"`{group}` = _top OR `{group}` = _low")
+    weight = some.select("timestamp", group, F.when(F.col(group) == F.col("_top"), 1.0 / F.col("n")).otherwise(-1.0 / F.col("n")).alias("w"))
+    held = df.select("timestamp", "symbol", group).join(weight, ["timestamp", group]).select("timestamp", "symbol", "w")
     # days with weights are numbered; a weight changes against the day before, where a missing one is 0
-    order = held.select("timestamp").distinct().withColumn("j", F.row_number().over(Window.orderBy("timestamp")))
+    order = weight.select("timestamp").distinct().withColumn("j", F.row_number().over(Window.orderBy("timestamp")))
     w = held.join(order, "timestamp").select("symbol", "j", "w")
     moves = w.unionByName(w.select("symbol", (F.col("j") + 1).alias("j"), (-F.col("w")).alias("w"))).groupBy("symbol", "j").agg(F.sum("w").alias("d"))
     turnover = moves.groupBy("j").agg((F.sum(F.abs("d")) / 2).alias("turnover"))
     turnover = order.join(turnover, "j", "left").select("timestamp", F.when(F.col("j") == 1, 0.0).otherwise(F.coalesce("turnover", F.lit(0.0))).alias("turnover"))
-    means = group_returns(df, target, group)
+    means = per.where(F.col(group).isNotNull() & F.col("mean_return").isNotNull())
     ends = means.agg(F.max(group).alias("hi"), F.min(group).alias("lo"))
-    both = means.join(days.select("timestamp"), "timestamp").crossJoin(F.broadcast(ends))  # one row
+    both = means.join(days, "timestamp").crossJoin(F.broadcast(ends))  # one row
     gross = both.groupBy("timestamp").agg((F.max(F.when(F.col(group) == F.col("hi"), F.col("mean_return"))) - F.max(F.when(F.col(group) == F.col("lo"), F.col("mean_return")))).alias("gross"))
     out = gross.join(turnover, "timestamp", "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
     return out.select("timestamp", "turnover", "gross", (F.col("gross") - F.col("turnover") * F.lit(cost_bps / 1e4)).alias("net"))
@@ -247,13 +248,16 @@ def ridge_walk_forward(df: DataFrame, features: list[str], target: str, *, min_d
         if c in df.columns:
             ok = ok & F.coalesce(F.col(c), F.lit(False))
     v = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(target).cast("double")]
-    sums = [F.sum(v[a] * v[b]).alias(f"m{a}_{b}") for a in range(p + 2) for b in range(a, p + 2)]
-    by_day = df.where(ok).groupBy(F.col(known_at).alias("known_at")).agg(*sums)
-    dates = df.where(ok).groupBy("timestamp").agg(F.min(known_at).alias("first_known")).groupBy(F.col("first_known").alias("known_at")).agg(F.count(F.lit(1)).alias("dates"))
-    so_far = Window.orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     names = [f"m{a}_{b}" for a in range(p + 2) for b in range(a, p + 2)]
+    sums = [F.sum(F.when(ok, v[a] * v[b])).alias(f"m{a}_{b}") for a in range(p + 2) for b in range(a, p + 2)]
+    # the one pass over rows before scoring: a row for each day and day of knowledge
+    small = df.groupBy("timestamp", F.col(known_at).alias("known_at")).agg(F.count_if(ok).alias("ok"), *sums).persist()
+    known = small.where("ok > 0")
+    by_day = known.groupBy("known_at").agg(*[F.sum(c).alias(c) for c in names])
+    dates = known.groupBy("timestamp").agg(F.min("known_at").alias("first_known")).groupBy(F.col("first_known").alias("known_at")).agg(F.count(F.lit(1)).alias("dates"))
+    so_far = Window.orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     # decision days come before sums of the same moment: a target known that day is not used
-    days = sessions(df).select(F.col("timestamp").alias("t"), F.lit(0).alias("side"), "session")
+    days = sessions(small).select(F.col("timestamp").alias("t"), F.lit(0).alias("side"), "session")
     events = by_day.join(dates, "known_at", "full_outer").select(F.col("known_at").alias("t"), F.lit(1).alias("side"), "dates", *names)
     run = days.unionByName(events, allowMissingColumns=True).withColumns({c: F.coalesce(F.sum(c).over(so_far), F.lit(0)) for c in ("dates", *names)}).where("side = 0").select("t", "session", "dates", *names)
 
