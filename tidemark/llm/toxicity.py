@@ -33,7 +33,7 @@ from .quality import FIT_ROWS, fit_rows
 #: Score from which a document is toxic; E below which a segment is a passage; candidates at most (a size of the model).
 TOXIC, PASSAGE_E, CANDIDATES = 0.5, 0.01, 65_536
 #: Least toxic documents of a token, log-odds, standard errors, weight of the prior in documents' tokens, lengths of prefixes.
-MIN_TOXIC, MIN_ODDS, MIN_Z, PRIOR, PREFIXES = 3, 4.0, 3.0, 20_000.0, (4, 5, 6)
+MIN_TOXIC, MIN_ODDS, MIN_Z, PRIOR, PREFIXES = 3, 3.5, 2.0, 20_000.0, (4, 5, 6)
 #: Entries after which a task passes its counts on or forgets remembered words.
 FLUSH = 200_000
 
