@@ -74,6 +74,18 @@ def arrow_map(df: DataFrame, setup: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def hash_sample(df: DataFrame, keys: list[str], most: int, seed: int, n: int | None = None) -> DataFrame:
+    """At most `most` rows of df, those with the smallest hash of keys. Rows are first kept by a threshold on the hash that
+    leaves few more than that, so no task or driver gathers more; n is the number of rows, if known."""
+    n = df.count() if n is None else n
+    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    if n > most:
+        share = min(1.0, (most + 6 * most**0.5 + 6) / n)
+        # the order below is by signed hash: keep the smallest share of the signed range
+        df = df.where(h < F.lit(int(-(1 << 63) + share * (1 << 64)) if share < 1 else (1 << 63) - 1))
+    return df.orderBy(h, *keys).limit(most)
+
+
 def text_values(spark: SparkSession, setup: Callable[[], Callable[[list], pa.Array]], kind: str) -> Callable[..., F.Column]:
     """A column function of texts. Only texts go to Python and only the values come back; all other columns wait in the JVM.
     setup() runs once a task and gives the kernel, which maps a list of texts to an array."""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut
+from .common import bound_batches, cut, hash_sample
 
 #: Vectors the index is fitted on at most, parts at most, neighbours in the graph, vectors of a block, queries scored at
 #: once, recall that the number of parts searched is fitted to.
@@ -188,7 +188,7 @@ def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str =
     lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (lengths["n"] if lengths else 0))
     total = lengths["count"] if lengths else 0
-    sample = rows.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(fit_rows).select("v").toArrow()
+    sample = hash_sample(rows, ["id"], fit_rows, 11, total).select("v").toArrow()
     x = np.array(sample.column("v").combine_chunks().flatten()).reshape(sample.num_rows, -1) if sample.num_rows else np.zeros((0, 1))
     router = fit(x, parts or parts_of(total), k)
     index = cut(_placed(rows, router, None))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import arrow_map, cut, held_out, text_values
+from .common import arrow_map, cut, hash_sample, held_out, text_values
 
 #: Labelled rows the classifier is fitted on at most; score from which a document is kept.
 FIT_ROWS, KEEP = 20_000, 0.3
@@ -83,7 +83,7 @@ def with_statistics(docs: DataFrame, *, text: str = "text", name: str = "stats")
 def fit_rows(labels: DataFrame, label: str, most: int = FIT_ROWS) -> DataFrame:
     """(doc_id, label): at most `most` labelled ids that may be learned from, by the hash of the id."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
-    return known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(most)
+    return hash_sample(known, ["doc_id"], most, 5)
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", *, most: int = FIT_ROWS, **settings) -> boosting.Boosted:

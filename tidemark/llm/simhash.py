@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut
+from .common import arrow_map, bound_batches, cut, hash_sample
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 #: Fingerprints the partition tree is built from at most; mean fingerprints of a leaf; most of a block; most that visit at
@@ -201,7 +201,7 @@ def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     spark = fps.sparkSession
     bound_batches(spark)
     n = fps.count()
-    sample = [r[0] for r in fps.orderBy(F.xxhash64("fp", F.lit(7)), "fp").limit(SAMPLE).collect()]
+    sample = [r[0] for r in hash_sample(fps.select("fp"), ["fp"], SAMPLE, 7, n).collect()]
     tree = PartitionTree(np.array(sample, np.int64).view(np.uint64), min(max(1, n // LEAF), SAMPLE // 16))
     routed = cut(_routed(fps, tree, radius))
     # one row a leaf, and leaves are bounded by the sample
