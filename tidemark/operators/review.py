@@ -46,7 +46,7 @@ def review_queue(segments: DataFrame, reviews: DataFrame | None = None, *, limit
 def merge_reviews(queue: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviewer columns from each segment's last review, where it has them."""
     have = [c for c in REVIEWER if c in reviews.columns]
-    last = F.max_by(F.struct(*[F.col(c).cast("string") for c in have]), F.coalesce(F.col("reviewed_at").cast("string"), F.lit(""))) if "reviewed_at" in have else F.last(F.struct(*[F.col(c).cast("string") for c in have]))
+    last = F.max_by(F.struct(*[F.col(c).cast("string").alias(c) for c in have]), F.coalesce(F.col("reviewed_at").cast("string"), F.lit(""))) if "reviewed_at" in have else F.last(F.struct(*[F.col(c).cast("string").alias(c) for c in have]))
     latest = reviews.groupBy(F.col("segment_id").cast("string").alias("segment_id")).agg(last.alias("_r"))
     out = queue.join(latest, "segment_id", "left")
     return out.select(*[F.coalesce(F.col(f"_r.{c}"), F.col(c)).alias(c) if c in have else F.col(c) for c in queue.columns])
