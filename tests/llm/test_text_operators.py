@@ -225,6 +225,41 @@ def test_segments_are_maximal():
     assert toxicity.segments(np.zeros(0)) == []
 
 
+def test_words_count_again_in_another_passage(spark):
+    words = [f"bad{c}".encode() for c in "abcde"]
+    model = toxicity.Lexicon(dict.fromkeys(words, 4.0), -0.05)
+    memory, dense, gap = model.memory(), words, [b"fine"] * 700
+    at = lambda own: [x[:2] for x in toxicity.passages(model, memory, own, 12.0) if x[2] >= 12]
+    assert at([*dense, *gap, *dense]) == [(0, 5), (705, 710)]
+    assert at([*dense, *gap[:30], *dense]) == [(0, 5), (35, 40)]
+    alone = [x for w in words for x in (w, *gap[:70])]  # 4 - 3.5 each: below significance, but never back at nothing
+    for apart in (alone, [x for w in words for x in (w, *gap)]):
+        assert at(apart) == [] and at([*apart, *dense]) == [(len(apart), len(apart) + 5)]
+    assert at([words[0], *gap[:3]] * 500) == [] and toxicity.best_segment(model, memory, words[:1] * 500) == (4.0, 500)
+    assert len(at((dense + gap[:9]) * 3000)) == 3000
+    text = b" ".join([*dense, *gap, *dense]).decode()
+    out = toxicity._scan(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert [(x.start_word, x.end_word) for x in out.passages] == [(0, 5), (705, 710)]
+
+
+def test_passages_against_all_segments():
+    rng = np.random.default_rng(4)
+    model = toxicity.Lexicon({b"a": 3.0, b"b": 2.5, b"c": 3.7}, -0.8)
+
+    def value(own):
+        return sum(model.odds[w] for w in set(own) & set(model.odds)) + model.other * (len(own) - len(set(own) & set(model.odds)))
+
+    for _ in range(200):
+        own = [bytes([c]) for c in rng.choice(list(b"abcxxxxx"), 30)]
+        best = max(value(own[i:j]) for i in range(30) for j in range(i + 1, 31))
+        assert abs(toxicity.best_segment(model, model.memory(), own)[0] - max(best, 0)) < 1e-6
+        found = toxicity.passages(model, model.memory(), own, 4.0)
+        assert all(abs(value(own[s:e]) - x) < 1e-6 for s, e, x in found)
+        edges = [0, *(p for s, e, x in found if x >= 4 for p in (s, e)), 30]
+        for lo, hi in zip(edges[::2], edges[1::2], strict=True):  # nothing of that score is left between them
+            assert all(value(own[i:j]) < 4 for i in range(lo, hi) for j in range(i + 1, hi + 1))
+
+
 # --- mixing ---
 
 

@@ -4,10 +4,12 @@ Fit. At most FIT_ROWS labelled documents that are not held out (smallest hash of
 toxic and clean texts; a token is a word or its first 4, 5 or 6 bytes (marked with a star). Tokens of at least MIN_TOXIC
 toxic documents are candidates. Their document counts over all documents are the Dirichlet prior of a log-odds ratio with
 its standard error; tokens of a clear and significant excess form the lexicon. The score of a word is the largest
-log-odds ratio of its tokens in the lexicon where the word first stands in a text, or else that of all other tokens
-together, which is just below zero.
+log-odds ratio of its tokens in the lexicon, or else that of all other tokens together, which is just below zero.
 
-Scan. All maximal scoring segments of a whole text are found in linear time. A segment of score S in a text of n words has
+Scan. The model is of words being there or not, so in a segment each word of the lexicon counts once and its repeats like
+other words; in another segment it counts again. Passages are the best segment of a text, then those of the rests before
+and after it, and so on. All maximal scoring segments with every occurrence counted are found in linear time; each passage
+lies in one of them, and only those that hold a word twice are searched. A segment of score S in a text of n words has
 E = K n exp(-S) (scores are natural log-odds, so lambda is 1); K comes from the largest segments of clean fitted
 documents. Segments of E below PASSAGE_E are passages. A document's statistic is its best segment's -ln E, turned into a
 score by a logistic curve fitted on the same sample. Labels, lang, source and doc_id are never inputs.
@@ -105,21 +107,59 @@ class Lexicon:
         return 1 / (1 + math.exp(-(self.a + self.b * max(-50.0, min(50.0, float(statistic))))))
 
 
-def word_scores(model: Lexicon, memory: dict[bytes, float], own: list[bytes]) -> np.ndarray:
-    """Score of each word. The model is of words being there or not, so a word of the lexicon counts where it first stands
-    and later like any other."""
+def _parts(hits: list[tuple[int, float, bytes]], other: float, least: float) -> list[tuple[int, int, float]]:
+    """Best segment of hits (place, score, word) with each word counted once, then the best ones of the rests before and
+    after it, and so on down to a score of least. The first of all is given even if it is below least."""
+    out, rests = [], [hits]
+    while rests:
+        some = rests.pop()
+        # a best segment starts where its first word stands for the last time before its end
+        last: dict[bytes, int] = {}
+        top, ends = 0.0, []
+        for j, (place, _, word) in enumerate(some):
+            last.pop(word, None)
+            last[word] = j
+            got, start, count, sum_odds = 0.0, j, 0, 0.0
+            for i in reversed(last.values()):
+                count, sum_odds = count + 1, sum_odds + some[i][1]
+                if (value := sum_odds + other * (place - some[i][0] + 1 - count)) > got + 1e-9:
+                    got, start = value, i
+            if got > top + 1e-9:
+                top, ends = got, []
+            if got >= top - 1e-9:
+                ends.append((start, j, got))
+        if out and top < least:
+            continue
+        after = 0  # equally good ones that do not meet, from the left
+        for i, j, got in ends:
+            if i >= after:
+                out.append((some[i][0], some[j][0] + 1, got))
+                if top >= least and i > after:
+                    rests.append(some[after:i])
+                after = j + 1
+        if top >= least and after < len(some):
+            rests.append(some[after:])
+    return out
+
+
+def passages(model: Lexicon, memory: dict[bytes, float], own: list[bytes], least: float) -> list[tuple[int, int, float]]:
+    """Segments (start, end exclusive, score) in order: the best one, and all disjoint ones of a score of least or more."""
     scores = np.array([memory[w] for w in own])
-    seen: set[bytes] = set()
-    for i in np.flatnonzero(scores > 0).tolist():
-        if own[i] in seen:
-            scores[i] = model.other
-        seen.add(own[i])
-    return scores
+    found, best = [], 0.0
+    for s, e, score in sorted(segments(scores), key=lambda x: -x[2]):
+        if score < least and score <= best:  # with every occurrence counted it is no less than any part with words once
+            break
+        at = (np.flatnonzero(scores[s:e] > 0) + s).tolist()
+        once = len({own[i] for i in at}) == len(at)
+        some = [(s, e, score)] if once else _parts([(i, float(scores[i]), own[i]) for i in at], model.other, least)
+        found += some
+        best = max(best, *(x[2] for x in some))
+    return sorted(x for x in found if x[2] >= min(least, best))
 
 
 def best_segment(model: Lexicon, memory: dict[bytes, float], own: list[bytes]) -> tuple[float, int]:
     """Score of the best segment (0: none) and number of words."""
-    return max((x[2] for x in segments(word_scores(model, memory, own))), default=0.0) if own else 0.0, len(own)
+    return max((x[2] for x in passages(model, memory, own, math.inf)), default=0.0) if own else 0.0, len(own)
 
 
 def _count(df: DataFrame, only: frozenset[bytes] | None, label: str | None) -> DataFrame:
@@ -164,14 +204,15 @@ def _scan(df: DataFrame, model: Lexicon) -> DataFrame:
         memory = model.memory()
 
         def kernel(batch):
-            best, sizes, passages = [], [], []
+            best, sizes, significant = [], [], []
             for text in batch.column("text").to_pylist():
                 own = words(text)
-                found = segments(word_scores(model, memory, own)) if own else []
+                least = math.log(model.k * max(len(own), 1) / PASSAGE_E)
+                found = passages(model, memory, own, least) if own else []
                 best.append(max((x[2] for x in found), default=0.0))
                 sizes.append(len(own))
-                passages.append([{"start_word": s, "end_word": e, "score": x, "e_value": math.exp(min(50.0, -float(model.statistic(x, len(own)))))} for s, e, x in found if model.statistic(x, len(own)) > -math.log(PASSAGE_E)])
-            return {"best": pa.array(best, pa.float64()), "n_words": pa.array(sizes, pa.int64()), "passages": pa.array(passages, _PASSAGES)}
+                significant.append([{"start_word": s, "end_word": e, "score": x, "e_value": math.exp(min(50.0, -float(model.statistic(x, len(own)))))} for s, e, x in found if model.statistic(x, len(own)) > -math.log(PASSAGE_E)])
+            return {"best": pa.array(best, pa.float64()), "n_words": pa.array(sizes, pa.int64()), "passages": pa.array(significant, _PASSAGES)}
 
         return kernel
 
