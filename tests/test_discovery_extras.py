@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark.config import GateConfig
 from tidemark.operators import calibration, discovery, review
 
 from .test_operators import groups
@@ -67,3 +68,34 @@ def test_sets_reach_their_quantile(spark):
     df = spark.createDataFrame([("A", 0.5, 0.3, 0.2)], "truth string, prob_A double, prob_B double, prob_C double")
     got = [r.prediction_set for r in calibration.prediction_sets(df, ["A", "B", "C"], 0.7).collect()]
     assert got == [["A", "B"]]
+
+
+def test_fits_are_of_all_rows(spark, monkeypatch):
+    seen = []
+
+    def fit(x, *rest):
+        seen.append(len(x))
+        raise InterruptedError
+
+    monkeypatch.setattr(discovery, "fit_ensemble", fit)
+    rows = spark.range(50_300).select(F.col("id").cast("string").alias("segment_id"), F.col("id").cast("double").alias("x"), F.make_date(F.lit(2000) + (F.col("id") % 3).cast("int"), F.lit(1), F.lit(1)).alias("start"))
+    for most in (None, 30):
+        try:
+            discovery.discover(rows, ["x"], most=most)
+        except InterruptedError:
+            pass
+    assert seen == [50_300, 30]
+
+
+def test_walk_forward_counts_support_over_all_rows(spark):
+    """The only rows of a second cluster are those of the largest hashes, beyond the first 50,000."""
+    n, cfg = 50_300, GateConfig(n_clusters=2, ensemble_size=1, max_iter=20)
+    day = lambda k: F.lit(dt.datetime(2020, 1, k)).cast("timestamp_ntz")
+    rows = spark.range(n).select(F.col("id").cast("string").alias("segment_id"))
+    far = [r[0] for r in rows.orderBy(F.desc(F.xxhash64("segment_id", F.lit(cfg.random_state)))).limit(40).collect()]
+    i = F.col("segment_id").cast("long")
+    side = F.when(F.col("segment_id").isin(far), 500.0).otherwise(0.0)
+    train = rows.select("segment_id", F.concat(F.lit("S"), (i % 7).cast("string")).alias("symbol"), day(1).alias("start"), day(2).alias("end"), day(3).alias("available_at"), (side + F.sin(i)).alias("x"))
+    ask = spark.range(2).select(F.concat(F.lit("ask"), F.col("id").cast("string")).alias("segment_id"), F.lit("S0").alias("symbol"), day(4).alias("start"), day(5).alias("end"), day(6).alias("available_at"), (500.0 * F.col("id")).alias("x"))
+    out = {r.segment_id: r for r in discovery.walk_forward(train.unionByName(ask), ["x"], cfg).where("segment_id LIKE 'ask%'").collect()}
+    assert out["ask0"].candidate_label != out["ask1"].candidate_label and out["ask1"].cluster_supported and out["ask1"].oos_train_rows == n

@@ -1,6 +1,6 @@
-"""Soft clusters of segments with abstention: ensemble fits on a bounded sample, scoring by broadcast parameters, walk-forward refits.
+"""Soft clusters of segments with abstention: ensemble fits on all rows, scoring by broadcast parameters, walk-forward refits.
 
-Fits run as one task a model version; scoring is a pass over rows. Cluster names are local to a model version.
+Fits run as one task a model version, which holds all of its training rows; scoring is a pass over rows. Cluster names are local to a model version.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from ..functions import kernels as K
 from ..functions.checks import DISCOVERY_TOKENS, reject_look_ahead, require
 from . import labels as L
 
-#: Segments a model is fitted on at most (smallest keyed hash of the id).
+#: Segments of a sample for fits on a whole market.
 FIT_ROWS = 50_000
 
 
@@ -89,8 +89,12 @@ def fit_baseline(x: np.ndarray, features: list[str], cfg: GateConfig, key: tuple
     return model
 
 
+def hash_order(df: DataFrame, seed: int = 42) -> DataFrame:
+    return df.orderBy(F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed)), "segment_id")
+
+
 def sample_rows(df: DataFrame, most: int = FIT_ROWS, seed: int = 42) -> DataFrame:
-    return df.orderBy(F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed)), "segment_id").limit(most)
+    return hash_order(df, seed).limit(most)
 
 
 def year_quotas(df: DataFrame, most: int, floor: int = 0) -> DataFrame:
@@ -159,14 +163,16 @@ def label_segments(df: DataFrame, model: Ensemble, support: DataFrame, cfg: Gate
     return L.apply_gates(scored, gates or L.discovery_gates(cfg))
 
 
-def discover(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, most: int = FIT_ROWS, backend: str = "ensemble") -> DataFrame:
-    """Fit on a bounded sample, then label every row. backend: ensemble, or gmm for the baseline with its own gates."""
+def discover(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, most: int | None = None, backend: str = "ensemble") -> DataFrame:
+    """Fit on all rows, which the driver holds (or on a sample of `most`, by year where there is a start), then label every
+    row. backend: ensemble, or gmm for the baseline with its own gates."""
     if backend not in ("ensemble", "gmm"):
         raise ValueError(f"unknown backend {backend!r}")
     cfg = cfg or (GateConfig() if backend == "ensemble" else BASELINE_GATES)
     reject_look_ahead(features, DISCOVERY_TOKENS)
     require(df, ("segment_id", *features), "segments")
-    sample = sample_rows(df.select("segment_id", *[F.col(f).cast("double") for f in features]), most).toPandas()
+    chosen = df if most is None else stratified_fit_sample(df, most) if "start" in df.columns else sample_rows(df, most)
+    sample = hash_order(chosen.select("segment_id", *[F.col(f).cast("double") for f in features])).toPandas()
     if not len(sample):
         raise ValueError("no segments to fit on")
     model = (fit_ensemble if backend == "ensemble" else fit_baseline)(sample[features].to_numpy(float), features, cfg)
@@ -227,9 +233,9 @@ def purge_overlaps(df: DataFrame, schedule: DataFrame) -> DataFrame:
     return rows.join(last, "segment_id", "left").withColumn("purged", F.coalesce(F.col("start") <= F.col("last_end"), F.lit(False))).drop("last_end")
 
 
-def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, min_rows: int = 100, every: int = 20, most: int = FIT_ROWS) -> DataFrame:
-    """Out-of-sample states: each row is scored by the version in force when it became available, fitted on rows available
-    strictly before. Versions are fitted in parallel, one task each, on at most `most` rows by keyed hash."""
+def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, min_rows: int = 100, every: int = 20) -> DataFrame:
+    """Out-of-sample states: each row is scored by the version in force when it became available, fitted on all rows
+    available strictly before. Versions are fitted in parallel, one task each."""
     cfg = cfg or GateConfig()
     reject_look_ahead(features, DISCOVERY_TOKENS)
     require(df, ("segment_id", "symbol", "start", "end", "available_at", *features), "segments")
@@ -237,17 +243,16 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
     bounds = training_bounds(df, schedule)
     rows = purge_overlaps(df, schedule)
     need = df.select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features])
-    # versions are few (one in `every` days); rows are capped a version by hash, as a fit's documented bound
+    # versions are few (one in `every` days); each gets all rows before it, in an order by keyed hash
     train = need.join(bounds.select("version"), F.col("available_at") < F.col("version"))
-    w = Window.partitionBy("version").orderBy(F.xxhash64("segment_id", F.lit(cfg.random_state)), "segment_id")
-    train = train.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).withColumn("fits", F.lit(True))
-    asks = rows.where("version IS NOT NULL").select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features], "version", F.lit(0).alias("_r"), F.lit(False).alias("fits"))
+    train = train.withColumns({"_r": F.xxhash64("segment_id", F.lit(cfg.random_state)), "fits": F.lit(True)})
+    asks = rows.where("version IS NOT NULL").select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features], "version", F.lit(0).cast("long").alias("_r"), F.lit(False).alias("fits"))
     k = cfg.n_clusters
     columns = [f"prob_CLUSTER_{chr(65 + j)}" for j in range(k)]
     schema = "segment_id string, candidate_label string, max_probability double, posterior_entropy double, model_disagreement double, density_score double, is_low_density boolean, mixture_converged boolean, cluster_supported boolean, " + ", ".join(f"{c} double" for c in columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, ask = pdf[pdf.fits].sort_values("_r"), pdf[~pdf.fits]
+        fit, ask = pdf[pdf.fits].sort_values(["_r", "segment_id"]), pdf[~pdf.fits]
         names = [x.split()[0] for x in schema.split(", ")]
         if not len(fit) or not len(ask):
             return pd.DataFrame(columns=names)
