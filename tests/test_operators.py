@@ -57,6 +57,25 @@ def test_bootstrap_does_not_depend_on_other_symbols(made):
     assert (causal.frequency == 1).all()
 
 
+def test_bootstrap_takes_a_hundred_draws(made, spark, tiny, monkeypatch):
+    from tidemark.functions import kernels as K
+    from tidemark.plans.catalog import QUERIES
+
+    cfg = SegmentationConfig()
+    pdf = made.where("symbol = 'A'").toPandas().sort_values("timestamp")
+    b = {c: pdf[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")}
+    find = lambda b: [(i, c) for i, _, c in K.causal_pivots(b["high"], b["low"], b["close"], cfg.atr_period, cfg.atr_reversal)]
+    noisy = [find(K.perturb(b, K.keyed_rng(0, "A", k), cfg.bootstrap_price_noise, cfg.bootstrap_volume_noise)) for k in range(100)]
+    want = {i: sum(i == 0 or any(abs(i - j) <= cfg.bootstrap_tolerance and d <= c for j, d in x) for x in noisy) / 100 for i, c in find(b)}
+    got = segments.bootstrap_stability(made, causal=True).where("symbol = 'A'").collect()
+    assert {r.boundary_idx: r.frequency for r in got} == pytest.approx(want)
+    draws, real = [], segments.bootstrap_stability
+    monkeypatch.setattr(segments, "bootstrap_stability", lambda *a, iterations=100, **b: draws.append(iterations) or real(*a, iterations=iterations, **b))
+    for name in ("bootstrap_stability", "bootstrap_stability_causal"):
+        assert "boundary_uncertainty" in QUERIES[name](spark, tiny).columns
+    assert draws == [100, 100]
+
+
 def test_normalize_reads_vendor_types(spark):
     df = spark.createDataFrame([("A", 20200102, "1", "2", "1", "1.5", None), ("A", 20200101, "1", "2", "1", "x", "3"), ("A", 20200101, "1", "2", "1", "2", "4")], "ts_code string, trade_date int, open string, high string, low string, close string, vol string")
     out = [(r.timestamp, r.close, r.volume) for r in bars.normalize(df).orderBy("timestamp").collect()]

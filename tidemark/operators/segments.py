@@ -21,6 +21,8 @@ SEGMENT = (
     "segment_id string, symbol string, segment_no int, start_idx int, end_idx int, start timestamp_ntz, end timestamp_ntz, start_boundary_probability double, "
     "end_boundary_probability double, boundary_probability double, boundary_uncertainty double, start_boundary_sources string, end_boundary_sources string, n_bars int"
 )
+#: Perturbed draws of a symbol in one task.
+DRAWS = 25
 CAUSAL = SEGMENT + ", confirmation_idx int, available_at timestamp_ntz, start_available_at timestamp_ntz, segmenter string"
 
 
@@ -136,7 +138,7 @@ def precision_recall(counts: DataFrame, by: tuple = ()) -> DataFrame:
 # --- bootstrap ------------------------------------------------------------------------------------------------------
 
 
-def bootstrap_stability(bars: DataFrame, cfg: SegmentationConfig | None = None, *, iterations: int = 20, seed: int = 0, causal: bool = False, change_points: bool = False, segmenter: Callable | None = None) -> DataFrame:
+def bootstrap_stability(bars: DataFrame, cfg: SegmentationConfig | None = None, *, iterations: int = 100, seed: int = 0, causal: bool = False, change_points: bool = False, segmenter: Callable | None = None) -> DataFrame:
     """(symbol, boundary_idx, frequency): how often a boundary comes back within the tolerance on perturbed bars. Noise
     depends on (seed, symbol, iteration) alone. Causal: a candidate counts only if it was confirmed no later than the
     boundary itself; the first bar always comes back. segmenter(arrays) -> [(index, confirming index)] takes its place."""
@@ -151,14 +153,17 @@ def bootstrap_stability(bars: DataFrame, cfg: SegmentationConfig | None = None,
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp")
-        symbol, k, b = pdf["symbol"].iloc[0], int(pdf["iteration"].iloc[0]), _arrays(pdf)
-        base, noisy = find(b), find(K.perturb(b, K.keyed_rng(seed, symbol, k), cfg.bootstrap_price_noise, cfg.bootstrap_volume_noise))
-        hit = [causal and i == 0 or any(abs(i - j) <= cfg.bootstrap_tolerance and (not causal or d <= c) for j, d in noisy) for i, c in base]
-        return pd.DataFrame({"symbol": symbol, "boundary_idx": np.array([i for i, _ in base], np.int32), "hit": np.array(hit, float)})
-
-    each = bars.select(*BAR).crossJoin(F.broadcast(bars.sparkSession.range(iterations).select(F.col("id").cast("int").alias("iteration"))))
-    hits = each.groupBy("symbol", "iteration").applyInPandas(run, "symbol string, boundary_idx int, hit double")
-    return hits.groupBy("symbol", "boundary_idx").agg(F.avg("hit").alias("frequency"))
+        symbol, first, b = pdf["symbol"].iloc[0], int(pdf["first"].iloc[0]), _arrays(pdf)
+        base = find(b)
+        hits = np.zeros(len(base))
+        for k in range(first, min(first + DRAWS, iterations)):
+            noisy = find(K.perturb(b, K.keyed_rng(seed, symbol, k), cfg.bootstrap_price_noise, cfg.bootstrap_volume_noise))
+            hits += [causal and i == 0 or any(abs(i - j) <= cfg.bootstrap_tolerance and (not causal or d <= c) for j, d in noisy) for i, c in base]
+        return pd.DataFrame({"symbol": symbol, "boundary_idx": np.array([i for i, _ in base], np.int32), "hits": hits})
+
+    each = bars.select(*BAR).crossJoin(F.broadcast(bars.sparkSession.range(0, iterations, DRAWS).select(F.col("id").cast("int").alias("first"))))
+    hits = each.groupBy("symbol", "first").applyInPandas(run, "symbol string, boundary_idx int, hits double")
+    return hits.groupBy("symbol", "boundary_idx").agg((F.sum("hits") / iterations).alias("frequency"))
 
 
 def fold_in_stability(segments: DataFrame, stability: DataFrame, default: float = 1.0) -> DataFrame:

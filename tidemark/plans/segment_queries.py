@@ -92,14 +92,14 @@ def fused_segments(spark, d):
 @query("bootstrap_stability")
 def bootstrap_stability(spark, d):
     bars = load(spark, d, "f1_event_bars")
-    stable = segments.bootstrap_stability(bars, iterations=5)
+    stable = segments.bootstrap_stability(bars, iterations=100)
     return segments.fold_in_stability(segments.segment_bars(bars), stable)
 
 
 @query("bootstrap_stability_causal")
 def bootstrap_stability_causal(spark, d):
     bars = load(spark, d, "f1_event_bars")
-    return segments.fold_in_stability(segments.segment_causal(bars), segments.bootstrap_stability(bars, iterations=5, causal=True), default=0.0)
+    return segments.fold_in_stability(segments.segment_causal(bars), segments.bootstrap_stability(bars, iterations=100, causal=True), default=0.0)
 
 
 @query("boundary_agreement")
