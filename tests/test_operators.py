@@ -173,6 +173,19 @@ def test_discovery_labels_are_closed_and_sum_to_one(spark):
     assert (alone.label == "UNKNOWN").all() and alone.unknown_reason.str.contains("insufficient_cluster_support").all()
 
 
+def test_soft_assignment_reads_whole_vectors(spark, tiny):
+    from tidemark.plans.catalog import QUERIES
+
+    p = spark.read.parquet(f"{tiny}/embeddings.parquet").toPandas().sort_values("vec_id")
+    x, names = np.stack(p.embedding).astype(float), sorted(p.label.unique())
+    assert x.shape[1] == 64
+    lj = np.stack([np.log((p.label == n).mean()) - 0.5 * ((x - (g := x[(p.label == n).to_numpy()]).mean(0)) ** 2 / (s := g.var(0) + 1e-4) + np.log(2 * np.pi * s)).sum(1) for n in names], axis=1)
+    e = np.exp(lj - lj.max(axis=1, keepdims=True))
+    got = QUERIES["gaussian_soft_assign_whole"](spark, tiny).toPandas().sort_values("vec_id")
+    assert got.candidate_label.tolist() == [names[k] for k in lj.argmax(axis=1)]
+    assert np.allclose(got.max_probability, (e / e.sum(axis=1, keepdims=True)).max(axis=1), atol=1e-6)
+
+
 def test_walk_forward_trains_on_the_past(spark):
     out = discovery.walk_forward(groups(spark), ["cumulative_return", "duration_bars"], GateConfig(n_clusters=3), min_rows=20, every=10).toPandas()
     assert (out[out.oos_model_trained_at.isna()].unknown_reason == "insufficient_history").all()

@@ -278,6 +278,26 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
     }).drop("version", "train_rows", "train_max_end", "train_max_available_at")
 
 
+# --- fixed groups ---
+
+
+def soft_assign(df: DataFrame, *, key: str = "vec_id", label: str = "label", vector: str = "embedding", floor: float = 1e-4) -> DataFrame:
+    """key, candidate_label, max_probability: posterior of a diagonal Gaussian mixture with the labels' groups as components,
+    over all dimensions of the vectors. floor is added to variances."""
+    x = F.col(vector).cast("array<double>")
+    cells = df.select(F.col(label).alias("candidate_label"), F.posexplode(x).alias("k", "x"))
+    cells = cells.groupBy("candidate_label", "k").agg(F.avg("x").alias("m"), (F.var_pop("x") + floor).alias("s"))
+    each = F.transform(F.sort_array(F.collect_list(F.struct("k", "m", "s"))), lambda c: F.struct(c["m"].alias("m"), c["s"].alias("s")))
+    sizes = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    params = cells.groupBy("candidate_label").agg(each.alias("c")).join(sizes.withColumn("lw", F.ln(F.col("n") / total)), F.col("candidate_label") == F.col("_l"))
+    terms = F.zip_with(x, F.col("c"), lambda v, c: (v - c["m"]) * (v - c["m"]) / c["s"] + F.ln(F.lit(2.0) * F.pi() * c["s"]))
+    joint = df.select(key, vector).crossJoin(F.broadcast(params.select("candidate_label", "c", "lw")))  # a row a component
+    joint = joint.select(key, "candidate_label", (F.col("lw") - 0.5 * F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)).alias("lj"))
+    best = joint.groupBy(key).agg(F.max("lj").alias("top"), F.max_by("candidate_label", "lj").alias("candidate_label"), F.collect_list("lj").alias("ljs"))
+    return best.select(key, "candidate_label", (1 / F.aggregate("ljs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))).alias("max_probability"))
+
+
 # --- robustness -----------------------------------------------------------------------------------------------------
 
 

@@ -421,6 +421,12 @@ def gaussian_soft_assign(spark, d):
     return rounded(best.select("vec_id", "candidate_label", (1 / F.aggregate("ljs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))).alias("max_probability")))
 
 
+@query("gaussian_soft_assign_whole")
+def gaussian_soft_assign_whole(spark, d):
+    """Over all dimensions; gaussian_soft_assign is held to its SQL, which reads the first eight."""
+    return rounded(discovery.soft_assign(spark.read.parquet(f"{d}/embeddings.parquet")))
+
+
 @query("segment_audit", oracle("f3_fixed_segments", """
 , a AS (SELECT *, CASE WHEN segment_no % 17 = 0 THEN n_bars + 1 ELSE n_bars END AS nb FROM f3_fixed_segments UNION ALL SELECT *, n_bars FROM f3_fixed_segments WHERE segment_no % 19 = 0)
 SELECT 'duplicate_segment_id' AS code, count(*) - count(DISTINCT segment_id) AS n FROM a UNION ALL SELECT 'invalid_segment_geometry', count(*) FILTER (WHERE start_ts > end_ts OR end_idx < start_idx OR nb <> end_idx - start_idx + 1) FROM a
