@@ -76,6 +76,17 @@ def test_bootstrap_takes_a_hundred_draws(made, spark, tiny, monkeypatch):
     assert draws == [100, 100]
 
 
+def test_whole_interval_tables_overlap(spark, tiny):
+    from tidemark.plans.catalog import QUERIES
+    from tidemark.sources.fixtures import load
+
+    left = load(spark, tiny, "f3_fixed_segments").toPandas()
+    right = segments.segment_causal(load(spark, tiny, "f1_event_bars")).toPandas()
+    want = [r.segment_id for r in left.itertuples() if ((right.symbol == r.symbol) & (right.start <= r.end_ts) & (right.end >= r.start_ts)).any()]
+    assert 0 < len(want) < len(left)
+    assert sorted(r.segment_id for r in QUERIES["interval_overlaps_whole"](spark, tiny).collect()) == sorted(want)
+
+
 def test_normalize_reads_vendor_types(spark):
     df = spark.createDataFrame([("A", 20200102, "1", "2", "1", "1.5", None), ("A", 20200101, "1", "2", "1", "x", "3"), ("A", 20200101, "1", "2", "1", "2", "4")], "ts_code string, trade_date int, open string, high string, low string, close string, vol string")
     out = [(r.timestamp, r.close, r.volume) for r in bars.normalize(df).orderBy("timestamp").collect()]

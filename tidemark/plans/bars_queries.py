@@ -323,3 +323,12 @@ SELECT l.segment_id FROM f3_fixed_segments l WHERE l.segment_no % 2 = 0 AND EXIS
 def interval_overlaps(spark, d):
     rows = load(spark, d, "f3_fixed_segments").withColumnsRenamed({"start_ts": "start", "end_ts": "end"}).select("segment_id", "symbol", "segment_no", "start", "end")
     return asof.overlapping(rows.where("segment_no % 2 = 0"), rows.where("segment_no % 5 = 1")).select("segment_id")
+
+
+@query("interval_overlaps_whole")
+def interval_overlaps_whole(spark, d):
+    """All fixed segments against all causal ones of the same bars; interval_overlaps is held to its SQL, which takes parts."""
+    from ..operators.segments import segment_causal
+
+    rows = load(spark, d, "f3_fixed_segments").withColumnsRenamed({"start_ts": "start", "end_ts": "end"}).select("segment_id", "symbol", "start", "end")
+    return asof.overlapping(rows, segment_causal(load(spark, d, "f1_event_bars")).select("symbol", "start", "end")).select("segment_id")
