@@ -1,6 +1,7 @@
 """Operators over documents against brute force, and on awkward rows."""
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -201,6 +202,93 @@ def test_toxicity_on_held_out_rows(spark, docs, labels, awkward):
     assert toxicity.keep(awkward, labels).columns == awkward.columns
 
 
+def test_toxicity_never_sees_held_out_labels(spark, docs, labels):
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (toxicity.op6(docs, x).select("doc_id", "score").toPandas().sort_values("doc_id").score.to_numpy() for x in (labels, turned))
+    assert (a == b).all()
+
+
+def brute_scores(rows, y, fold):
+    """Scores of texts rows by the definition: fitted texts are those of y (text: label) and fold (text: number)."""
+    t = toxicity
+    sets = {x: t.tokens(set(t.words(x))) for x in y}
+
+    def model(without, limits):
+        use = [x for x in y if fold[x] != without]
+        size = {k: sum(len(sets[x]) for x in use if y[x] == k) for k in (0, 1)}
+        everything = sum(len(t.tokens(set(t.words(x)))) for x in rows)
+        odds, a_toxic, a_clean = {}, 0.0, 0.0
+        for token in sorted(set().union(*(sets[x] for x in y))):
+            n = {k: sum(token in sets[x] for x in use if y[x] == k) for k in (0, 1)}
+            if n[1] < t.MIN_TOXIC:
+                continue
+            raw = np.log((n[1] + 0.5) / (size[1] + 0.5 - n[1])) - np.log((n[0] + 0.5) / (size[0] + 0.5 - n[0]))
+            a = t.PRIOR * max(sum(token in t.tokens(set(t.words(x))) for x in rows), sum(token in sets[x] for x in y)) / everything
+            p, q = n[1] + a, n[0] + a
+            d = np.log(p / (size[1] + t.PRIOR - p)) - np.log(q / (size[0] + t.PRIOR - q))
+            if min(d, raw) >= limits[0] and d / np.sqrt(1 / p + 1 / q) >= limits[1]:
+                odds[token] = min(d, raw)
+                a_toxic, a_clean = a_toxic + p, a_clean + q
+        return t.Lexicon(odds, -max(1e-3, np.log((1 - a_clean / (size[0] + t.PRIOR)) / (1 - a_toxic / (size[1] + t.PRIOR)))))
+
+    fitted, n = sorted(y), {x: max(1, len(t.words(x))) for x in y}
+    labels = np.array([y[x] for x in fitted], float)
+    best, losses, models = [], [], []
+    for limits in t.LIMITS:
+        models.append({k: model(k, limits) for k in range(t.FOLDS)})
+        best.append(np.array([t.best_segment(models[-1][fold[x]], models[-1][fold[x]].memory(), t.words(x))[0] for x in fitted]))
+        losses.append(round(t._loss(np.clip(best[-1] - np.log([n[x] for x in fitted]), -50, 50), labels), 6))
+    j = int(np.argmin(losses))
+    clean = [i for i, x in enumerate(fitted) if y[x] == 0]
+    k = min(1.0, max(1e-6, len(clean) / sum(n[fitted[i]] * np.exp(-best[j][i]) for i in clean)))
+
+    def joined(m, text):
+        m.k, own = k, t.words(text)
+        own_k = k * max(1, len(own))
+        found = sorted((x[2] for x in t.passages(m, m.memory(), own, np.log(own_k / t.PASSAGE_E))), reverse=True) if own else []
+        sizes = [x - np.log(own_k) for x in found] or [-np.log(own_k)]
+        chances = [np.exp(-sizes[0])]
+        for r in range(2, len(sizes) + 1):
+            if own_k * np.exp(-found[r - 1]) >= t.PASSAGE_E:
+                break
+            total = sum(sizes[:r])
+            chances.append(2 ** (r - 1) * np.exp(-total) * total ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)))
+        return -np.log(min(chances))
+
+    a, b = t._logistic(np.clip([joined(models[j][fold[x]], x) for x in fitted], -50, 50), labels)
+    last = model(None, t.LIMITS[j])
+    return [1 / (1 + np.exp(-(a + b * np.clip(joined(last, x), -50, 50)))) for x in rows], last
+
+
+def test_toxicity_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    usual, bad = [f"w{chr(97 + k // 5)}{chr(97 + k % 5)}lo" for k in range(25)], ["scum", "vermin", "filthy", "rotten", "filthier"]
+    rows = []
+    for i in range(150):
+        own = rng.choice(usual, rng.integers(1, 40)).tolist()
+        if i % 4 == 0:
+            for _ in range(rng.integers(1, 3)):
+                at = rng.integers(0, len(own) + 1)
+                own[at:at] = rng.choice(bad, rng.integers(1, 5)).tolist()
+        rows.append((i, " ".join(own), int(i % 4 == 0 and i % 11 != 0)))
+    rows += [(150, rows[0][1], 0), (151, "", 0), (152, None, None), (153, "scum " * 30 + "walo " * 300 + "vermin filthy scum rotten", None)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "PRIOR", 50.0)
+    folds = {r.text: r.fold for r in docs.select("text", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(toxicity.FOLDS)).alias("fold")).collect()}
+    y = {}
+    for i, text, label in rows:
+        if label is not None and zlib.crc32(str(i).encode()) % 5:
+            y[text] = max(label, y.get(text, 0))
+    want, model = brute_scores([t or "" for _, t, _ in rows], y, folds)
+    assert model.odds
+    for carried in (toxicity.CARRIED, 0):  # candidates in tasks, and in a join
+        monkeypatch.setattr(toxicity, "CARRIED", carried)
+        got = {r.doc_id: r.score for r in toxicity.op6(docs, labels).collect()}
+        assert np.allclose([got[i] for i, _, _ in rows], want, rtol=1e-6, atol=1e-9)
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(2)
 

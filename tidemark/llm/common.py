@@ -30,15 +30,25 @@ def bound_batches(spark: SparkSession) -> None:
 
 def cut(df: DataFrame, *, compact: bool = False) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation.
-    compact: for narrow rows made by scan tasks; files of the advisory size, not one for each scan task."""
+    compact: for narrow rows made by scan tasks; files of the advisory size, not one for each scan task. Without a folder
+    set, a local master takes a temporary one; a cluster's machines share none, so there it is an error."""
     if compact:
         df = df.hint("rebalance")
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for kernels that cost more than a shuffle of their rows: a table of fewer splits than cores is dealt to all."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def without(df: DataFrame, names) -> DataFrame:
     """df without columns that an output column would clash with (case does not count)."""
     taken = {n.lower() for n in names}

@@ -2,17 +2,27 @@
 
 Fit. At most FIT_ROWS labelled documents that are not held out (smallest hash of the id) give document counts of tokens in
 toxic and clean texts; a token is a word or its first 4, 5 or 6 bytes (marked with a star). Tokens of at least MIN_TOXIC
-toxic documents are candidates. Their document counts over all documents are the Dirichlet prior of a log-odds ratio with
-its standard error; tokens of a clear and significant excess form the lexicon. The score of a word is the largest
-log-odds ratio of its tokens in the lexicon, or else that of all other tokens together, which is just below zero.
+toxic documents and a clear excess by these counts are candidates. Their document counts over all documents are the
+Dirichlet prior of a log-odds ratio with its standard error; tokens whose excess is clear and significant by it too form the
+lexicon. Every candidate is tested: up to CARRIED of them travel to the counting tasks, more are counted in a join. The score of a word is the largest log-odds ratio of its tokens in the lexicon, or else that of all
+other tokens together, which is just below zero.
+
+Limits. What excess is clear (LIMITS) is chosen by cross-validation inside the fitted rows: texts are dealt into FOLDS by
+their hash, each fold is scanned with lexicons that leave its counts out, and the pair of limits of the least log loss is
+taken, the strictest of equals. K and the logistic curve come from the same out-of-fold scans. No label of a held-out row
+is read for any of it.
 
 Scan. The model is of words being there or not, so in a segment each word of the lexicon counts once and its repeats like
 other words; in another segment it counts again. Passages are the best segment of a text, then those of the rests before
 and after it, and so on. All maximal scoring segments with every occurrence counted are found in linear time; each passage
 lies in one of them, and only those that hold a word twice are searched. A segment of score S in a text of n words has
 E = K n exp(-S) (scores are natural log-odds, so lambda is 1); K comes from the largest segments of clean fitted
-documents. Segments of E below PASSAGE_E are passages. A document's statistic is its best segment's -ln E, turned into a
-score by a logistic curve fitted on the same sample. Labels, lang, source and doc_id are never inputs.
+documents. Segments of E below PASSAGE_E are passages.
+
+Score. A document's statistic joins its best segment with all its passages by the sum statistic of extreme values: the r
+best segments of normalised scores with sum T have a chance of exp(-T) T^(r-1) / (r! (r-1)!), doubled for each segment
+after the first, and the least chance of all r counts. A logistic curve makes it a score. Labels, lang, source and doc_id
+are never inputs.
 
 Null text counts as empty and has a score. Null labels are not learned from; of repeated ids in labels the largest counts.
 Without both kinds of labels the lexicon is empty and the score is the smoothed share of ones. Repeated rows get equal
@@ -29,15 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut, held_out, text_values
+from .common import arrow_map, bound_batches, cut, held_out, spread, text_values
 from .quality import FIT_ROWS, fit_rows
 
-#: Score from which a document is toxic; E below which a segment is a passage; candidates at most (a size of the model).
-TOXIC, PASSAGE_E, CANDIDATES = 0.5, 0.01, 65_536
-#: Least toxic documents of a token, log-odds, standard errors, weight of the prior in documents' tokens, lengths of prefixes.
-MIN_TOXIC, MIN_ODDS, MIN_Z, PRIOR, PREFIXES = 3, 3.5, 2.0, 20_000.0, (4, 5, 6)
-#: Entries after which a task passes its counts on or forgets remembered words.
-FLUSH = 200_000
+#: Score from which a document is toxic; E below which a segment is a passage.
+TOXIC, PASSAGE_E = 0.5, 0.01
+#: Least toxic documents of a token, weight of the prior in documents' tokens, lengths of prefixes, folds.
+MIN_TOXIC, PRIOR, PREFIXES, FOLDS = 3, 20_000.0, (4, 5, 6), 4
+#: Pairs of least log-odds and least standard errors that cross-validation chooses from, strictest first.
+LIMITS = ((4.0, 3.0), (4.0, 2.0), (3.0, 3.0), (3.0, 2.0), (2.0, 3.0), (2.0, 2.0))
+#: Entries after which a task passes its counts on or forgets remembered words; candidates that are carried to tasks at most.
+FLUSH, CARRIED = 400_000, 200_000
 
 _SPACED = bytes(i if i >= 128 or chr(i).isalpha() else 32 for i in range(256))
 
@@ -101,8 +113,27 @@ class Lexicon:
         return Remembered()
 
     def statistic(self, best, n):
+        """-ln E of a segment."""
         return best - np.log(self.k * np.maximum(n, 1))
 
+    def least(self, n: int) -> float:
+        """Score from which a segment of a text of n words is a passage."""
+        return math.log(self.k * max(n, 1) / PASSAGE_E)
+
+    def joined(self, scores: list[float], n: int) -> float:
+        """The statistic of a text of n words: its best segment, with all its passages by the sum statistic."""
+        if not scores:
+            return float(self.statistic(0.0, n))
+        base = math.log(self.k * max(n, 1))
+        ordered = sorted((x - base for x in scores), reverse=True)
+        out = total = ordered[0]
+        for r, x in enumerate(ordered[1:], 2):
+            if x <= -math.log(PASSAGE_E):
+                break
+            total += x
+            out = max(out, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+        return out
+
     def probability(self, statistic: float) -> float:
         return 1 / (1 + math.exp(-(self.a + self.b * max(-50.0, min(50.0, float(statistic))))))
 
@@ -162,61 +193,73 @@ def best_segment(model: Lexicon, memory: dict[bytes, float], own: list[bytes]) -
     return max((x[2] for x in passages(model, memory, own, math.inf)), default=0.0) if own else 0.0, len(own)
 
 
-def _count(df: DataFrame, only: frozenset[bytes] | None, label: str | None) -> DataFrame:
-    """(token binary, docs long, toxic long): in how many documents tokens (those of only, if given) stand."""
+def statistic(model: Lexicon, memory: dict[bytes, float], own: list[bytes]) -> float:
+    """The joined statistic of a text's words."""
+    return model.joined([x[2] for x in passages(model, memory, own, model.least(len(own)))] if own else [], len(own))
+
+
+def _count(df: DataFrame, label: str | None = None, fold: str | None = None, only: frozenset[bytes] | None = None) -> DataFrame:
+    """(token binary, docs array<long>, toxic array<long>): in how many documents of each fold (one without fold) each token
+    (of only, if given) stands. The token of a blank stands for all tokens together."""
     bound_batches(df.sparkSession)
 
     def run(batches):
-        seen, toxic = Counter(), Counter()
+        seen, toxic, held = {}, {}, 0
 
-        def emit():
-            keys = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([toxic[k] for k in keys], pa.int64())], names=["token", "docs", "toxic"])
-            seen.clear()
-            toxic.clear()
-            return made
+        def emit(k):
+            some, bad = seen.pop(k), toxic.pop(k, Counter())
+            keys = list(some)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([k] * len(keys), pa.int32()), pa.array([some[t] for t in keys], pa.int64()), pa.array([bad[t] for t in keys], pa.int64())], names=["token", "fold", "docs", "toxic"])
 
         for batch in batches:
             labels = batch.column(label).to_pylist() if label else [0] * batch.num_rows
-            for text, y in zip(batch.column("text").to_pylist(), labels, strict=True):
+            folds = batch.column(fold).to_pylist() if fold else [0] * batch.num_rows
+            for text, y, k in zip(batch.column("text").to_pylist(), labels, folds, strict=True):
                 own = tokens(set(words(text)))
                 size = len(own)
                 if only is not None:
                     own &= only
-                seen.update(own)
-                seen[b" "] += size  # all tokens together
+                some = seen.setdefault(k, Counter())
+                held -= len(some)
+                some.update(own)
+                some[b" "] += size
+                held += len(some)
                 if y:
-                    toxic.update(own)
-                    toxic[b" "] += size
-            if len(seen) > FLUSH:
-                yield emit()
-        if seen:
-            yield emit()
-
-    counts = df.select("text", *([label] if label else [])).mapInArrow(run, "token binary, docs long, toxic long")
-    return counts.groupBy("token").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+                    bad = toxic.setdefault(k, Counter())
+                    bad.update(own)
+                    bad[b" "] += size
+            if held > FLUSH:
+                for k in list(seen):
+                    yield emit(k)
+                held = 0
+        for k in list(seen):
+            yield emit(k)
+
+    counts = df.select("text", *[c for c in (label, fold) if c]).mapInArrow(run, "token binary, fold int, docs long, toxic long")
+    n = FOLDS if fold else 1
+    each = lambda c: F.array(*[F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(c))), F.lit(0)) for k in range(n)]).alias(c)
+    return counts.groupBy("token").agg(each("docs"), each("toxic"))
 
 
 def _scan(df: DataFrame, model: Lexicon) -> DataFrame:
-    """df with best double, n_words long and passages."""
+    """df with statistic double and passages."""
 
     def setup():
         memory = model.memory()
 
         def kernel(batch):
-            best, sizes, significant = [], [], []
+            statistics, significant = [], []
             for text in batch.column("text").to_pylist():
                 own = words(text)
-                least = math.log(model.k * max(len(own), 1) / PASSAGE_E)
+                least = model.least(len(own))
                 found = passages(model, memory, own, least) if own else []
-                best.append(max((x[2] for x in found), default=0.0))
-                sizes.append(len(own))
-                significant.append([{"start_word": s, "end_word": e, "score": x, "e_value": math.exp(min(50.0, -float(model.statistic(x, len(own)))))} for s, e, x in found if model.statistic(x, len(own)) > -math.log(PASSAGE_E)])
-            return {"best": pa.array(best, pa.float64()), "n_words": pa.array(sizes, pa.int64()), "passages": pa.array(significant, _PASSAGES)}
+                statistics.append(model.joined([x[2] for x in found], len(own)))
+                significant.append([{"start_word": s, "end_word": e, "score": x, "e_value": math.exp(min(50.0, -float(model.statistic(x, len(own)))))} for s, e, x in found if x > least])
+            return {"statistic": pa.array(statistics, pa.float64()), "passages": pa.array(significant, _PASSAGES)}
 
         return kernel
 
-    return arrow_map(df, setup, "best double, n_words long, passages array<struct<start_word:int,end_word:int,score:double,e_value:double>>")
+    return arrow_map(df, setup, "statistic double, passages array<struct<start_word:int,end_word:int,score:double,e_value:double>>")
 
 
 _PASSAGES = pa.list_(pa.struct([("start_word", pa.int32()), ("end_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
@@ -237,52 +280,121 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float,
     return float(w[0] - w[1] * mean / sd), float(w[1] / sd)
 
 
+def lexicons(docs: DataFrame, sample: DataFrame) -> tuple[list[dict], list[tuple[int, int]]]:
+    """Rows (token; and for all fitted rows, then for those without fold 0, 1, ...: least of the log-odds by counts and with
+    the prior, z, toxic and clean with the prior, enough) of the tokens that reach any pair of limits in any of them, and the
+    numbers of all toxic and clean tokens."""
+    counted = cut(_count(sample, "y", "fold").where(f"aggregate(toxic, 0L, (s, x) -> s + x) >= {MIN_TOXIC} OR token = X'20'"))
+    total = counted.where("token = X'20'").first()
+    if total is None:
+        return [], [(0, 0)] * (FOLDS + 1)
+    n = [(sum(total.toxic), sum(total.docs) - sum(total.toxic))]
+    n += [(n[0][0] - t, n[0][1] - (d - t)) for t, d in zip(total.toxic, total.docs, strict=True)]
+    if not all(n[0]):
+        return [], n
+    total_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+    each = []  # toxic and clean documents of a token
+    for k in range(FOLDS + 1):
+        t = total_of("toxic") - (F.col("toxic")[k - 1] if k else 0)
+        each.append((t, total_of("docs") - (F.col("docs")[k - 1] if k else 0) - t))
+    odds = lambda t, c, k, more: F.ln(t / (n[k][0] + more - t)) - F.ln(c / (n[k][1] + more - c))
+    lowest, calm = min(o for o, _ in LIMITS), min(z for _, z in LIMITS)
+    own = F.array(*[F.when(t >= MIN_TOXIC, odds(t + 0.5, c + 0.5, k, 1.0)) for k, (t, c) in enumerate(each)])
+    candidates = cut(counted.where("token != X'20'").withColumn("own", own).where(F.exists("own", lambda x: F.coalesce(x >= lowest, F.lit(False)))))
+    few = candidates.select("token").limit(CARRIED + 1).toArrow().column(0).to_pylist()
+    everywhere = cut(_count(docs, only=frozenset(few) if len(few) <= CARRIED else None).select(F.col("token").alias("_t"), F.col("docs")[0].alias("_all")))
+    size = everywhere.where("_t = X'20'").first()["_all"]
+    a = F.lit(PRIOR) * F.greatest("_all", total_of("docs")) / F.lit(float(max(size, 1)))
+    made = []
+    for k, (t, c) in enumerate(each):
+        d = odds(t + a, c + a, k, PRIOR)
+        made.append(F.struct(F.least(d, F.col("own")[k]).alias("odds"), (d / F.sqrt(1 / (t + a) + 1 / (c + a))).alias("z"), (t + a).alias("toxic"), (c + a).alias("clean"), (t >= MIN_TOXIC).alias("enough")))
+    rows = candidates.join(everywhere, candidates["token"] == everywhere["_t"]).select("token", F.array(*made).alias("made"))
+    rows = rows.where(F.exists("made", lambda x: x["enough"] & (x["odds"] >= lowest) & (x["z"] >= calm)))
+    return sorted(rows.toArrow().to_pylist(), key=lambda r: r["token"]), n
+
+
+def lexicon(rows: list[dict], n: tuple[int, int], which: int, limits: tuple[float, float]) -> Lexicon:
+    """The lexicon of one pair of limits; which: 0 for all fitted rows, k for those without fold k - 1."""
+    odds, in_toxic, in_clean = {}, 0.0, 0.0
+    for r in rows:
+        m = r["made"][which]
+        if m["enough"] and m["odds"] >= limits[0] and m["z"] >= limits[1]:
+            odds[bytes(r["token"])] = m["odds"]
+            in_toxic, in_clean = in_toxic + m["toxic"], in_clean + m["clean"]
+    rest_t, rest_c = 1 - in_toxic / (n[0] + PRIOR), 1 - in_clean / (n[1] + PRIOR)
+    return Lexicon(odds, -max(1e-3, math.log(rest_c / rest_t)) if rest_t > 0 and rest_c > 0 else -1.0)
+
+
+def _out_of_fold(sample: DataFrame, models: list[list[Lexicon]], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, sizes and, for each list of models (one a fold), the best segment's score of each text of the sample, or
+    the joined statistic (whole). A row a fitted document."""
+    bound_batches(sample.sparkSession)
+
+    def run(batches):
+        memories = [[m.memory() for m in some] for some in models]
+        for batch in batches:
+            out, sizes = [], []
+            for text, k in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
+                own = words(text)
+                sizes.append(len(own))
+                out.append([statistic(some[k], memory[k], own) if whole else best_segment(some[k], memory[k], own)[0] for some, memory in zip(models, memories, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["y", "n", "s"])
+
+    found = sample.select("text", "y", "fold").mapInArrow(run, "y int, n long, s array<double>").toArrow()
+    y, n = (found.column(c).to_numpy().astype(float) for c in ("y", "n"))
+    s = np.array(found.column("s").combine_chunks().flatten()).reshape(len(y), -1) if len(y) else np.zeros((0, len(models)))
+    order = np.lexsort((*s.T, n, y))  # sums do not depend on the order of partitions
+    return y[order], n[order], s[order]
+
+
+def _extreme_k(best: np.ndarray, n: np.ndarray) -> float:
+    """K of the largest segments of clean texts, by maximum likelihood."""
+    return float(np.clip(len(n) / np.sum(np.maximum(n, 1) * np.exp(-best)), 1e-6, 1.0)) if len(n) else 0.1
+
+
+def _loss(x: np.ndarray, y: np.ndarray) -> float:
+    a, b = _logistic(x, y)
+    p = np.clip(1 / (1 + np.exp(-(a + b * x))), 1e-9, 1 - 1e-9)
+    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most: int = FIT_ROWS) -> Lexicon:
     chosen = F.broadcast(fit_rows(labels, label, most).select(F.col("doc_id").alias("_id"), F.col("label").alias("_y")))
     # copies of one text are one observation
-    sample = cut(docs.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("text").agg(F.max("_y").cast("int").alias("y")))
-    counted = _count(sample, None, "y").where(f"toxic >= {MIN_TOXIC}").withColumn("clean", F.col("docs") - F.col("toxic"))
-    rows = counted.orderBy(F.desc(F.col("toxic") / (F.col("clean") + 1)), F.desc("toxic"), "token").limit(CANDIDATES + 1).toArrow().to_pylist()
-    total = next((r for r in rows if bytes(r["token"]) == b" "), None) or next(iter(_count(sample, frozenset(), "y").withColumn("clean", F.col("docs") - F.col("toxic")).where("docs > 0").toArrow().to_pylist()), {"toxic": 0, "clean": 0})
-    rows = [r for r in rows if bytes(r["token"]) != b" "]
-    n_toxic, n_clean = total["toxic"], total["clean"]
-    odds: dict[bytes, float] = {}
-    in_toxic = in_clean = 0.0
-    if rows and n_toxic and n_clean:
-        prior = {bytes(r["token"]): r["docs"] for r in _count(docs, frozenset(bytes(r["token"]) for r in rows), None).toArrow().to_pylist()}
-        everything = max(prior.get(b" ", 0), 1)
-        for r in rows:
-            token = bytes(r["token"])
-            a = PRIOR * max(prior.get(token, 0), r["docs"]) / everything
-            t, c = r["toxic"] + a, r["clean"] + a
-            d = math.log(t / (n_toxic + PRIOR - t)) - math.log(c / (n_clean + PRIOR - c))
-            if d >= MIN_ODDS and d / math.sqrt(1 / t + 1 / c) >= MIN_Z:
-                odds[token] = d
-                in_toxic, in_clean = in_toxic + t, in_clean + c
-    rest_t, rest_c = 1 - in_toxic / (n_toxic + PRIOR), 1 - in_clean / (n_clean + PRIOR)
-    model = Lexicon(odds, -max(1e-3, math.log(rest_c / rest_t) if rest_t > 0 else 1.0))
-    found = _scan(sample, model).select("y", "best", "n_words").toArrow()
-    y, best, n = (found.column(c).to_numpy().astype(float) for c in ("y", "best", "n_words"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not merged into few tasks
+    sample = docs.join(chosen, F.col("doc_id") == F.col("_id")).repartition(tasks, "text").groupBy("text").agg(F.max("_y").cast("int").alias("y"))
+    sample = cut(sample.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(FOLDS)).cast("int")))
+    rows, n = lexicons(docs, sample)
+    models = [[lexicon(rows, n[k + 1], k + 1, pair) for k in range(FOLDS)] for pair in LIMITS]
+    y, sizes, best = _out_of_fold(sample, models if rows else [], False)
     clean = y == 0
-    if clean.any():
-        model.k = float(np.clip(clean.sum() / np.sum(np.maximum(n[clean], 1) * np.exp(-best[clean])), 1e-6, 1.0))
-    if odds and clean.any() and not clean.all():
-        model.a, model.b = _logistic(np.clip(model.statistic(best, n), -50, 50), y)
-    else:
+    if not rows or clean.all() or not clean.any():
+        model = Lexicon({}, -1e-3)
         share = (y.sum() + 1) / (len(y) + 2)
         model.a, model.b = math.log(share / (1 - share)), 0.0
+        return model
+    at = np.log(np.maximum(sizes, 1))
+    losses = [round(_loss(np.clip(best[:, j] - at, -50, 50), y), 6) for j in range(len(LIMITS))]
+    j = int(np.argmin(losses))
+    k = _extreme_k(best[clean, j], sizes[clean])
+    for m in models[j]:
+        m.k = k
+    y, sizes, joined = _out_of_fold(sample, [models[j]], True)
+    model = lexicon(rows, n[0], 0, LIMITS[j])
+    model.k = k
+    model.a, model.b = _logistic(np.clip(joined[:, 0], -50, 50), y)
     return model
 
 
 def score(model: Lexicon) -> F.Column:
-    statistic = F.col("best") - F.ln(F.lit(model.k) * F.greatest("n_words", F.lit(1)))
-    return 1 / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * F.greatest(F.lit(-50.0), F.least(F.lit(50.0), statistic)))))
+    return 1 / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("statistic"))))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = TOXIC) -> DataFrame:
     """doc_id, held_out, score, predicted, passages array<struct<start_word, end_word, score, e_value>>: a row a document."""
-    model = fit(docs.select("doc_id", "text"), labels)
-    out = _scan(docs.select("doc_id", "text"), model).withColumn("_score", score(model))
+    docs = spread(docs.select("doc_id", "text"))
+    out = _scan(docs, model := fit(docs, labels)).withColumn("_score", score(model))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
@@ -294,8 +406,7 @@ def keep(docs: DataFrame, labels: DataFrame, *, threshold: float = TOXIC) -> Dat
         memory = model.memory()
 
         def kernel(texts):
-            t = [model.statistic(*best_segment(model, memory, words(x))) for x in texts]
-            return pa.array([model.probability(x) for x in t], pa.float64())
+            return pa.array([model.probability(statistic(model, memory, words(x))) for x in texts], pa.float64())
 
         return kernel
 
