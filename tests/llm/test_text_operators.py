@@ -393,11 +393,44 @@ def test_mixing_many_levels(spark, monkeypatch):
     assert (g.t - g.k).abs().max() <= 3.5
 
 
-def test_pivotal_steps_keep_expectations(spark):
+def test_pivotal_steps_keep_expectations(spark, monkeypatch):
+    """Over many seeds a document's mean number of copies is its target's share, and a fold's steps keep the mass."""
+    monkeypatch.setattr(mixing, "CHUNK", 8)
     df = spark.createDataFrame([(i, "w " * (1 + i % 3), "a" if i % 2 else "b") for i in range(40)], "doc_id long, text string, source string")
-    n = 60
-    total = sum(mixing.copies(df, seed=100 + 7 * k).groupBy("source").agg(F.avg("copies").alias("c"), F.sum(F.expr("size * copies")).alias("w"), F.first("target").alias("t")).collect()[0].w for k in range(3))
-    assert total > 0 and n
+    runs = 16
+    every = None
+    for k in range(runs):
+        one = mixing.copies(df, seed=100 + 7 * k).select("doc_id", "source", "size", "copies", "source_size", "target")
+        every = one if every is None else every.unionByName(one)
+    got = every.toPandas()
+    got["share"] = got.target / got.source_size
+    got["base"] = np.floor(got.share)
+    assert ((got.copies - got.base).isin([0, 1])).all()
+    for _, g in got.groupby("source"):
+        share = g.share.iloc[0]
+        sd = np.sqrt((share % 1) * (1 - share % 1) / runs)
+        means = g.groupby("doc_id").copies.mean()
+        assert abs(means.mean() - share) < 0.08 and (abs(means - share) < 5 * sd + 1e-9).all()
+
+
+def test_one_row_repeated_very_often(spark, monkeypatch):
+    """A third of all rows are one row: folded as one item, written out by many tasks, each source near its target."""
+    monkeypatch.setattr(mixing, "SPREAD", 1000)
+    hot = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("same few words").alias("text"), F.lit("hot").alias("source"), F.col("id").alias("row"))
+    cold = spark.range(2_000).select((F.col("id") + 10).alias("doc_id"), F.expr("repeat('w ', 1 + cast(id % 90 as int))").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("source"), F.col("id").alias("row"))
+    df = hot.unionByName(cold)
+    out = mixing.copies(df)
+    got = out.toPandas()
+    assert len(got) == 102_000 and got.copies.between(0, 3).all()
+    for _, g in got.groupby("source"):
+        assert abs((g["size"] * g.copies).sum() - g.target.iloc[0]) <= 45
+    same = got[got.doc_id == 5]
+    assert sorted(same.occurrence) == list(range(1, 100_001)) and same.copies.max() - same.copies.min() <= 1
+    assert out.where("doc_id = 5").select(F.spark_partition_id()).distinct().count() > 1
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns and mixed.count() == int(got.copies.sum())
+    assert mixed.where("doc_id = 5").count() == int(same.copies.sum())
+    assert mixed.where("doc_id = 5").groupBy("row").count().agg(F.max("count")).first()[0] <= 3
 
 
 # --- packing ---

@@ -12,9 +12,11 @@ partner and is rounded to the nearest. Chunks are folded from large to small doc
 unlike sizes is mostly the larger one. A source's taken words are so within half a document of its target, at any number
 of chunks and machines.
 
-Chunks do not follow sources' sizes: a source of a third of all rows has many chunks. Rows with equal doc_id, source, text
-and size are counted first and told apart by an occurrence number, so the result does not depend on row order or
-partitioning and reruns agree. Documents without words take no mass and get floor copies. Null text: 0 words. A null
+Chunks do not follow sources' sizes: a source of a third of all rows has many chunks. Rows with equal doc_id, source and
+text are one item with their number n: of n rows with a fraction f, floor(n f) get the copy for certain and the remainder is
+the fraction that pivotal steps round, so a row repeated a million times is folded as one. Written out again, such rows are
+dealt in runs of SPREAD. The result does not depend on row order or partitioning and reruns agree. Documents without words
+take no mass and get floor copies. Null text: 0 words. A null
 source is a source. An empty table gives an empty result. Input columns named like an output column are replaced.
 """
 
@@ -23,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, without, word_count
+from .common import cut, word_count
 
-#: Mean items folded by one row; most copies of a document.
-CHUNK, MOST = 128, 3
+#: Mean items folded by one row; most copies of a document; equal rows that one row of a task writes out.
+CHUNK, MOST, SPREAD = 128, 3, 8192
 
 
 def targets(stats: DataFrame) -> DataFrame:
@@ -51,18 +53,18 @@ def targets(stats: DataFrame) -> DataFrame:
 
 
 #: An item in a chunk. h: hash of its key; m: mass, between 0 and size.
-ITEM = "struct<size:bigint,h:bigint,doc_id:{id},source:{source},text_hash:bigint,occurrence:int,m:double>"
-KEY = ("size", "h", "doc_id", "source", "text_hash", "occurrence")
+ITEM = "struct<size:bigint,h:bigint,doc_id:{id},source:{source},text_hash:bigint,m:double>"
+KEY = ("size", "h", "doc_id", "source", "text_hash")
 
 
 def _fold(id_type: str, source_type: str, seed: int) -> F.Column:
     """struct<rest: item, done: array<struct<..., extra int>>> of the column items."""
     keep = lambda of, extra: "named_struct(" + ", ".join(f"'{k}', {of}.{k}" for k in KEY) + f", 'extra', {extra})"
     moved = lambda of, mass: "named_struct(" + ", ".join(f"'{k}', {of}.{k}" for k in KEY) + f", 'm', {mass})"
-    done = f"array<struct<size:bigint,h:bigint,doc_id:{id_type},source:{source_type},text_hash:bigint,occurrence:int,extra:int>>"
+    done = f"array<struct<size:bigint,h:bigint,doc_id:{id_type},source:{source_type},text_hash:bigint,extra:int>>"
     a, b = "s.rest", "t"
     up, down = f"least({a}.size - {a}.m, {b}.m)", f"least({a}.m, {b}.size - {b}.m)"
-    u = f"(shiftrightunsigned(xxhash64({a}.h, {b}.h, {seed}L), 11) + 0.5D) / 9007199254740992D"
+    u = f"(shiftrightunsigned(xxhash64({a}.h, {b}.h, {seed}L), 12) + 0.5D) / 4503599627370496D"
     item = ITEM.format(id=id_type, source=source_type)
     # the first item gains up with probability down / (up + down), else loses down
     step = f"""CASE
@@ -76,23 +78,23 @@ def _fold(id_type: str, source_type: str, seed: int) -> F.Column:
       (s, t) -> transform(array({step}), x -> CAST(named_struct('rest', x.rest, 'done', array_append(s.done, x.one)) AS struct<rest:{item},done:{done}>))[0])""")
 
 
-def copies(docs: DataFrame, *, seed: int = 3) -> DataFrame:
-    """A row for each row of docs (doc_id, source, text): doc_id, source, text_hash long, occurrence int (from 1, among
-    equal rows), size long, source_size long, target double, copies int."""
+def copies_of_equals(docs: DataFrame, *, seed: int = 3) -> tuple[DataFrame, int]:
+    """The largest number of equal rows, and a row for each distinct (doc_id, source, text) of docs: doc_id, source, text_hash long, size long, n long (rows),
+    source_size long, target double, h long, base int (copies of each row) and plus long (rows that get one more)."""
     id_type, source_type = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "source"))
     read = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"))
     distinct = cut(read.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("n")))
-    stats = distinct.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("_docs"))
+    stats = distinct.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count(F.lit(1)).alias("_docs"), F.max("n").alias("_most"))
     stats = cut(targets(stats).withColumn("_chunks", F.ceil(F.col("_docs") / CHUNK)))
     share = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
-    of = stats.withColumnRenamed("source", "_source").withColumn("_share", share)
-    items = distinct.join(of, distinct["source"].eqNullSafe(of["_source"])).drop("_source")
-    items = items.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("occurrence")).withColumn("base", F.floor("_share").cast("int"))
-    items = items.withColumn("m", (F.col("_share") - F.col("base")) * F.col("size")).withColumn("h", F.xxhash64("doc_id", "text_hash", "occurrence", F.lit(seed)))
+    of = stats.drop("_most").withColumnRenamed("source", "_source").withColumn("_share", share)
+    items = distinct.join(of, distinct["source"].eqNullSafe(of["_source"])).drop("_source").withColumn("base", F.floor("_share").cast("int"))
+    items = items.withColumn("_rows", (F.col("_share") - F.col("base")) * F.col("n")).withColumn("_whole", F.floor("_rows").cast("long"))
+    items = items.withColumn("m", (F.col("_rows") - F.col("_whole")) * F.col("size")).withColumn("h", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
     level = items.where("m > 0 AND m < size").select(
-        "source", F.pmod("h", "_chunks").alias("chunk"), "_chunks", F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("size", "long"), ("h", "long"), ("doc_id", id_type), ("source", source_type), ("text_hash", "long"), ("occurrence", "int"), ("m", "double"))]).alias("item")
+        "source", F.pmod("h", "_chunks").alias("chunk"), "_chunks", F.struct(*[F.col(c).cast(t).alias(c) for c, t in (("size", "long"), ("h", "long"), ("doc_id", id_type), ("source", source_type), ("text_hash", "long"), ("m", "double"))]).alias("item")
     )
-    most = stats.agg(F.max("_chunks")).first()[0] or 0
+    most, equal = (x or 0 for x in stats.agg(F.max("_chunks"), F.max("_most")).first())
     settled, depth = [], 0
     while most:
         folded = level.groupBy("source", "chunk", "_chunks").agg(F.sort_array(F.collect_list("item"), asc=False).alias("items")).select("source", "chunk", "_chunks", _fold(id_type, source_type, seed + depth).alias("f"))
@@ -104,33 +106,56 @@ def copies(docs: DataFrame, *, seed: int = 3) -> DataFrame:
         chunks = F.ceil(F.col("_chunks") / CHUNK)
         level = folded.select("source", F.floor(F.col("chunk") / CHUNK).alias("chunk"), chunks.alias("_chunks"), F.col("rest").alias("item"))
         most, depth = -(-most // CHUNK), depth + 1
-    out = items.select("doc_id", "source", "text_hash", "occurrence", "size", "h", "source_size", "target", "base")
-    if not settled:
-        return out.withColumnRenamed("base", "copies").drop("h")
-    extra = settled[0]
+    out = items.select("doc_id", "source", "text_hash", "size", "n", "h", "source_size", "target", "base", "_whole")
+    extra = settled[0] if settled else None
     for more in settled[1:]:
         extra = extra.unionByName(more)
-    return _with_extra(out, extra)
+    out = out.withColumnRenamed("_whole", "plus") if extra is None else _with_extra(out, extra)
+    return out.select("doc_id", "source", "text_hash", "size", "n", "source_size", "target", "h", "base", "plus"), equal
 
 
 def _with_extra(out: DataFrame, extra: DataFrame) -> DataFrame:
     x = extra.select(*[F.col(k).alias(f"_{k}") for k in KEY], "extra")
     match = (out["size"] == x["_size"]) & (out["h"] == x["_h"])
-    for k in ("doc_id", "source", "text_hash", "occurrence"):
+    for k in ("doc_id", "source", "text_hash"):
         match = match & out[k].eqNullSafe(x[f"_{k}"])
-    return out.join(x, match, "left").withColumn("copies", F.col("base") + F.coalesce("extra", F.lit(0))).drop("base", "extra", "h", *[f"_{k}" for k in KEY])
+    return out.join(x, match, "left").withColumn("plus", F.col("_whole") + F.coalesce("extra", F.lit(0)))
+
+
+def copies(docs: DataFrame, *, seed: int = 3) -> DataFrame:
+    """A row for each row of docs (doc_id, source, text): doc_id, source, text_hash long, occurrence long (from 1, among
+    equal rows), size long, source_size long, target double, copies int."""
+    each, equal = copies_of_equals(docs, seed=seed)
+    runs = each.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SPREAD))))
+    if equal > SPREAD:
+        runs = runs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "_run")  # equal rows in many tasks
+    first = F.col("_run") * SPREAD
+    out = runs.withColumn("occurrence", F.explode(F.sequence(first + 1, F.least("n", first + SPREAD))))
+    made = (F.col("base") + (F.col("occurrence") <= F.col("plus")).cast("int")).alias("copies")
+    return out.select("doc_id", "source", "text_hash", "occurrence", "size", "source_size", "target", made)
 
 
 def mix(docs: DataFrame, *, seed: int = 3) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it (0 to MOST times); docs has doc_id, source and text. One
-    struct is the key of both the numbering of equal rows and the join, so documents are shuffled once."""
-    taken = copies(docs, seed=seed).select(F.struct("doc_id", "source", "text_hash").alias("_key"), "occurrence", "copies")
-    taken = taken.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("occurrence", "copies"))).alias("_copies"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("_key"))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0))))
-    times = F.get(F.col("_copies"), F.col("_n") - 1)["copies"]
-    return rows.join(taken, "_key").withColumn("_times", times).where("_times > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_k")).drop("_k")
+    """docs with each row repeated as often as the mix takes it (0 to MOST times); docs has doc_id, source and text. Rows
+    are shuffled once, for the join; only equal rows of which some get one copy more are written out and numbered, by the
+    partition they stand in and their place there."""
+    each, equal = copies_of_equals(docs, seed=seed)
+    taken = each.select(F.struct("doc_id", "source", "text_hash").alias("key"), "n", "base", "plus")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.struct("doc_id", "source", F.xxhash64("text").alias("text_hash")).alias("key"))
+    if equal <= 1:
+        out = rows.join(taken, "key").select("row", (F.col("base") + F.col("plus")).cast("int").alias("times"))
+    else:
+        rows = rows.join(cut(taken), "key")
+        alike = (F.col("plus") == 0) | (F.col("plus") == F.col("n"))
+        out = rows.where(alike).select("row", (F.col("base") + (F.col("plus") > 0).cast("int")).alias("times"))
+        some = cut(rows.where(~alike).withColumn("part", F.spark_partition_id()))
+        before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = some.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c")).select("key", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+        at = F.col("before") + F.row_number().over(Window.partitionBy("key", "part").orderBy(F.lit(0)))
+        placed = some.join(counts, ["key", "part"]).withColumn("at", at)
+        out = out.unionByName(placed.select("row", (F.col("base") + (F.col("at") <= F.col("plus")).cast("int")).alias("times")))
+    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3(docs: DataFrame) -> DataFrame:
