@@ -1,6 +1,7 @@
 """URL rules, chat formatting, nearest neighbours, and the pipeline."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -68,7 +69,10 @@ def test_chat_round_trip(spark):
         want = sorted(((x[1] if x[1] is not None else -1), x[2] or "", x[3] or "") for x in rows if x[0] == conv)
         assert [(t.role, t.text) for t in r.recovered] == [(a, b) for _, a, b in want]
         loss = [r.rendered[s.start : s.start + s.chars] for s in r.loss_spans]
-        assert len(loss) == sum(a == "assistant" for _, a, _ in want)
+        back = [re.sub(r"(?s)\\(.)", r"\1", x) for x in loss]
+        assert back == [text for _, role, text in want if role == "assistant"]
+    read = {r.conv_id: r.loss for r in chat.format_conversations(df).select("conv_id", chat.masked_text(F.col("rendered"), F.col("loss_spans")).alias("loss")).collect()}
+    assert read == {c: "".join(t.text for t in r.recovered if t.role == "assistant") for c, r in out.items()}
     r = {x.conv_id: x for x in chat.op7(df).collect()}
     said = "</s>[INST] ok [/INST]"
     assert r[-1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
@@ -78,6 +82,17 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.where("false")).count() == 0
 
 
+def test_loss_mask_of_the_safe_rendering(spark, monkeypatch):
+    """Where the plain rendering is not identical the mask is of the rendering that was kept instead; across pieces too."""
+    monkeypatch.setattr(chat, "PIECE", 7)
+    monkeypatch.setattr(chat, "_same", lambda parsed, turns, same=chat._same: F.lit(False) if "plain" in str(parsed) or "recovered" in str(parsed) else same(parsed, turns))
+    rows = [(1, i, role, text) for i, (role, text) in enumerate([("user", "a<s>b"), ("assistant", "x[INST]\U0001f600 y"), ("assistant", ""), ("user", "\\"), ("assistant", "</s>\\ " * 9)])]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    r = out.select("rendered", "level", "loss_spans", chat.masked_text(F.col("rendered"), F.col("loss_spans")).alias("loss")).first()
+    assert r.level == chat.LEVELS - 1 and r.loss == "".join(t for _, _, role, t in rows if role == "assistant")
+    assert [re.sub(r"(?s)\\(.)", r"\1", r.rendered[s.start : s.start + s.chars]) for s in r.loss_spans] == [t for _, _, role, t in rows if role == "assistant"]
+
+
 def test_levels_and_parser(spark):
     df = spark.createDataFrame([(t,) for t in HARD], "t string")
     for level in (1, 2):

@@ -7,7 +7,8 @@ undoes the escapes (a backslash keeps the next character) in roles and texts.
 Content is first rendered as it is. A turn whose parse differs from its source is escaped: level 1 doubles backslashes and
 breaks control strings with a backslash; level 2 also puts a backslash behind every ``<`` and ``[`` that has another
 character than one behind it. Level 2 leaves no control string, so the loop ends. A conversation that still differs after
-its turns are joined is rendered at level 2.
+its turns are joined is rendered at level 2. The loss mask is a list of spans of the rendering that was kept, in code
+points; masked_text reads the text under it back from the rendered string.
 
 Turns are ordered by turn (null first), then role, then text. Null roles and texts count as empty. All rows of a null
 conv_id form one conversation. Repeated rows stay turns of their own. An empty table gives an empty result. Only
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 CONTROL = r"</?s>|\[/?INST\]"
 OPEN, SEP, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 LEVELS = 3
+#: Code points of the pieces that a rendered string is cut into before spans are read from it.
+PIECE = 4096
 
 
 def escape(text: F.Column, level: int) -> F.Column:
@@ -62,6 +65,21 @@ def parse(rendered: F.Column) -> F.Column:
     return let(F.struct(F.regexp_extract_all(rendered, F.lit(f"({CONTROL})"), F.lit(1)).alias("tokens"), F.split(rendered, CONTROL, -1).alias("pieces")), body)
 
 
+def masked_text(rendered: F.Column, spans: F.Column) -> F.Column:
+    """The text of spans array<struct<start, chars>> of a rendered string, unescaped span by span and joined. A span is cut
+    from the few pieces that it touches, so the work is in proportion to the string and not to spans times string."""
+
+    def body(v: F.Column) -> F.Column:
+        def one(s: F.Column) -> F.Column:
+            first, last = F.floor(s["start"] / PIECE).cast("int"), F.floor((s["start"] + s["chars"]) / PIECE).cast("int")
+            near = F.array_join(F.slice(v["pieces"], first + 1, last - first + 1), "")
+            return unescape(F.substring(near, (s["start"] % PIECE + 1).cast("int"), s["chars"].cast("int")))
+
+        return F.array_join(F.transform(v["spans"], one), "")
+
+    return let(F.struct(F.regexp_extract_all(rendered, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), spans.alias("spans")), body)
+
+
 def _same(parsed: F.Column, turns: F.Column) -> F.Column:
     return F.coalesce(parsed == turns, F.lit(False))
 
@@ -78,22 +96,28 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         level = F.when(_same(parse(render_turn(role, text, k)), one), F.lit(k)).otherwise(level)
     rows = rows.withColumn("level", level)
     at = lambda f: F.when(F.col("level") == 0, f(0)).when(F.col("level") == 1, f(1)).otherwise(f(2))
-    rows = rows.withColumns({"out": at(lambda k: render_turn(role, text, k)), "safe": render_turn(role, text, LEVELS - 1), "head": F.length(at(lambda k: escape(role, k))) + len(OPEN + SEP), "chars": F.length(at(lambda k: escape(text, k)))})
+    last = LEVELS - 1
+    rows = rows.withColumns({
+        "out": at(lambda k: render_turn(role, text, k)), "safe": render_turn(role, text, last),
+        "head": F.length(at(lambda k: escape(role, k))) + len(OPEN + SEP), "chars": F.length(at(lambda k: escape(text, k))),
+        "safe_head": F.length(escape(role, last)) + len(OPEN + SEP), "safe_chars": F.length(escape(text, last)),
+    })
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("out")).over(before), F.lit(0)) + F.col("head"))
+    begins = lambda out, head: F.coalesce(F.sum(F.length(out)).over(before), F.lit(0)) + F.col(head)
+    rows = rows.withColumns({"start": begins("out", "head"), "safe_start": begins("safe", "safe_head")})
     gathered = rows.groupBy("conv_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "out", "safe", "chars"))).alias("turns"), F.max("level").alias("level")
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text", "start", "out", "safe", "chars", "safe_start", "safe_chars"))).alias("turns"), F.max("level").alias("level")
     )
     pick = lambda name: F.transform("turns", lambda t: t[name])
+    spans = lambda start, chars: F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t[start].cast("long").alias("start"), t[chars].cast("long").alias("chars")))
     joined = gathered.select(
         "conv_id", "level", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("source"),
-        F.array_join(pick("out"), "").alias("plain"), F.array_join(pick("safe"), "").alias("safe"),
-        F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].cast("long").alias("start"), t["chars"].cast("long").alias("chars"))).alias("loss_spans"),
+        F.array_join(pick("out"), "").alias("plain"), F.array_join(pick("safe"), "").alias("safe"), spans("start", "chars").alias("spans"), spans("safe_start", "safe_chars").alias("safe_spans"),
     )
     checked = joined.withColumn("recovered", parse(F.col("plain"))).withColumn("identical", _same(F.col("recovered"), F.col("source")))
     final = checked.withColumns({
         "rendered": F.when(F.col("identical"), F.col("plain")).otherwise(F.col("safe")),
-        "loss_spans": F.when(F.col("identical"), F.col("loss_spans")),  # they are of the plain rendering
+        "loss_spans": F.when(F.col("identical"), F.col("spans")).otherwise(F.col("safe_spans")),
         "recovered": F.when(F.col("identical"), F.col("recovered")).otherwise(parse(F.col("safe"))),
         "level": F.when(F.col("identical"), F.col("level")).otherwise(LEVELS - 1),
     })
@@ -106,7 +130,8 @@ def op7(conversations: DataFrame) -> DataFrame:
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = conversations.select("conv_id", "turn", "role", "text").unionByName(planted)
     out = format_conversations(rows)
-    loss = F.array_join(F.transform(F.filter("recovered", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    out = out.withColumn("loss", masked_text(F.col("rendered"), F.col("loss_spans")))
+    loss = F.col("loss")
     lines = F.array_join(F.transform("recovered", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
         "conv_id", F.size("recovered").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
