@@ -1,6 +1,6 @@
 """Rendezvous hashing of record keys over weighted shards, and gapless slots, in DataFrame functions only.
 
-For a key and shard j, u is a hash of (key, j) in (0, 1) and the shard with the largest -weight / ln(u) wins. A shard's
+For a key and shard j, u is a hash of (key, j) of 52 bits, strictly between 0 and 1, and the shard with the largest -weight / ln(u) wins. A shard's
 score does not depend on the other shards, so one more shard only takes rows into itself (its share of each old shard),
 and taking one away deals only its own rows out anew.
 
@@ -27,7 +27,7 @@ BUCKET_ROWS = 4096
 
 def shard_score(keys: Sequence[str], shard: int, weight: float, seed: int) -> F.Column:
     h = F.xxhash64(*[F.col(f"`{k}`") for k in keys], F.lit(seed), F.lit(shard))
-    u = (F.shiftrightunsigned(h, 11).cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(h, 12).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))  # 52 bits: neither 0 nor 1
     return F.lit(-float(weight)) / F.ln(u)
 
 
