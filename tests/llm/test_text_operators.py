@@ -465,7 +465,13 @@ def test_packing(spark, docs, awkward):
             n = int(g.length.sum())
             assert n <= 2048
             padded += 0 if n & (n - 1) == 0 else 2048 - n
-        assert padded <= 2048 * df.rdd.getNumPartitions()
+        assert padded <= 2048 * max(8, df.rdd.getNumPartitions())
+        windows = out.groupby("sequence_id").agg(tier=("tier", "first"), step=("step", "first"), steps=("step", "nunique"))
+        assert (windows.steps == 1).all()
+        for tier, w in windows.groupby("tier"):  # all steps of a tier but its last are full, over all tasks
+            sizes = w.groupby("step").size().sort_index()
+            room = max(1, packing.STEP_TOKENS // tier)
+            assert sizes.index.tolist() == list(range(len(sizes))) and (sizes.iloc[:-1] == room).all() and sizes.iloc[-1] <= room
     assert packing.op9(empty(awkward)).count() == 0
 
 
@@ -477,6 +483,22 @@ def test_encoders_agree():
         assert both(text).tolist() == both.whole.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_encoders_agree_on_random_texts():
+    import public_tokenizers as p
+
+    both = packing.Encoder(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    rng = np.random.default_rng(3)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ABCXYZ", "0123456789", "!?.,;:'\"-_()[]{}<|>/\\@#$%^&*~`+=", " ", "\n\r\t ", "¡¢£«»°·¿×÷", "àéîõüßñÆØþ", "ĀđĤŁŒŽſ", "日本語 😀\u00a0\u200b\u0301"]
+    for _ in range(300):  # words, runs and spaces of all classes
+        text = "".join("".join(rng.choice(list(kinds[rng.integers(len(kinds))]), rng.integers(1, 12))) for _ in range(rng.integers(1, 60)))
+        assert both(text).tolist() == both.whole.encode(text, add_special_tokens=False).ids, text
+    for kind in kinds:  # runs around the limit of the faster encoder
+        for n in (1998, 1999, 2000, 2001, 2200):
+            for before, after in (("", ""), ("a ", " b"), ("x1", "'s")):
+                text = before + "".join(rng.choice(list(kind), n)) + after
+                assert both(text).tolist() == both.whole.encode(text, add_special_tokens=False).ids, (kind, n)
+
+
 # --- sharding ---
 
 

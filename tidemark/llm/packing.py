@@ -7,8 +7,9 @@ shorter tiers that fit, and what no whole document fits is filled by cutting the
 back to the tier of its size. A window that cannot be filled waits for the next round. What a task has left at its end is
 strung together and cut into windows of falling powers of two, so at most one short window a task is padded.
 
-Windows of a tier are numbered into steps of STEP_TOKENS tokens, so every step of every tier has the same number of
-tokens but each tier's last of a task.
+Step groups are balanced in a second pass over the windows' counts, one row a task and tier: windows of a tier are numbered
+through all tasks and dealt into steps of STEP_TOKENS tokens, so every step has the same number of tokens and only the last
+of each tier is short. Pieces are not shuffled for it.
 
 Tokens come from the tokenizers library. Texts of plain Latin characters take a faster encoder with the same vocabulary
 and the same result; texts with any other character, or with the name of a special token, take the library itself.
@@ -25,11 +26,11 @@ from bisect import bisect_right, insort
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, parts
+from .common import bound_batches, cut, parts, spread
 
 #: Longest window, shortest tier, shortest window of a task's rest, tokens of a round and of a step, id after a document.
 WINDOW, SHORTEST, LAST, ROUND, STEP_TOKENS, END_ID = 2048, 256, 16, 1 << 18, 16384, 1
@@ -154,42 +155,42 @@ class Packer:
         self.held = 0
 
 
-PACKED = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, step long"
+PACKED = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier int, task int, window long"
 
 
 def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer: str, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """A row a piece: the key, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset in it,
-    tier (length of its window) and step (of its task and tier)."""
-    docs = docs.select(F.col(key), F.col(text))
+    tier (length of its window), task and window (its number among the task's windows of that tier, from 0)."""
+    docs = spread(docs.select(F.col(key), F.col(text)))
     schema = T.StructType([docs.schema[0], *T.StructType.fromDDL(PACKED).fields])
     bound_batches(docs.sparkSession)
 
     def run(batches):
         encode, packer = Encoder(tokenizer, ranks, pattern), Packer()
-        base, made = TaskContext.get().partitionId() << 32, 0
+        task, made = TaskContext.get().partitionId(), 0
+        base = task << 32
         keys: dict[int, tuple] = {}  # document: key, tokens, pieces' ids still to come
-        steps = dict.fromkeys(packer.tiers, 0)
+        numbers: dict[int, int] = {}
         n_docs = 0
 
         def emit():
             nonlocal made
-            rows = [[] for _ in range(9)]
+            rows = [[] for _ in range(10)]
             for tier, window in packer.done:
-                at, room = 0, max(1, STEP_TOKENS // tier)
-                step = base | (steps.get(tier, 0) // room)
-                steps[tier] = steps.get(tier, 0) + 1
+                at, number = 0, numbers.get(tier, 0)
+                numbers[tier] = number + 1
                 for p in window:
                     k, total, left = keys[p.doc]
                     left -= len(p.ids)
                     keys[p.doc] = (k, total, left)
                     if not left:
                         del keys[p.doc]
-                    for column, x in zip(rows, (k, p.start, len(p.ids), p.ids.astype("<u4").tobytes(), total, base | made, at, tier, step), strict=True):
+                    for column, x in zip(rows, (k, p.start, len(p.ids), p.ids.astype("<u4").tobytes(), total, base | made, at, tier, task, number), strict=True):
                         column.append(x)
                     at += len(p.ids)
                 made += 1
             packer.done = []
-            types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+            types = [None, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t or key_type) for c, t in zip(rows, types, strict=True)], names=schema.names)
 
         key_type = None
@@ -212,8 +213,20 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", tokenizer:
     return docs.mapInArrow(run, schema)
 
 
+def balance_steps(pieces: DataFrame) -> DataFrame:
+    """pieces (from pack, checkpointed, as they are read twice) with step long instead of task and window: the number of the
+    step among those of its tier."""
+    counts = pieces.groupBy("tier", "task").agg((F.max("window") + 1).alias("_windows"))  # a row a task and tier
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("tier", "task", F.coalesce(F.sum("_windows").over(before), F.lit(0)).alias("_first"))
+    room = F.greatest(F.lit(1), F.floor(F.lit(STEP_TOKENS) / F.col("tier")))
+    out = pieces.join(first, ["tier", "task"])
+    return out.withColumn("step", F.floor((F.col("_first") + F.col("window")) / room).cast("long")).drop("_first", "task", "window")
+
+
 def op9(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     out = pack(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
-    return out.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step")
+    narrow = out.select("doc_id", "start", "length", F.crc32("ids").cast("long").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "task", "window")
+    return balance_steps(cut(narrow, compact=True)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step")
