@@ -149,6 +149,35 @@ def test_simhash_partition_tree_loses_no_link(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def test_simhash_deeper_trees_lose_no_link(spark, monkeypatch):
+    """Far more fingerprints than the first tree has leaves for: full leaves are cut again and every link is found."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 64, 1500, np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (1500, 2), np.uint64)).astype(np.uint64)
+    dense = base[0] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))  # a tight group that no tree can cut
+    fps = np.unique(np.concatenate([base, base ^ flips[:, 0], base ^ flips[:, 0] ^ flips[:, 1], dense]))
+    for name, value in (("SAMPLE", 64), ("LEAF", 40), ("BLOCK", 60), ("CHUNK", 20), ("LOCAL", 8), ("FULL", 80), ("FAN", 4), ("TWIG", 8)):
+        monkeypatch.setattr(simhash, name, value)
+    df = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)})).repartition(8)
+    first = simhash.cut(simhash._routed(df, simhash.PartitionTree(fps[::60], 4), 2))
+    deep = simhash._deeper(first, 2)
+    assert deep.where("home").count() == len(fps) and deep.select("leaf").distinct().count() > 16
+    assert deep.where("home").groupBy("leaf").count().agg(F.max("count")).first()[0] < first.where("home").groupBy("leaf").count().agg(F.max("count")).first()[0]
+    i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
+    home = {r.fp: r.leaf for r in deep.where("home").collect()}
+    visits = {(r.fp, r.leaf) for r in deep.where("not home").collect()}
+    signed = fps.view(np.int64)
+    for a, b in zip(signed[i].tolist(), signed[j].tolist(), strict=True):  # of two linked ones the one of the lower leaf visits
+        low, high = sorted((a, b), key=lambda f: home[f])
+        assert home[low] == home[high] or (low, home[high]) in visits
+    labels = {r.v: r.label for r in simhash.components(simhash.links(df)).collect()}
+    least = simhash.least_members(len(fps), i, j)
+    groups = defaultdict(set)
+    for k, f in enumerate(signed.tolist()):
+        groups[int(least[k])].add(labels.get(f, f))
+    assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
 def test_deduplicate_keeps_one_of_each_group(spark, docs, awkward):
     for df in (docs, awkward):
         kept = simhash.deduplicate(df)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import arrow_map, cut, hash_sample, held_out, text_values
+from .common import arrow_map, cut, hash_sample, held_out, spread, text_values
 
 #: Labelled rows the classifier is fitted on at most; score from which a document is kept.
 FIT_ROWS, KEEP = 20_000, 0.3
@@ -107,7 +107,7 @@ def scored(stats: DataFrame, model: boosting.Boosted, *, name: str = "stats", ou
 
 def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = KEEP) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for each row of docs."""
-    stats = cut(with_statistics(docs.select("doc_id", "text")).select("doc_id", "stats"), compact=True)
+    stats = cut(with_statistics(spread(docs.select("doc_id", "text"))).select("doc_id", "stats"), compact=True)
     out = scored(stats, fit(stats, labels)).drop("stats")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

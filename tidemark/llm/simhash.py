@@ -8,9 +8,14 @@ distances to the vantage points lead to; a ball of the link radius around it may
 bound only then it also visits the leaf beyond. Of two linked fingerprints in different leaves the one of the lower leaf
 visits the other's, so no link is lost and each is looked for once.
 
+Deeper levels: a leaf of more than FULL home fingerprints gets a tree of its own, built where a sample of the leaf meets,
+and its rows (dealt by salt, so a hot leaf is many tasks) are routed on. That goes on until no leaf is full or cutting helps
+no more, so leaves keep their size at any number of fingerprints.
+
 Search: a leaf is cut into blocks of bounded size; home fingerprints of a block are held, those that visit stream past in
 chunks, and a local vantage-point tree finds all pairs within the radius. A block passes on a star for each local
-component, not its pairs, so a dense group gives as many rows as it has members.
+component, not its pairs, so a dense group gives as many rows as it has members. Fingerprints of more than a HOT_SHARE of
+all rows are few by that share; they are joined by broadcast, all others by a shuffle.
 
 Components: least labels over the stars' edges with shortcuts, checkpointed each round, in DataFrame operations.
 
@@ -22,17 +27,21 @@ named like an output column are replaced.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut, hash_sample
+from .common import arrow_map, bound_batches, cut, hash_sample, spread
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 #: Fingerprints the partition tree is built from at most; mean fingerprints of a leaf; most of a block; most that visit at
 #: once; fingerprints of a local leaf that are compared one by one; words hashed at once.
 SAMPLE, LEAF, BLOCK, CHUNK, LOCAL, WORDS = 65536, 4096, 8192, 4096, 256, 1 << 18
+#: Home fingerprints of a leaf that are cut further; leaves of a deeper tree and fingerprints sampled for each of them; share
+#: of all rows from which a fingerprint is joined by broadcast.
+FULL, FAN, TWIG, HOT_SHARE = 16384, 64, 16, 0.01
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -110,8 +119,18 @@ class PartitionTree:
         self.right[at] = self._grow(some[~near], leaves - leaves // 2)
         return at
 
-    def route(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row numbers, leaves and whether at home: each row's own leaf, and the later leaves that its ball reaches."""
+    @classmethod
+    def of(cls, point, bound, left, right, leaf) -> PartitionTree:
+        """The tree of given arrays."""
+        tree = cls.__new__(cls)
+        tree.point = np.asarray(point, np.int64).view(np.uint64)
+        tree.bound, tree.left, tree.right, tree.leaf = (np.asarray(x, np.int64) for x in (bound, left, right, leaf))
+        return tree
+
+    def route(self, fps: np.ndarray, radius: int, visits: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row numbers, leaves and whether at home: each row's own leaf, and the later leaves that its ball reaches. Rows that
+        only visit (their home is elsewhere) go to all leaves that their ball reaches."""
+        visits = np.zeros(len(fps), bool) if visits is None else visits
         row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
         own, out = np.zeros(len(fps), np.int64), []
         while len(row):
@@ -121,10 +140,12 @@ class PartitionTree:
             d, b = distance(fps[row], self.point[node]).astype(np.int64), self.bound[node]
             left, right = d - radius <= b, d + radius > b
             row, home, node = np.concatenate([row[left], row[right]]), np.concatenate([home[left] & (d <= b)[left], home[right] & (d > b)[right]]), np.concatenate([self.left[node[left]], self.right[node[right]]])
+        if not out:
+            return row, node, home
         row, leaf, home = (np.concatenate(x) for x in zip(*out, strict=True))
         own[row[home]] = leaf[home]
-        keep = home | (leaf > own[row])
-        return row[keep], leaf[keep], home[keep]
+        keep = home | (leaf > own[row]) | visits[row]
+        return row[keep], leaf[keep], home[keep] & ~visits[row[keep]]
 
 
 def close_pairs(have: np.ndarray, ask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,9 +212,46 @@ def _routed(fps: DataFrame, tree: PartitionTree, radius: int) -> DataFrame:
         for batch in batches:
             f = batch.column("fp").to_numpy().view(np.uint64)
             row, leaf, home = tree.route(f, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(f[row].view(np.int64)), pa.array(leaf.astype(np.int32)), pa.array(home)], names=["fp", "leaf", "home"])
+            yield pa.RecordBatch.from_arrays([pa.array(f[row].view(np.int64)), pa.array(leaf), pa.array(home)], names=["fp", "leaf", "home"])
+
+    return fps.select("fp").mapInArrow(run, "fp long, leaf long, home boolean")
 
-    return fps.select("fp").mapInArrow(run, "fp long, leaf int, home boolean")
+
+def _deeper(routed: DataFrame, radius: int) -> DataFrame:
+    """routed (checkpointed) with full leaves cut by trees of their own, level by level. The order of leaves is kept."""
+    before = None
+    while True:
+        full = cut(routed.where("home").groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL))
+        work = full.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0  # as comparisons in a leaf go
+        if not work or (before is not None and work > 0.9 * before):
+            return routed
+        before = work
+        full = full.select("leaf", "n", F.ceil(F.col("n") / FULL).cast("int").alias("salts"))
+        # fingerprints are distinct, so a share by hash is a sample of bounded size
+        share = F.least(F.lit(1.0), F.lit(float(FAN * TWIG)) / F.col("n"))
+        some = routed.where("home").join(full, "leaf").where(F.pmod(F.xxhash64("fp", F.lit(13)), F.lit(1 << 20)) < share * (1 << 20))
+
+        def grow(key, pdf):
+            tree = PartitionTree(pdf["fp"].to_numpy(np.int64).view(np.uint64), int(min(FAN, max(2, -(-int(pdf["n"].iloc[0]) // LEAF)))))
+            return pd.DataFrame({"leaf": [key[0]], "point": [tree.point.view(np.int64)], "bound": [tree.bound], "left": [tree.left], "right": [tree.right], "number": [tree.leaf]})
+
+        arrays = "point array<long>, bound array<long>, left array<long>, right array<long>, number array<long>"
+        trees = cut(some.select("leaf", "n", "fp").groupBy("leaf").applyInPandas(grow, f"leaf long, {arrays}"))
+        salted = trees.join(full, "leaf").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("n", "salts")
+        cutting = full.join(trees.select("leaf"), "leaf")
+        both = routed.join(cutting, "leaf", "left")
+        stays = both.where("salts IS NULL").select("fp", (F.col("leaf") * FAN).alias("leaf"), "home")
+        moves = both.where("salts IS NOT NULL").select("fp", "leaf", "home", F.pmod(F.xxhash64("fp", F.lit(17)), F.col("salts")).cast("int").alias("salt"))
+
+        def onward(rows, tree):
+            if not len(rows) or not len(tree):
+                return pd.DataFrame({"fp": np.zeros(0, np.int64), "leaf": np.zeros(0, np.int64), "home": np.zeros(0, bool)})
+            t, f = tree.iloc[0], rows["fp"].to_numpy(np.int64)
+            row, leaf, home = PartitionTree.of(t["point"], t["bound"], t["left"], t["right"], t["number"]).route(f.view(np.uint64), radius, ~rows["home"].to_numpy(bool))
+            return pd.DataFrame({"fp": f[row], "leaf": int(t["leaf"]) * FAN + leaf, "home": home})
+
+        moved = moves.groupBy("leaf", "salt").cogroup(salted.groupBy("leaf", "salt")).applyInPandas(onward, "fp long, leaf long, home boolean")
+        routed = cut(stays.unionByName(moved))
 
 
 def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
@@ -203,10 +261,9 @@ def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     n = fps.count()
     sample = [r[0] for r in hash_sample(fps.select("fp"), ["fp"], SAMPLE, 7, n).collect()]
     tree = PartitionTree(np.array(sample, np.int64).view(np.uint64), min(max(1, n // LEAF), SAMPLE // 16))
-    routed = cut(_routed(fps, tree, radius))
-    # one row a leaf, and leaves are bounded by the sample
+    routed = _deeper(cut(_routed(fps, tree, radius)), radius)
     sizes = routed.where("home").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = routed.join(F.broadcast(sizes), "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+    placed = routed.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
     placed = placed.withColumn("own", F.when(F.col("home"), F.pmod(F.xxhash64("fp"), F.greatest("blocks", F.lit(1))).cast("int")).otherwise(-1))
     first = F.greatest("own", F.lit(0))
     placed = placed.where("blocks > 0").withColumn("block", F.explode(F.sequence(first, F.col("blocks") - 1)))
@@ -266,13 +323,19 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id: a row for each row of docs."""
-    rows = cut(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), text="text", width=width).select("doc_id", "fp"), compact=True)
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    read = spread(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
+    rows = cut(fingerprints(read, text="text", width=width).select("doc_id", "fp"), compact=True)
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     labels = components(links(distinct, radius=radius))
-    labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("fp", "least", "n", F.coalesce("label", "fp").alias("label"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = cut(labelled.select("fp", "n", "label").join(least, "label").select("fp", "n", "component_id"))
+    total = by_fp.agg(F.sum("n")).first()[0] or 0
+    hot = by_fp.where(F.col("n") > HOT_SHARE * total).select("fp", F.col("component_id").alias("_c"), F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), "fp", "left")  # at most 1 / HOT_SHARE rows
+    many = marked.where("_hot").select("doc_id", "fp", F.col("_c").alias("component_id"))
+    rest = marked.where("_hot IS NULL").select("doc_id", "fp").join(by_fp.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return many.unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -281,16 +344,20 @@ def op4(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, all columns, that stay: one of each component, with the smallest key (nulls last)."""
-    narrow = docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    narrow = spread(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")))
     rows = cut(fingerprints(narrow, text="_text", width=width).select("_key", "_hash", "fp"), compact=True)
     first = F.min(F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash")).alias("first")
     distinct = cut(rows.groupBy("fp").agg(first))
     labels = components(links(distinct, radius=radius))
     labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("first", F.coalesce("label", "fp").alias("label"))
-    stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select("first._key", "first._hash")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.select(*own, F.xxhash64(text).alias("_h"))
-    kept = marked.join(stays, marked[key].eqNullSafe(stays["_key"]) & (marked["_h"] == stays["_hash"]), "left_semi")
-    if rows.groupBy("_key", "_hash").count().where("count > 1").limit(1).count():  # repeated rows: one of them
-        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_h").orderBy("_h"))).where("_n = 1")
-    return kept.select(*own)
+    stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.struct("first._key", "first._hash").alias("id"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash")).alias("id"))
+    repeated = rows.groupBy(F.struct("_key", "_hash").alias("id")).agg((F.count(F.lit(1)) > 1).alias("many")).where("many")
+    if not repeated.limit(1).count():
+        return marked.join(stays, "id", "left_semi").select("row.*")
+    # of rows with one key and text one stays: those of the least partition are numbered, and only those
+    kept = marked.join(cut(stays.join(repeated, "id", "left")), "id")
+    some = cut(kept.where("many").select("row", "id", F.spark_partition_id().alias("part")))
+    least = some.groupBy("id").agg(F.min("part").alias("part"))
+    one = some.join(least, ["id", "part"]).withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy(F.lit(0)))).where("at = 1")
+    return kept.where("many IS NULL").select("row.*").unionByName(one.select("row.*"))

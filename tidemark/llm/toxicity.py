@@ -363,8 +363,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most: int =
     chosen = F.broadcast(fit_rows(labels, label, most).select(F.col("doc_id").alias("_id"), F.col("label").alias("_y")))
     # copies of one text are one observation
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not merged into few tasks
-    sample = docs.join(chosen, F.col("doc_id") == F.col("_id")).repartition(tasks, "text").groupBy("text").agg(F.max("_y").cast("int").alias("y"))
-    sample = cut(sample.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(FOLDS)).cast("int")))
+    sample = docs.join(chosen, F.col("doc_id") == F.col("_id")).groupBy("text").agg(F.max("_y").cast("int").alias("y"))
+    sample = cut(sample.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(FOLDS)).cast("int")).repartition(tasks))
     rows, n = lexicons(docs, sample)
     models = [[lexicon(rows, n[k + 1], k + 1, pair) for k in range(FOLDS)] for pair in LIMITS]
     y, sizes, best = _out_of_fold(sample, models if rows else [], False)
