@@ -131,6 +131,39 @@ def test_neighbours_recall(spark):
     assert all(abs(s[a, b] - x) < 1e-9 for a, b, x in zip(got.query_id, got.vec_id, got.score, strict=True))
 
 
+def test_neighbours_of_registered_query(spark):
+    """op8 itself on a table of the driver that it cuts into parts: recall and exact scores against brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    ids, v = rows.vec_id.to_numpy(), np.array(rows.embedding.tolist(), float)
+    got = QUERIES["op8_neighbours"](spark, "/root/testdata/sf0.1").toPandas()
+    queries = ids[ids % 20 == 0]
+    assert neighbours.parts_of(len(ids)) > 1 and len(got) == 20 * len(queries)
+    want = exact(ids, v, queries.tolist())
+    hits = [len(set(want[q]) & set(g.vec_id)) / 20 for q, g in got.groupby("query_id")]
+    assert np.mean(hits) >= 0.9
+    at = {i: k for k, i in enumerate(ids)}
+    assert all(abs(float(v[at[a]] @ v[at[b]]) - x) < 1e-9 for a, b, x in zip(got.query_id, got.vec_id, got.score, strict=True))
+
+
+def test_neighbours_deeper_parts_and_topping_up(spark, monkeypatch):
+    """Parts beyond the first level's number, a hot vector, and queries whose parts hold too few."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 12))
+    v = centres[rng.integers(0, 30, 4000)] + 0.3 * rng.normal(size=(4000, 12))
+    v[50:400] = v[50]
+    for name, value in (("PARTS", 3), ("FULL", 400), ("PART_ROWS", 150), ("BLOCK", 200)):
+        monkeypatch.setattr(neighbours, name, value)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    index, _ = neighbours._deeper(*(neighbours.cut(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.lit(0).alias("part")).where(c)) for c in ("true", "id % 20 = 0")), 20, 600)
+    assert index.count() == 4000 and index.select("part").distinct().count() > 9
+    got = neighbours.search(df, F.col("id") % 20 == 0, parts=3, fit_rows=600).toPandas()
+    want = exact(np.arange(4000), v, range(0, 4000, 20))
+    hits = [len(set(want[q]) & set(g.vec_id)) / 20 for q, g in got.groupby("query_id")]
+    assert len(hits) == 200 and np.mean(hits) >= 0.9
+    few = neighbours.search(df, F.col("id") % 20 == 0, parts=3, fit_rows=600, k=900)
+    assert {r["count"] for r in few.groupBy("query_id").count().collect()} == {900}
+
+
 def test_neighbours_awkward(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (1, [1.0, 1.0])]
     df = spark.createDataFrame([(*r, 1.5) for r in rows], "vec_id long, embedding array<double>, score double")

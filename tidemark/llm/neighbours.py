@@ -5,9 +5,14 @@ balanced parts (recursive bisection, then moves to the part of most neighbours u
 learns the parts that a vector's neighbours lie in. A fifth of the sample is kept from it; the number of parts a query is
 sent to is the least that finds RECALL of those rows' neighbours in the whole sample.
 
+Deeper levels: a part of more than FULL vectors is fitted and cut again by the same method on a sample of its own, where the
+sample meets in a task, and its vectors and queries, dealt by salt, are routed on; so parts keep their size at any number of
+vectors. It ends when no part is full or cutting helps no more (copies of one vector).
+
 Search: every vector goes to its most probable part, every query to its most probable parts. A part of more than BLOCK
 vectors is dealt into blocks, so a hot part is searched by many tasks; a task holds one block and streams queries past it.
-Blocks give each query's best, the best of all are ranked. Candidates are screened by a matrix product and rescored by a
+Blocks give each query's best, the best of all are ranked. A query whose parts hold fewer than k candidates while
+there are more is sent to all parts. Candidates are screened by a matrix product and rescored by a
 fixed-order sum in double precision, so equal vectors have equal scores wherever they lie; ties go to the smaller id.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components, and null ids, take no
@@ -17,21 +22,26 @@ result. Only the id and vector columns are read.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, cut, hash_sample
 
-#: Vectors the index is fitted on at most, parts at most, neighbours in the graph, vectors of a block, queries scored at
+#: Vectors a level is fitted on at most, parts of a level at most, neighbours in the graph, vectors of a block, queries scored at
 #: once, recall that the number of parts searched is fitted to.
 FIT_ROWS, PARTS, DEGREE, BLOCK, ASKED, RECALL = 6000, 64, 10, 16384, 128, 0.97
+#: Vectors of a part that is cut further, and mean vectors of the parts it is cut into.
+FULL, PART_ROWS = 65536, 16384
 
 
 def parts_of(n: int) -> int:
-    """Parts grow as the root of the vectors, so that neither a part nor a query's candidates from all parts do faster."""
-    return min(PARTS, round(n**0.5 / 16))
+    """Two parts at least; they grow as the root of the vectors, so that neither a part nor a query's candidates from all parts do faster."""
+    return max(2, min(PARTS, round(n**0.5 / 16)))
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -166,6 +176,48 @@ def _placed(rows: DataFrame, router: Router | None, probes: int | None) -> DataF
     return rows.mapInArrow(run, "id long, v array<double>, part int")
 
 
+def _deeper(index: DataFrame, asked: DataFrame, k: int, fit_rows: int) -> tuple[DataFrame, DataFrame]:
+    """index and asked (id, v, part; checkpointed) with full parts cut by routers of their own, level by level."""
+    before = None
+    kinds = "id long, v array<double>, part long"
+    index, asked = (df.select("id", "v", F.col("part").cast("long").alias("part")) for df in (index, asked))
+    while True:
+        full = cut(index.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FULL))
+        work = full.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+        if not work or (before is not None and work > 0.9 * before):
+            return index, asked
+        before = work
+        full = full.select("part", "n", F.ceil(F.col("n") / FULL).cast("int").alias("salts"))
+        share = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("n"))
+        some = index.join(full, "part").where(F.pmod(F.xxhash64("id", F.lit(13)), F.lit(1 << 20)) < share * (1 << 20)).select("part", "n", "id", "v")
+
+        def learn(key, pdf):
+            pdf = pdf.sort_values("id", key=lambda c: c.map(lambda i: hash((int(i), 13))))
+            router = fit(np.array(pdf["v"].tolist()), min(PARTS, max(2, -(-int(pdf["n"].iloc[0]) // PART_ROWS))), k)
+            return pd.DataFrame({"part": [key[0]] if router else [], "router": [pickle.dumps(router)] if router else []})
+
+        routers = cut(some.groupBy("part").applyInPandas(learn, "part long, router binary"))
+        salted = routers.join(full, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("n", "salts")
+        cutting = full.join(routers.select("part"), "part").select("part", "salts")
+
+        def moved(df, queries):
+            both = df.join(cutting, "part", "left")
+            stays = both.where("salts IS NULL").select("id", "v", (F.col("part") * PARTS).alias("part"))
+            moves = both.where("salts IS NOT NULL").select("id", "v", "part", F.pmod(F.xxhash64("id", F.lit(17)), F.col("salts")).cast("int").alias("salt"))
+
+            def onward(rows, model):
+                if not len(rows) or not len(model):
+                    return pd.DataFrame({"id": [], "v": [], "part": []})
+                router = pickle.loads(model["router"].iloc[0])
+                order = router.order(np.array(rows["v"].tolist()))[:, : router.probes if queries else 1]
+                take = np.repeat(np.arange(len(rows)), order.shape[1])
+                return pd.DataFrame({"id": rows["id"].to_numpy()[take], "v": rows["v"].to_numpy()[take], "part": int(model["part"].iloc[0]) * PARTS + order.ravel()})
+
+            return cut(stays.unionByName(moves.groupBy("part", "salt").cogroup(salted.groupBy("part", "salt")).applyInPandas(onward, kinds)))
+
+        index, asked = moved(index, False), moved(asked, True)
+
+
 def best_of(queries: np.ndarray, ids: np.ndarray, have: np.ndarray, have_ids: np.ndarray, k: int):
     """For each query the rows (query number, id, score) of its k best in the block, ties to the smaller id."""
     s = queries @ have.T
@@ -191,14 +243,29 @@ def search(df: DataFrame, query: F.Column, *, key: str = "vec_id", vector: str =
     sample = hash_sample(rows, ["id"], fit_rows, 11, total).select("v").toArrow()
     x = np.array(sample.column("v").combine_chunks().flatten()).reshape(sample.num_rows, -1) if sample.num_rows else np.zeros((0, 1))
     router = fit(x, parts or parts_of(total), k)
-    index = cut(_placed(rows, router, None))
-    # a row for each part, and parts are bounded
+    index, asked = cut(_placed(rows, router, None)), _placed(rows.where(query), router, router.probes if router else None)
+    if router is not None:
+        index, asked = _deeper(index, cut(asked), k, fit_rows)
+    near = _search(index, asked, k)
+    if router is None:
+        return near
+    near = cut(near)
+    found = near.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+    short = rows.where(query).join(found, F.col("id") == F.col("query_id"), "left").where(F.coalesce("_n", F.lit(0)) < min(k, total - 1)).select("id", "v")
+    short = cut(short)
+    if not short.limit(1).count():
+        return near
+    # their parts hold too few: all parts are asked
+    everywhere = short.crossJoin(index.select("part").distinct())
+    return near.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(_search(index, everywhere, k))
+
+
+def _search(index: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: of each query (id, v, part; a row for each part that it asks) the best k in index."""
     sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    sizes = F.broadcast(sizes)
     held = index.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("part", "block", F.lit(0).alias("asks"), "id", "v")
-    asked = _placed(rows.where(query), router, router.probes if router else None).join(sizes, "part")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", F.lit(1).alias("asks"), "id", "v")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.join(sizes, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", F.lit(1).alias("asks"), "id", "v")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = held.unionByName(asked).repartition(tasks, "part", "block").sortWithinPartitions("part", "block", "asks")
 
     def run(batches):

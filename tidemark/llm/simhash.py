@@ -260,7 +260,7 @@ def links(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     bound_batches(spark)
     n = fps.count()
     sample = [r[0] for r in hash_sample(fps.select("fp"), ["fp"], SAMPLE, 7, n).collect()]
-    tree = PartitionTree(np.array(sample, np.int64).view(np.uint64), min(max(1, n // LEAF), SAMPLE // 16))
+    tree = PartitionTree(np.array(sample, np.int64).view(np.uint64), min(max(2, n // LEAF), SAMPLE // 16))
     routed = _deeper(cut(_routed(fps, tree, radius)), radius)
     sizes = routed.where("home").groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = routed.join(sizes, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
