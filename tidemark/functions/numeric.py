@@ -47,3 +47,23 @@ def average_rank(value: str, by: list[str]):
     w = Window.partitionBy(*by, v.isNull()).orderBy(v)
     ties = Window.partitionBy(*by, v)
     return F.when(v.isNotNull(), F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
+
+
+def keep_last(df, keys: list[str], order: list[Column] = ()):
+    """df with the last row of each key, by the columns of order and then by the place in the source (as read)."""
+    place = F.struct(*order, F.monotonically_increasing_id().alias("_place"))
+    rest = [c for c in df.columns if c not in keys]
+    last = df.withColumn("_o", place).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_o").alias("_last"))
+    return last.select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in df.columns])
+
+
+def dense_numbers(df, key: str, name: str, seed: int = 0, buckets: int = 1024):
+    """df (distinct values of key) with numbers from 0 without gaps, in an order by hash. Values are numbered inside hash
+    buckets, whose counts (a row a bucket) give the offsets."""
+    from pyspark.sql import Window
+
+    rows = df.withColumn("_b", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets)))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    own = F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1
+    return rows.withColumn("_r", own).join(F.broadcast(counts), "_b").withColumn(name, F.col("_o") + F.col("_r")).drop("_b", "_r", "_o")

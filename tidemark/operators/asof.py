@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import unique_rows
 from ..functions.numeric import close_to
 
 
@@ -57,15 +58,16 @@ def align_announcements(bars: DataFrame, events: DataFrame, take: list[str], *,
 
 
 def exact_day(bars: DataFrame, other: DataFrame, take: list[str], *, prefix: str = "") -> DataFrame:
-    """Left join on (symbol, day). other must have one row a key; see duplicate_keys."""
-    o = other.select(F.col("symbol").alias("_s"), F.col("timestamp").cast("date").alias("_d"), *[F.col(c).alias(f"{prefix}{c}") for c in take])
+    """Left join on (symbol, day). A day of a symbol with more than one row in other fails while the plan runs."""
+    o = unique_rows(other.select(F.col("symbol").alias("_s"), F.col("timestamp").cast("date").alias("_d"), *[F.col(c).alias(f"{prefix}{c}") for c in take]), ["_s", "_d"], "exact-day table")
     return bars.join(o, (bars["symbol"] == o["_s"]) & (bars["timestamp"].cast("date") == o["_d"]), "left").drop("_s", "_d")
 
 
 def join_context(bars: DataFrame, context: DataFrame, *, on: list[str] = ("timestamp",)) -> DataFrame:
-    """Bars with the context columns (market_, sector_, multitf_) of their time; context has one row a key."""
+    """Bars with the context columns (market_, sector_, multitf_) of their time. A key with more than one row in context
+    fails while the plan runs."""
     take = [c for c in context.columns if c.startswith(("market_", "sector_", "multitf_"))]
-    return bars.join(context.select(*on, *take), list(on), "left")
+    return bars.join(unique_rows(context.select(*on, *take), list(on), "context"), list(on), "left")
 
 
 def suspended(bars: DataFrame, events: DataFrame | None, covered: DataFrame | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import VALIDATION_TOKENS, reject_look_ahead
@@ -41,8 +41,6 @@ def expected_calibration_error(df: DataFrame, labels: list[str], bins: int = 10)
 def coverage_risk(df: DataFrame, labels: list[str], thresholds: int = 101) -> DataFrame:
     """A row a threshold: coverage, and risk among accepted rows (confidence at or above it). Rows are first counted by
     the largest threshold they reach, then summed from above, so they are not paired with thresholds."""
-    from pyspark.sql import Window
-
     grid = df.sparkSession.range(thresholds).select(F.col("id").cast("int").alias("k"), (F.col("id") / F.lit(float(thresholds - 1))).alias("threshold"))
     n = float(thresholds - 1)
     rows = top_class(df, labels)
@@ -100,16 +98,28 @@ def aps_scores(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.withColumn("aps_score", F.when(own.isNotNull(), F.aggregate(F.filter(ps, lambda p: p >= own), F.lit(0.0), lambda s, p: s + p)))
 
 
-def aps_quantile(df: DataFrame, labels: list[str], alpha: float = 0.10) -> DataFrame:
-    """One row: the score of conformal rank. Scores are counted by value and summed up, so no task sorts all rows."""
-    from pyspark.sql import Window
+#: Cells that a range of scores is counted in.
+CELLS = 4096
 
-    counts = aps_scores(df, labels).where("aps_score IS NOT NULL").groupBy("aps_score").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("aps_score")
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counts.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(everything)})
+
+def aps_quantile(df: DataFrame, labels: list[str], alpha: float = 0.10) -> DataFrame:
+    """One row: the score of conformal rank. Scores are counted in cells of equal width; the cell that holds the rank is the
+    only one whose scores are ordered, and its cells are cut again the same way, so no task sorts all rows."""
+    scores = aps_scores(df, labels).where("aps_score IS NOT NULL").select("aps_score")
+    one = scores.agg(F.count(F.lit(1)).alias("total"), F.min("aps_score").alias("low"), F.max("aps_score").alias("high"))
     rank = F.least(F.col("total") - 1, F.ceil((F.col("total") + 1) * (1 - alpha)) - 1)
-    return ranked.where(F.col("upto") > rank).agg(F.min("aps_score").alias("aps_q"))
+    bracket = one.select(rank.alias("rank"), "low", "high")
+    for _ in range(2):  # each time to one of CELLS
+        cell = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("aps_score") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))).otherwise(0)
+        inside = scores.crossJoin(F.broadcast(bracket)).where(F.col("aps_score").between(F.col("low"), F.col("high")))  # one row
+        cells = inside.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("aps_score").alias("least"), F.max("aps_score").alias("most"), F.first("rank").alias("rank"))
+        upto = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))  # a row a cell
+        found = cells.withColumn("upto", upto).where("upto > rank")
+        bracket = found.agg(F.min(F.struct("cell", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"), "least", "most")).alias("b")).select(F.col("b.rank").alias("rank"), F.col("b.least").alias("low"), F.col("b.most").alias("high"))
+    left = scores.crossJoin(F.broadcast(bracket)).where(F.col("aps_score").between(F.col("low"), F.col("high")))
+    counts = left.groupBy("aps_score").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
+    upto = F.sum("n").over(Window.orderBy("aps_score").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("upto", upto).where("upto > rank").agg(F.min("aps_score").alias("aps_q"))
 
 
 def prediction_sets(df: DataFrame, labels: list[str], q: float) -> DataFrame:
@@ -123,8 +133,6 @@ def prediction_sets(df: DataFrame, labels: list[str], q: float) -> DataFrame:
 def purged_folds(segments: DataFrame, splits: int = 3, min_train: int = 8) -> DataFrame:
     """(fold, segment_id, role): distinct end dates in splits + 2 blocks; fold f trains on blocks 0..f, calibrates on the
     next and tests on the one after; training rows end before both others begin, calibration rows before the test."""
-    from pyspark.sql import Window
-
     dates = segments.select(F.col("end").alias("d")).distinct().withColumn("block", F.ntile(splits + 2).over(Window.orderBy("d")) - 1)
     rows = segments.select("segment_id", "start", "end").join(dates, F.col("end") == F.col("d")).drop("d")
     folds = segments.sparkSession.range(splits).select(F.col("id").cast("int").alias("fold"))

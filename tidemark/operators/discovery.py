@@ -5,16 +5,19 @@ Fits run as one task a model version, which holds all of its training rows; scor
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import BASELINE_GATES, GateConfig
 from ..functions import kernels as K
 from ..functions.checks import DISCOVERY_TOKENS, reject_look_ahead, require
+from ..functions.numeric import clip, dense_numbers
 from . import labels as L
 
 #: Segments of a sample for fits on a whole market.
@@ -110,11 +113,19 @@ def year_quotas(df: DataFrame, most: int, floor: int = 0) -> DataFrame:
     return rows.select("year", "available", (F.col("low") + F.col("whole") + F.when(place <= left, 1).otherwise(0)).cast("long").alias("quota"))
 
 
+def hash_share(h: F.Column, take, of) -> F.Column:
+    """Whether the hash h is among the smallest share that holds `take` of `of` rows with room to spare (six deviations), so
+    that few more rows than are taken are sorted."""
+    room = F.least(F.lit(1.0), (take + 6 * F.sqrt(take.cast("double")) + 6) / of)
+    return h.cast("double") <= F.lit(-(2.0**63)) + room * F.lit(2.0**64)
+
+
 def stratified_fit_sample(df: DataFrame, most: int, floor: int = 0, seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(F.year("start")).orderBy(F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed)), "segment_id")
-    rows = df.withColumns({"_year": F.year("start"), "_r": F.row_number().over(w)})
-    q = year_quotas(df, most, floor).select(F.col("year").alias("_y"), "quota")
-    return rows.join(F.broadcast(q), F.col("_year").eqNullSafe(F.col("_y"))).where("_r <= quota").drop("_year", "_r", "_y", "quota")
+    q = year_quotas(df, most, floor).select(F.col("year").alias("_y"), "available", "quota")  # a row a year
+    h = F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed))
+    rows = df.withColumns({"_year": F.year("start"), "_h": h}).join(F.broadcast(q), F.col("_year").eqNullSafe(F.col("_y"))).where(hash_share(F.col("_h"), F.col("quota"), F.col("available")))
+    w = Window.partitionBy("_year").orderBy("_h", "segment_id")
+    return rows.withColumn("_r", F.row_number().over(w)).where("_r <= quota").drop("_year", "_r", "_y", "_h", "available", "quota")
 
 
 def score_segments(df: DataFrame, model: Ensemble) -> DataFrame:
@@ -141,14 +152,26 @@ def score_segments(df: DataFrame, model: Ensemble) -> DataFrame:
 
 
 def boundary_uncertainty(df: DataFrame) -> DataFrame:
-    if "boundary_uncertainty" in df.columns:
-        return df
-    return df.withColumn("boundary_uncertainty", 1 - F.col("boundary_probability") if "boundary_probability" in df.columns else F.lit(0.0))
+    """df with boundary_uncertainty, which fails closed: a given one counts 1 where it is null; where the column is missing or
+    has no value at all it is 1 less the first boundary probability there is (null: 0), and 0 without any evidence column."""
+    bounded = lambda c, missing: clip(F.coalesce(F.col(c).cast("double"), F.lit(missing)), 0.0, 1.0)
+    given = "boundary_uncertainty" in df.columns
+    evidence = next((c for c in ("boundary_probability", "start_boundary_probability", "end_boundary_probability") if c in df.columns), None)
+    otherwise = 1 - bounded(evidence, 0.0) if evidence else F.lit(0.0)
+    if not given:
+        return df.withColumn("boundary_uncertainty", otherwise)
+    # looked at while the plan is made: the first value found ends the look
+    has = df.where(F.col("boundary_uncertainty").isNotNull()).limit(1).count() > 0
+    return df.withColumn("boundary_uncertainty", bounded("boundary_uncertainty", 1.0) if has else otherwise)
 
 
 def context_conflict(df: DataFrame) -> DataFrame:
-    """df with the share of multitf_ return, slope and trend columns whose sign is not the segment's return's."""
-    signs = [c for c in df.columns if c.startswith("multitf_") and any(t in c for t in ("return", "slope", "trend"))]
+    """df with context_conflict: a given column of that name or of conflicts between periods (null: 0), else the share of
+    numeric multitf_ return, slope and trend columns whose sign is not the segment's return's."""
+    given = next((c for c in ("context_conflict", "multi_period_conflict", "multiperiod_conflict") if c in df.columns), None)
+    if given:
+        return df.withColumn("context_conflict", clip(F.coalesce(F.col(given).cast("double"), F.lit(0.0)), 0.0, 1.0))
+    signs = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name.startswith("multitf_") and any(t in f.name.lower() for t in ("return", "slope", "trend"))]
     if not signs or "cumulative_return" not in df.columns:
         return df.withColumn("context_conflict", F.lit(0.0))
     parts = [F.when(F.col(c).isNotNull() & (F.signum(F.col(c)) != 0) & (F.signum("cumulative_return") != 0), (F.signum(F.col(c)) != F.signum("cumulative_return")).cast("double")) for c in signs]
@@ -224,41 +247,65 @@ def training_bounds(df: DataFrame, schedule: DataFrame) -> DataFrame:
 
 
 def purge_overlaps(df: DataFrame, schedule: DataFrame) -> DataFrame:
-    """df with version and purged: the row starts no later than the last end of its symbol's rows that the version saw."""
+    """df with version, symbol_train_max_end (the last end of its symbol's rows that the version saw) and purged: the row
+    starts no later than that."""
     rows = df.join(schedule, df["available_at"] == schedule["decision_at"], "left").drop("decision_at")
     asks = rows.where("version IS NOT NULL").select("segment_id", "symbol", F.col("version").alias("t"), F.lit(0).alias("side"), F.lit(None).cast("timestamp_ntz").alias("e"))
     seen = df.select(F.lit(None).cast("string").alias("segment_id"), "symbol", F.col("available_at").alias("t"), F.lit(1).alias("side"), F.col("end").alias("e"))
     w = Window.partitionBy("symbol").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
     last = asks.unionByName(seen).withColumn("last_end", F.max("e").over(w)).where("side = 0").select("segment_id", "last_end")
-    return rows.join(last, "segment_id", "left").withColumn("purged", F.coalesce(F.col("start") <= F.col("last_end"), F.lit(False))).drop("last_end")
+    return rows.join(last, "segment_id", "left").withColumn("purged", F.coalesce(F.col("start") <= F.col("last_end"), F.lit(False))).withColumnRenamed("last_end", "symbol_train_max_end")
+
+
+def check_segments(df: DataFrame) -> None:
+    """Raises where segments cannot be states of a past-only run: no time of availability, one before the segment's end, or a
+    repeated id."""
+    early, none, rows = df.agg(F.count_if(F.col("available_at") < F.col("end")), F.count_if(F.col("available_at").isNull()), F.count(F.lit(1))).first()
+    if none:
+        raise ValueError(f"available_at is missing in {none} of {rows} segments")
+    if early:
+        raise ValueError(f"available_at precedes the end of {early} segments")
+    if df.groupBy("segment_id").count().where("count > 1").limit(1).count():
+        raise ValueError("segment_id must be unique")
 
 
-def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, min_rows: int = 100, every: int = 20) -> DataFrame:
+def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = None, *, min_rows: int = 100, every: int = 20, salts: int = 4) -> DataFrame:
     """Out-of-sample states: each row is scored by the version in force when it became available, fitted on all rows
-    available strictly before. Versions are fitted in parallel, one task each."""
+    available strictly before. Versions are fitted in parallel, one task each, which holds that version's past; a fit leaves
+    one row of parameters, and rows are scored apart from fits, each version's in `salts` tasks."""
     cfg = cfg or GateConfig()
+    if min_rows < 2 or every < 1:
+        raise ValueError("min_rows must be at least 2 and every positive")
     reject_look_ahead(features, DISCOVERY_TOKENS)
     require(df, ("segment_id", "symbol", "start", "end", "available_at", *features), "segments")
+    check_segments(df)
     schedule = refit_schedule(df, min_rows=min_rows, every=every)
     bounds = training_bounds(df, schedule)
     rows = purge_overlaps(df, schedule)
-    need = df.select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features])
-    # versions are few (one in `every` days); each gets all rows before it, in an order by keyed hash
-    train = need.join(bounds.select("version"), F.col("available_at") < F.col("version"))
-    train = train.withColumns({"_r": F.xxhash64("segment_id", F.lit(cfg.random_state)), "fits": F.lit(True)})
-    asks = rows.where("version IS NOT NULL").select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *[F.col(f).cast("double").alias(f) for f in features], "version", F.lit(0).cast("long").alias("_r"), F.lit(False).alias("fits"))
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    # versions are few (one in `every` days) and travel as one row; a row goes to each version that is later than it
+    versions = bounds.agg(F.collect_list("version").alias("_versions"))
+    need = df.select("segment_id", "symbol", F.year("start").alias("year"), "available_at", *values).crossJoin(F.broadcast(versions))
+    train = need.withColumn("version", F.explode(F.filter("_versions", lambda v: v > F.col("available_at")))).drop("_versions", "available_at")
+
+    def learn(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("segment_id")
+        x = pdf[features].to_numpy(float)
+        model = fit_ensemble(x, features, cfg, (str(pd.Timestamp(key[0])),))
+        own = model.score(x)["p"].argmax(axis=1)
+        good = [j for j in range(len(model.names)) if (m := own == j).sum() >= cfg.min_cluster_samples and pdf.symbol[m].nunique() >= cfg.min_cluster_symbols and pdf.year[m].nunique() >= cfg.min_cluster_years]
+        return pd.DataFrame({"version": [key[0]], "model": [pickle.dumps((model, good))]})
+
+    models = train.groupBy("version").applyInPandas(learn, "version timestamp_ntz, model binary")
     k = cfg.n_clusters
     columns = [f"prob_CLUSTER_{chr(65 + j)}" for j in range(k)]
     schema = "segment_id string, candidate_label string, max_probability double, posterior_entropy double, model_disagreement double, density_score double, is_low_density boolean, mixture_converged boolean, cluster_supported boolean, " + ", ".join(f"{c} double" for c in columns)
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, ask = pdf[pdf.fits].sort_values(["_r", "segment_id"]), pdf[~pdf.fits]
-        names = [x.split()[0] for x in schema.split(", ")]
-        if not len(fit) or not len(ask):
+    def score(ask: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(fitted):
             return pd.DataFrame(columns=names)
-        model = fit_ensemble(fit[features].to_numpy(float), features, cfg, (str(pdf["version"].iloc[0]),))
-        own = model.score(fit[features].to_numpy(float))["p"].argmax(axis=1)
-        good = {j for j in range(len(model.names)) if (m := own == j).sum() >= cfg.min_cluster_samples and fit.symbol[m].nunique() >= cfg.min_cluster_symbols and fit.year[m].nunique() >= cfg.min_cluster_years}
+        model, good = pickle.loads(fitted["model"].iloc[0])
         s = model.score(ask[features].to_numpy(float))
         p = np.zeros((len(ask), k))
         p[:, : s["p"].shape[1]] = s["p"]
@@ -266,16 +313,18 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
         out = pd.DataFrame({"segment_id": ask.segment_id, "candidate_label": [model.names[b] for b in best], "max_probability": p.max(axis=1), "posterior_entropy": s["entropy"], "model_disagreement": s["disagreement"], "density_score": s["density"], "is_low_density": s["low"], "mixture_converged": model.converged, "cluster_supported": [b in good for b in best]})
         return out.assign(**{c: p[:, j] for j, c in enumerate(columns)})[names]
 
-    scored = train.unionByName(asks).groupBy("version").applyInPandas(run, schema)
-    out = rows.join(scored, "segment_id", "left").join(bounds, "version", "left")
+    asks = rows.where("version IS NOT NULL AND NOT purged").select("segment_id", *values, "version", F.pmod(F.xxhash64("segment_id"), F.lit(salts)).cast("int").alias("_salt"))
+    salted = models.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scored = asks.groupBy("version", "_salt").cogroup(salted.groupBy("version", "_salt")).applyInPandas(score, schema)
+    out = rows.join(scored, "segment_id", "left").join(bounds.drop("train_max_end"), "version", "left")
     out = L.apply_gates(L.recognizability(context_conflict(boundary_uncertainty(out)), cfg), L.discovery_gates(cfg))
     special = F.when(F.col("version").isNull(), "insufficient_history").when(F.col("purged"), "purged_overlap")
     reason = F.coalesce(special, F.col("unknown_reason"))
     known = reason == ""
     return out.withColumns({
         "unknown_reason": reason, "label": F.when(known, F.col("candidate_label")).otherwise(L.UNKNOWN), "is_unknown": ~known, "candidate_status": F.when(known, "classified").otherwise("model_abstention"),
-        "state_available_at": F.col("available_at"), "oos_model_trained_at": F.col("version"), "oos_train_rows": F.col("train_rows"), "oos_train_max_end": F.col("train_max_end"), "oos_train_max_available_at": F.col("train_max_available_at"),
-    }).drop("version", "train_rows", "train_max_end", "train_max_available_at")
+        "state_available_at": F.col("available_at"), "oos_model_trained_at": F.col("version"), "oos_train_rows": F.coalesce("train_rows", F.lit(0)), "oos_train_max_end": F.col("symbol_train_max_end"), "oos_train_max_available_at": F.col("train_max_available_at"),
+    }).drop("version", "train_rows", "symbol_train_max_end", "train_max_available_at")
 
 
 # --- fixed groups ---
@@ -302,11 +351,11 @@ def soft_assign(df: DataFrame, *, key: str = "vec_id", label: str = "label", vec
 
 
 def bootstrap_symbols(df: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """(draw, symbol, multiplicity): symbols drawn with replacement, as many as there are. Each of n slots picks a symbol by
-    a keyed hash over the symbols' own numbers, so draws are joins and no task holds all symbols."""
-    n = df.select("symbol").distinct().count()
-    numbered = df.select("symbol").distinct().withColumn("i", F.row_number().over(Window.orderBy(F.xxhash64("symbol", F.lit(seed)), "symbol")) - 1)
-    slots = df.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")).crossJoin(df.sparkSession.range(n).select(F.col("id").alias("slot")))
+    """(draw, symbol, multiplicity): symbols drawn with replacement, as many as there are. Each of n slots of a draw picks a
+    symbol's number by a keyed hash; numbers are dealt by hash bucket, so no task holds all symbols."""
+    numbered = dense_numbers(df.select("symbol").distinct(), "symbol", "i", seed)
+    n = numbered.count()
+    slots = df.sparkSession.range(draws * n).select(F.floor(F.col("id") / max(n, 1)).cast("int").alias("draw"), (F.col("id") % max(n, 1)).alias("slot"))
     picks = slots.select("draw", F.pmod(F.xxhash64("draw", "slot", F.lit(seed)), F.lit(max(n, 1))).alias("i"))
     return picks.groupBy("draw", "i").agg(F.count(F.lit(1)).alias("multiplicity")).join(numbered, "i").select("draw", "symbol", "multiplicity")
 
@@ -317,7 +366,7 @@ def perturb_features(df: DataFrame, features: list[str], noise: float, *, fixed:
     moved = [f for f in features if f not in fixed]
     mid = df.agg(*[F.median(f).alias(f"m_{f}") for f in moved])
     spread = df.crossJoin(F.broadcast(mid)).agg(*[F.coalesce(F.nullif(1.4826 * F.median(F.abs(F.col(f) - F.col(f"m_{f}"))), F.lit(0.0)), F.stddev_pop(f), F.lit(0.0)).alias(f"s_{f}") for f in moved])
-    u = lambda f, k: (F.shiftrightunsigned(F.xxhash64(F.col("segment_id").cast("string"), F.lit(f), F.lit(k), F.lit(seed)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = lambda f, k: (F.shiftrightunsigned(F.xxhash64(F.col("segment_id").cast("string"), F.lit(f), F.lit(k), F.lit(seed)), 12) + F.lit(0.5)) / F.lit(float(1 << 52))
     normal = lambda f: F.sqrt(-2 * F.ln(u(f, 0))) * F.cos(F.lit(2 * np.pi) * u(f, 1))
     return df.crossJoin(F.broadcast(spread)).withColumns({f: F.col(f) + F.lit(noise) * F.col(f"s_{f}") * normal(f) for f in moved}).drop(*[f"s_{f}" for f in moved])
 
@@ -334,9 +383,31 @@ def align_labels(overlap: list[tuple[str, str, float]]) -> dict[str, str]:
     return {right[j]: left[i] for i, j in enumerate(K.assign(-square)) if i < len(left) and j < len(right)}
 
 
-def remap(df: DataFrame, names: dict[str, str], prefix: str = "prob_") -> DataFrame:
-    """df with probability columns renamed by a label map (from align_labels)."""
-    return df.withColumnsRenamed({f"{prefix}{a}": f"{prefix}{b}" for a, b in names.items() if f"{prefix}{a}" in df.columns})
+def align_prototypes(base: Ensemble, other: Ensemble) -> tuple[dict[str, str], float]:
+    """Names of other's clusters in terms of base's by the nearest prototypes, and the root mean square distance of matched
+    ones. Prototypes are the first members' means in raw units, and distances are in units of base's scaler."""
+    if len(base.names) != len(other.names):
+        raise ValueError("cluster counts differ: no alignment")
+    raw = [m.scaler.center + m.members[0].means * m.scaler.scale for m in (base, other)]
+    unit = np.where(np.isfinite(base.scaler.scale) & (base.scaler.scale > 1e-12), base.scaler.scale, 1.0)
+    gap = (((raw[0][:, None, :] - raw[1][None, :, :]) / unit) ** 2).mean(axis=2)
+    to = K.assign(gap)  # for each of base's clusters the place of other's
+    return {other.names[j]: base.names[i] for i, j in enumerate(to)}, float(np.sqrt(np.mean([gap[i, j] for i, j in enumerate(to)])))
+
+
+def remap(df: DataFrame, names: dict[str, str], prefix: str = "prob_", labels: list[str] | None = None) -> DataFrame:
+    """df in terms of other labels (a map from align_labels or align_prototypes): candidate_label and known labels are
+    renamed, and probability columns stand under the new names, in the order of labels (0 where none maps to one)."""
+    own = [c for c in df.columns if c.startswith(prefix)]
+    labels = labels or [names.get(c.removeprefix(prefix), c.removeprefix(prefix)) for c in own]
+    renamed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
+    out = df.select(*[F.col(c) for c in df.columns if c not in own], *[
+        next((F.col(f"{prefix}{a}") for a, b in names.items() if b == x and f"{prefix}{a}" in own), F.col(f"{prefix}{x}") if f"{prefix}{x}" in own and x not in names else F.lit(0.0)).alias(f"{prefix}{x}") for x in labels
+    ])
+    for c in ("candidate_label", "label"):
+        if renamed is not None and c in out.columns:
+            out = out.withColumn(c, F.coalesce(F.when(F.col(c) != L.UNKNOWN, F.get(F.array(F.try_element_at(renamed, F.col(c))), F.lit(0))), F.col(c)))
+    return out
 
 
 def training_digest(sample: DataFrame) -> str:

@@ -63,14 +63,16 @@ def structure_scores(bars: DataFrame, min_bars: int = 4) -> DataFrame:
     spread = rows.groupBy("symbol").agg(*[(F.median(F.abs(F.col(s) - F.col(f"m_{s}"))) * 1.4826 + 1e-9).alias(f"d_{s}") for s in names])
     so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(spread, "symbol").withColumns({f"c_{s}": F.sum(s).over(so_far) for s in names})
-    sums = rows.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("idx", *[f"c_{s}" for s in names]))).alias("c"))
-    # running sums of a symbol are one array: a symbol is bounded by its own bars
-    rows = rows.join(sums, "symbol")
-    at = lambda k, s: F.coalesce(F.get("c", k)[f"c_{s}"], F.lit(0.0))
+    # a bar's running sums are wanted by four other bars of its symbol: they are sent there, in the partitioning of the windows
     i, k = F.col("idx"), F.col("span")
-    shift = lambda s: F.abs(((at(i + k, s) - at(i, s)) - (at(i - 1, s) - at(i - k - 1, s))) / k) / F.col(f"d_{s}")
+    sums = F.struct(*[F.col(f"c_{s}").alias(s) for s in names])
+    sent = F.array(*[F.struct(at.cast("int").alias("idx"), F.lit(role).alias("role")) for role, at in (("own", i), ("ahead", i - k), ("last", i + 1), ("far", i + k + 1))])
+    sent = rows.select("symbol", "n", "span", *[f"d_{s}" for s in names], sums.alias("c"), F.explode(sent).alias("to")).where("to.idx >= 0 AND to.idx < n")
+    met = sent.groupBy("symbol", F.col("to.idx").alias("idx")).agg(F.first("n").alias("n"), F.first("span").alias("span"), *[F.first(f"d_{s}").alias(f"d_{s}") for s in names], *[F.max(F.when(F.col("to.role") == r, F.col("c"))).alias(r) for r in ("own", "ahead", "last", "far")])
+    at = lambda role, s: F.coalesce(F.col(f"{role}.{s}"), F.lit(0.0))
+    shift = lambda s: F.abs(((at("ahead", s) - at("own", s)) - (at("last", s) - at("far", s))) / k) / F.col(f"d_{s}")
     inside = (i >= k) & (i < F.col("n") - k)
-    return rows.select("symbol", "idx", F.when(inside, F.greatest(*[shift(s) for s in names])).otherwise(F.lit(0.0)).alias("score"))
+    return met.select("symbol", "idx", F.when(inside, F.greatest(*[shift(s) for s in names])).otherwise(F.lit(0.0)).alias("score"))
 
 
 def market_regimes(bars: DataFrame, window: int = 20, threshold: float = 0.05) -> DataFrame:

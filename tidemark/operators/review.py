@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
+from ..functions.checks import require
+from ..functions.numeric import clip, keep_last
+from .discovery import hash_share
 
 UNKNOWN = "UNKNOWN"
 REVIEWER = ("annotator", "review_status", "accepted", "true_label", "boundary_ok", "boundary_start_correction", "boundary_end_correction", "notes", "reviewed_at")
@@ -43,18 +45,30 @@ def review_queue(segments: DataFrame, reviews: DataFrame | None = None, *, limit
     return queue.limit(limit) if limit is not None else queue
 
 
+def last_reviews(reviews: DataFrame, columns: list[str]) -> DataFrame:
+    """(segment_id, columns as text) of each segment's last review: by reviewed_at, without a time last, then by the place in
+    the table as read. Without reviewed_at the place alone decides."""
+    require(reviews, ("segment_id",), "reviews")
+    rows = reviews.select(F.col("segment_id").cast("string").alias("segment_id"), *[F.col(c).cast("string").alias(c) for c in dict.fromkeys([*columns, *[c for c in ("reviewed_at",) if c in reviews.columns]])])
+    when = [F.col("reviewed_at").isNull().alias("_none"), F.col("reviewed_at").alias("_when")] if "reviewed_at" in reviews.columns else []
+    return keep_last(rows, ["segment_id"], when).select("segment_id", *columns)
+
+
 def merge_reviews(queue: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviewer columns from each segment's last review, where it has them."""
     have = [c for c in REVIEWER if c in reviews.columns]
-    last = F.max_by(F.struct(*[F.col(c).cast("string").alias(c) for c in have]), F.coalesce(F.col("reviewed_at").cast("string"), F.lit(""))) if "reviewed_at" in have else F.last(F.struct(*[F.col(c).cast("string").alias(c) for c in have]))
-    latest = reviews.groupBy(F.col("segment_id").cast("string").alias("segment_id")).agg(last.alias("_r"))
+    latest = last_reviews(reviews, have).select("segment_id", F.struct(*have).alias("_r"))
     out = queue.join(latest, "segment_id", "left")
     return out.select(*[F.coalesce(F.col(f"_r.{c}"), F.col(c)).alias(c) if c in have else F.col(c) for c in queue.columns])
 
 
 def apply_reviews(segments: DataFrame, reviews: DataFrame, label: str = "label") -> DataFrame:
-    """segments with supervised_label: the corrected label, else the predicted one if it was accepted."""
-    r = reviews.select(F.col("segment_id").cast("string").alias("_id"), F.nullif(F.trim(F.col("true_label").cast("string")), F.lit("")).alias("_true"), F.lower(F.col("accepted").cast("string")).isin("true", "1", "yes", "y", "accepted").alias("_ok"))
+    """segments with supervised_label by each segment's last review: the corrected label, else the predicted one if it was
+    accepted. Segments stay one row each."""
+    have = [c for c in ("true_label", "accepted") if c in reviews.columns]
+    r = last_reviews(reviews, have)
+    true = F.trim("true_label") if "true_label" in have else F.lit(None).cast("string")
+    r = r.select(F.col("segment_id").alias("_id"), F.when(~true.isin("", "nan", "<NA>"), true).alias("_true"), (F.lower("accepted").isin("true", "1", "yes", "y", "accepted") if "accepted" in have else F.lit(False)).alias("_ok"))
     out = segments.join(r, segments["segment_id"].cast("string") == r["_id"], "left")
     return out.withColumn("supervised_label", F.coalesce("_true", F.when(F.col("_ok"), F.col(label)))).drop("_id", "_true", "_ok")
 
@@ -93,10 +107,11 @@ def allocation(df: DataFrame, target: int, *, unknown_share: float = 0.35, seed:
 
 def stratified_sample(df: DataFrame, target: int, *, unknown_share: float = 0.35, seed: int = 42) -> DataFrame:
     """The queue of a seeded sample with each stratum's own sampling probability."""
-    take = allocation(df, target, unknown_share=unknown_share, seed=seed).select("sampling_stratum", "take", (F.col("take") / F.col("capacity")).alias("sampling_probability"))
-    rows = df.withColumn("sampling_stratum", stratum(df)).drop("sampling_probability")
-    w = Window.partitionBy("sampling_stratum").orderBy(F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed)), "segment_id")
-    chosen = rows.withColumn("_r", F.row_number().over(w)).join(take, "sampling_stratum").where(F.col("_r") <= F.col("take")).drop("_r", "take")
+    take = allocation(df, target, unknown_share=unknown_share, seed=seed).select("sampling_stratum", "take", "capacity", (F.col("take") / F.col("capacity")).alias("sampling_probability"))
+    h = F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed))
+    rows = df.withColumns({"sampling_stratum": stratum(df), "_h": h}).drop("sampling_probability").join(take, "sampling_stratum").where(hash_share(F.col("_h"), F.col("take"), F.col("capacity")))
+    w = Window.partitionBy("sampling_stratum").orderBy("_h", "segment_id")
+    chosen = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("take")).drop("_r", "_h", "take", "capacity")
     return review_queue(chosen)
 
 

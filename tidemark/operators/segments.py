@@ -188,7 +188,14 @@ def segment_distribution(segments: DataFrame, short: int = 10, by: tuple = ()) -
 
 
 def with_bars(segments: DataFrame, bars: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each bar of each segment (both ends): segment_id, keep..., and the bar's columns with idx."""
-    b = numbered(bars)
-    s = segments.select("segment_id", F.col("symbol").alias("_s"), *[F.col(c).alias(f"seg_{c}") for c in keep], F.col("start_idx").alias("_a"), F.col("end_idx").alias("_b"))
-    return b.join(s, (b["symbol"] == s["_s"]) & F.col("idx").between(F.col("_a"), F.col("_b"))).drop("_s", "_a", "_b")
+    """A row for each bar of each segment (both ends): segment_id, keep..., and the bar's columns with idx. Segments are written
+    out by index and joined on (symbol, idx), so rows made are rows out. Bounds outside a symbol's bars, an end before the
+    start and an unknown symbol fail while the plan runs."""
+    b = numbered(bars).withColumnRenamed("idx", "_idx").withColumnRenamed("symbol", "_symbol")
+    told = F.concat(F.lit("invalid segment bounds for "), F.coalesce(F.col("symbol").cast("string"), F.lit("null")), F.lit(": "), F.coalesce(F.col("start_idx").cast("string"), F.lit("null")), F.lit(".."), F.coalesce(F.col("end_idx").cast("string"), F.lit("null")))
+    fine = (F.col("start_idx") >= 0) & (F.col("end_idx") >= F.col("start_idx")) & F.col("symbol").isNotNull()
+    every = F.when(fine, F.sequence(F.col("start_idx").cast("int"), F.col("end_idx").cast("int"))).otherwise(F.raise_error(told).cast("array<int>"))
+    s = segments.select("segment_id", "symbol", *[F.col(c).alias(f"seg_{c}") for c in keep], told.alias("_told"), F.explode(every).alias("idx"))
+    out = s.join(b, (s["symbol"] == b["_symbol"]) & (s["idx"] == b["_idx"]), "left")
+    there = F.when(F.col("_idx").isNotNull(), F.col("idx")).otherwise(F.raise_error(F.col("_told")).cast("int"))
+    return out.withColumn("idx", there).drop("_told", "_idx", "_symbol")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.checks import STATE_TOKENS, reject_look_ahead, require
-from ..functions.numeric import average_rank, finite, pearson, ratio
+from ..functions.numeric import average_rank, finite, keep_last, pearson, ratio
 from .asof import asof
 
 
@@ -25,9 +25,10 @@ def sessions(bars: DataFrame) -> DataFrame:
 
 
 def join_states(bars: DataFrame, states: DataFrame, take: list[str], *, allow_same: bool = False) -> DataFrame:
-    """bars with the last state before (allow_same: at) their time."""
+    """bars with the last state before (allow_same: at) their time. Of states of one symbol and time the last as read counts."""
     reject_look_ahead(states.columns, STATE_TOKENS)
     require(states, ("symbol", "timestamp"), "states")
+    states = keep_last(states, ["symbol", "timestamp"])
     return asof(bars, states.withColumnRenamed("timestamp", "state_at"), on="symbol", left_time="timestamp", right_time="state_at", take=take, strict=not allow_same)
 
 
@@ -62,6 +63,14 @@ def forward_targets(bars: DataFrame, horizons=(5, 20, 60), benchmark: str | None
     return out.drop("session")
 
 
+def selection_dataset(bars: DataFrame, states: DataFrame, take: list[str], *, horizons=(5, 20, 60), benchmark: str | None = None, allow_same: bool = False) -> DataFrame:
+    """Bars with the states known before their time and the targets of each horizon, one row a symbol and time: of repeated
+    keys the last as read stays, on both sides."""
+    require(bars, ("symbol", "timestamp", "close"), "bars")
+    bars = keep_last(bars.withColumn("close", F.expr("try_cast(close AS double)")), ["symbol", "timestamp"])
+    return forward_targets(join_states(bars, states, take, allow_same=allow_same), horizons, benchmark)
+
+
 def neutralise(df: DataFrame, value: str, *, industry: str | None = "industry", size: str | None = "market_cap", name: str | None = None) -> DataFrame:
     """df with the same-day least-squares residual of value on log size and industry. Both controls: size and value are
     demeaned within an industry and the slope taken between them. With no more valid rows than columns the raw value stays;

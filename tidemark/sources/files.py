@@ -52,15 +52,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_json(spark: SparkSession, path: str, value: dict) -> None:
-    """Written beside and renamed, so a reader never sees half of it."""
+    """Written beside and renamed over the old one in one step, so a reader sees the old value or the new one."""
     jvm, p, fs = _fs(spark, path)
     part = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.part")
     out = fs.create(part, True)
     out.write(json.dumps(value, indent=1, sort_keys=True, default=str).encode())
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    fs.rename(part, p)
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    part, p = fs.makeQualified(part), fs.makeQualified(p)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(part, p, how)
 
 
 def read_json(spark: SparkSession, path: str, otherwise: dict | None = None) -> dict:
