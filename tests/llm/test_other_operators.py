@@ -198,7 +198,7 @@ def test_pipeline_stages_take_effect(spark, sf):
     clean = stages["toxicity"](spark, docs, sf)
     assert {r.doc_id for r in clean.select("doc_id").collect()} == {r.doc_id for r in toxicity.op6(docs, labels).where("predicted = 0").collect()}
     unique = stages["near_duplicates"](spark, docs, sf)
-    assert {r.doc_id for r in unique.select("doc_id").collect()} == {r.component_id for r in simhash.op4(docs).select("component_id").distinct().collect()}
+    assert {r.doc_id for r in unique.select("doc_id").collect()} == {r.doc_id for r in simhash.deduplicate(docs, width=5, similarity=0.8).select("doc_id").collect()}
     assert stages["mixing"](spark, docs, sf).columns == columns
     packed = stages["packing"](spark, unique, sf)
     assert packed.agg(F.sum("length")).first()[0] == packing.op9(unique).agg(F.sum("length")).first()[0]
@@ -211,6 +211,33 @@ def test_pipeline_runs(spark, tiny):
     assert out.count() > 0 and out.where("length < 1 OR length > 2048").count() == 0
 
 
+def test_pipeline_on_awkward_rows(spark, sf, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows and clashing names, through each stage and as a whole."""
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(None, None, None, None, None), (None, "a null id", "en", None, 9), (-1, "", "en", "s", 0), (-2, None, None, "s", None), (-3, "word " * 60_000, "en", "s", 300_000), (-4, "same text here", "en", "s", 14), (-4, "same text here", "en", "s", 14), (-5, "same text here", "en", None, 14)]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    order = {"doc_id": 0, "text": 1, "lang": 2, "source": 3, "n_chars": 4}
+    extra = spark.createDataFrame([tuple(r[order[c]] for c in docs.columns) for r in odd], kinds)
+    some = docs.limit(150).unionByName(extra).unionByName(docs.limit(3))
+    clash = some.withColumns({c: F.lit("clash") for c in ("score", "fp", "size", "row", "key", "id", "times", "stats", "n", "bands", "target", "Part", "_key")})
+    clash.repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    labels.unionByName(spark.createDataFrame([(None, 1, 1), (-1, None, None), (-4, 0, 0), (-4, 1, 0)], "doc_id long, quality int, toxic int").select(*[F.col(c).cast(labels.schema[c].dataType) for c in labels.columns])).write.parquet(f"{tmp_path}/a/labels.parquet")
+    read = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, read, f"{tmp_path}/a")
+        assert out.columns == read.columns, name
+        assert out.count() > 0 and out.exceptAll(read).where("_key <> 'clash'").count() == 0
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, read, f"{tmp_path}/a")
+    assert kept.where("text = 'same text here'").select("doc_id").collect() == [(-5,)] and kept.where("text IS NULL OR text = ''").count() == 1
+    whole = corpus_pipeline.run(spark, f"{tmp_path}/a")
+    assert whole.count() > 0 and whole.where("length < 1 OR length > 2048").count() == 0
+    read.where("false").write.parquet(f"{tmp_path}/b/documents.parquet")
+    labels.where("false").write.parquet(f"{tmp_path}/b/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_each_operator_has_one_query(name):
     assert sum(n.split("_")[0] == name.split("_")[0] for n in QUERIES) == 1

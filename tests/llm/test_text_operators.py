@@ -178,15 +178,73 @@ def test_simhash_deeper_trees_lose_no_link(spark, monkeypatch):
     assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
 
 
+def brute_groups(texts, width=5, radius=2, similarity=0.8):
+    """Group number of each text by all pairs: fingerprints within radius, or shingle sets of that similarity."""
+    fps = [brute_fingerprint(t, width) for t in texts]
+    sets = []
+    for t in texts:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            near = (fps[i] ^ fps[j]).bit_count() <= radius
+            if not near and min(len(a), len(b)) >= similarity * max(len(a), len(b), 1) and a:
+                near = len(a & b) >= similarity * len(a | b)
+            if near:
+                parent[root(i)] = root(j)
+    return [root(i) for i in range(len(texts))]
+
+
 def test_deduplicate_keeps_one_of_each_group(spark, docs, awkward):
     for df in (docs, awkward):
         kept = simhash.deduplicate(df)
         assert kept.columns == df.columns
-        rows = [(r.doc_id, brute_fingerprint(r.text)) for r in df.select("doc_id", "text").collect()]
-        stays = [(r.doc_id, brute_fingerprint(r.text)) for r in kept.collect()]
-        assert len({f for _, f in stays}) == len(stays)
-        want = brute_components(rows)
-        assert sorted(d for d, _ in stays if d is not None) == sorted({c for c in want if c is not None})
+        rows = df.select("doc_id", "text").collect()
+        least = {}
+        for r, g in zip(rows, brute_groups([r.text for r in rows]), strict=True):
+            least[g] = min(least.get(g, (True, 0)), (r.doc_id is None, r.doc_id or 0))
+        stays = [(r.doc_id is None, r.doc_id or 0) for r in kept.collect()]
+        assert sorted(stays) == sorted(least.values())
+    assert simhash.deduplicate(empty(awkward)).count() == 0
+
+
+def test_near_copies_are_one_group(spark, monkeypatch):
+    """Edited copies beyond the fingerprints' radius, a chain of them, a hot group, and texts that share a passage only."""
+    monkeypatch.setattr(simhash, "MEMBERS", 16)
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    texts = []
+
+    def edited(own, n):
+        own = list(own)
+        for at in rng.choice(len(own), n, replace=False):
+            own[at] = word()
+        return own
+
+    passage = [word() for _ in range(60)]
+    for _ in range(25):
+        own = [word() for _ in range(200)]
+        texts += [own, edited(own, 3), edited(own, 3)]
+    hot = [word() for _ in range(300)]
+    texts += [edited(hot, 2) for _ in range(120)]
+    texts += [[word() for _ in range(100)] + passage + [word() for _ in range(100)] for _ in range(30)]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    groups = brute_groups(texts)
+    least = {g: min(i for i, x in enumerate(groups) if x == g) for g in set(groups)}
+    assert len(least) == 25 + 1 + 30
+    got = [r.doc_id for r in simhash.deduplicate(df).collect()]
+    assert sorted(got) == sorted(least.values())
+    without = simhash.deduplicate(df, similarity=None)
+    assert without.count() > len(got)
 
 
 # --- classifiers ---

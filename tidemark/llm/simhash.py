@@ -19,6 +19,12 @@ all rows are few by that share; they are joined by broadcast, all others by a sh
 
 Components: least labels over the stars' edges with shortcuts, checkpointed each round, in DataFrame operations.
 
+Near copies: texts of a word shingle similarity of 0.8 differ in about 9 of 64 bits, and no ball of that radius can be pruned
+among 64 bits (unrelated texts lie at 32 give or take 4). deduplicate therefore adds to the tree's links those of similarity:
+texts that share a band of MinHashes meet at a centre, pairs with it are verified on their whole shingle sets, and members
+that fail meet again without it, until all of a bucket have been centres or are linked. A dense group gives as many pairs as
+it has members. What is found is exact; two texts that never share a centre can be missed (the README has the recall).
+
 Null and empty texts have fingerprint zero and link like others. A null doc_id counts in no minimum; a component of such
 rows only has a null id. Repeated rows stay. An empty table gives an empty result. Extra columns are not read; columns
 named like an output column are replaced.
@@ -26,6 +32,8 @@ named like an output column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,26 +50,52 @@ SAMPLE, LEAF, BLOCK, CHUNK, LOCAL, WORDS = 65536, 4096, 8192, 4096, 256, 1 << 18
 #: Home fingerprints of a leaf that are cut further; leaves of a deeper tree and fingerprints sampled for each of them; share
 #: of all rows from which a fingerprint is joined by broadcast.
 FULL, FAN, TWIG, HOT_SHARE = 16384, 64, 16, 0.01
+#: Words of a shingle and least similarity of near copies in deduplicate; bands of MinHashes and MinHashes of a band: two texts
+#: of similarity s share a band with a chance of 1 - (1 - s^ROWS)^BANDS (.99 at .8); members of a centre in one task.
+NEAR_WORDS, NEAR, BANDS, ROWS, MEMBERS = 5, 0.8, 16, 6, 4096
+FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a whole text; A-Z lower-cased, words [^\\x20\\x09-\\x0D]+."""
+def _hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """Hashes of a whole text's shingles, repeats included, in parts of WORDS; A-Z lower-cased, words [^\\x20\\x09-\\x0D]+."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: just these six separators, just A-Z
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, WORDS):
+    for at in range(0, max(1, len(words) - width + 1) if words else 0, WORDS):
         some = words[at : at + WORDS + width - 1]
         grams = zip(*[some[k:] for k in range(width)], strict=False) if len(words) >= width else [tuple(some)]
-        hashes = np.array([digest(b" ".join(g), SEED) for g in grams], np.uint64)
+        yield np.array([digest(b" ".join(g), SEED) for g in grams], np.uint64)
+
+
+def sketch(text: str | None, width: int = SHINGLE, bands: bool = True) -> tuple[int, int, list[int]]:
+    """Fingerprint, number of different shingles and, if asked for, a value for each band of MinHashes (none without words)."""
+    n, ones, least, seen = 0, np.zeros(64, np.int64), None, 0
+    for hashes in _hashes(text, width):
+        n += len(hashes)
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+        if bands:
+            distinct = np.unique(hashes)
+            seen += len(distinct)
+            for at in range(0, len(distinct), 4096):
+                low = (distinct[at : at + 4096, None] * FACTORS[None, :]).min(axis=0)
+                least = low if least is None else np.minimum(least, low)
+    if not n:
+        return 0, 0, []
+    fp = int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
+    return fp, seen, [] if least is None else [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a whole text."""
+    return sketch(text, width, False)[0]
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    parts = list(_hashes(text, width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def fingerprints(docs: DataFrame, *, text: str = "text", width: int = SHINGLE, name: str = "fp") -> DataFrame:
@@ -342,16 +376,81 @@ def op4(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"))
 
 
-def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, all columns, that stay: one of each component, with the smallest key (nulls last)."""
+def similar_links(sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Edges (a long, b long) between fingerprints of texts of at least that similarity of shingle sets. sketches: fp, size,
+    bands; sets gives (fp, shingles binary: sorted unsigned 64-bit hashes) of a table of fp."""
+    spark = sketches.sparkSession
+    bound_batches(spark)
+    left = sketches.select("fp", "size", F.posexplode("bands").alias("band", "value"))
+    shared = left.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "value")
+    left = cut(left.join(shared, ["band", "value"]))
+    have = cut(sets(left.select("fp").distinct()))
+    edges = None
+    while True:
+        centres = left.groupBy("band", "value").agg(F.min(F.struct("fp", "size")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = cut(left.join(centres.select("band", "value", F.col("c.fp").alias("centre"), F.col("c.size").alias("other")), ["band", "value"]).where("fp != centre"))
+        if not met.limit(1).count():
+            return edges if edges is not None else spark.createDataFrame([], "a long, b long")
+        fits = F.least("size", "other") >= F.lit(similarity) * F.greatest("size", "other")
+        pairs = met.where(fits).select("centre", "fp").distinct()
+        salts = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
+        pairs = pairs.join(salts, "centre").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).drop("salts")
+        own = have.select(F.col("fp").alias("centre"), F.col("shingles").alias("theirs")).join(salts, "centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        both = pairs.join(have, "fp").join(own, ["centre", "salt"]).select("centre", "fp", "shingles", "theirs")
+
+        def verify(batches):
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column("shingles").to_pylist(), batch.column("theirs").to_pylist(), strict=True):
+                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(common >= similarity * (len(x) + len(y) - common))
+                take = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column("centre").filter(take), batch.column("fp").filter(take)], names=["a", "b"])
+
+        found = cut(both.mapInArrow(verify, "a long, b long"))
+        edges = found if edges is None else edges.unionByName(found)
+        # linked members are done, centres too
+        left = met.join(found, (met["centre"] == found["a"]) & (met["fp"] == found["b"]), "left_anti").select("fp", "size", "band", "value")
+        left = cut(left)
+
+
+def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = NEAR_WORDS, radius: int = RADIUS, similarity: float | None = NEAR) -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each component, with the smallest key (nulls last). Documents are linked
+    by fingerprints of width-word shingles within radius, and by a similarity of their shingle sets if given."""
     narrow = spread(docs.select(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text")))
-    rows = cut(fingerprints(narrow, text="_text", width=width).select("_key", "_hash", "fp"), compact=True)
-    first = F.min(F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash")).alias("first")
+
+    def setup():
+        def kernel(batch):
+            made = [sketch(t, width, similarity is not None) for t in batch.column("_text").to_pylist()]
+            return {"fp": pa.array(np.array([m[0] for m in made], np.uint64).view(np.int64)), "size": pa.array([m[1] for m in made], pa.int64()), "bands": pa.array([np.array(m[2], np.uint64).view(np.int64) for m in made], pa.list_(pa.int64()))}
+
+        return kernel
+
+    rows = cut(arrow_map(narrow, setup, "fp long, size long, bands array<long>").drop("_text"), compact=True)
+    first = F.min(F.struct(F.col("_key").isNull().alias("no"), "_key", "_hash", "size", "bands")).alias("first")
     distinct = cut(rows.groupBy("fp").agg(first))
-    labels = components(links(distinct, radius=radius))
-    labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select("first", F.coalesce("label", "fp").alias("label"))
-    stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.struct("first._key", "first._hash").alias("id"))
+    edges = links(distinct, radius=radius)
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash")).alias("id"))
+    if similarity is not None:
+        named = F.struct("first._key", "first._hash").alias("id")
+
+        def sets(wanted: DataFrame) -> DataFrame:
+            """Shingles of the text that stands for each fingerprint; rows with one key and text have the same."""
+            of = distinct.join(wanted, "fp").select(named, "fp")
+
+            def setup():
+                return lambda batch: {"shingles": pa.array([shingle_set(t, width).astype("<u8").tobytes() for t in batch.column("_text").to_pylist()], pa.binary())}
+
+            texts = docs.select(F.struct(F.col(key).alias("_key"), F.xxhash64(text).alias("_hash")).alias("id"), F.col(text).alias("_text"))
+            if rows.groupBy("_key", "_hash").count().where("count > 1").limit(1).count():
+                texts = texts.join(of, "id", "left_semi").groupBy("id").agg(F.first("_text").alias("_text"))
+            return arrow_map(texts.join(of, "id").select("fp", "_text"), setup, "shingles binary").select("fp", "shingles")
+
+        edges = edges.unionByName(similar_links(distinct.select("fp", "first.size", "first.bands"), sets, similarity))
+    labels = components(edges)
+    labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select(F.struct("first.no", "first._key", "first._hash").alias("first"), F.coalesce("label", "fp").alias("label"))
+    stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.struct("first._key", "first._hash").alias("id"))
     repeated = rows.groupBy(F.struct("_key", "_hash").alias("id")).agg((F.count(F.lit(1)) > 1).alias("many")).where("many")
     if not repeated.limit(1).count():
         return marked.join(stays, "id", "left_semi").select("row.*")
