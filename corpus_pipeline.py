@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and returns a DataFrame that is
 written as Parquet and read again as the next stage's docs. All but the last return the columns of documents. Labels are
-read from sf_dir. Near-duplicates are those of the operator's contract (three-word shingles, at most two bits apart); of a
-group the document of the smallest id stays.
+read from sf_dir. Near-duplicates are documents linked by fingerprints of five-word shingles at most two bits apart or by a
+similarity of their five-word shingle sets of 0.8 or more; of a group the document of the smallest id stays.
+
+Null, empty and very long texts, null ids, sources and labels, ties, repeated rows, columns named like the operators' own and
+empty tables pass through every stage with the results that the operators' modules state: a row is judged by its text, rows
+with one text are one group of near-duplicates, a null source is a source, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,7 +46,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Stages hand on Parquet in the shared folder that spark.checkpoint.dir names; where it is
-    unset (tests), checkpoints of Spark's own temporary folder do."""
+    unset a local master takes checkpoints in a temporary folder, and a cluster is told to set it. The folder before the last
+    stage stays, as the returned DataFrame reads it."""
     docs, last = table(spark, sf_dir, "documents"), None
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     for name, stage in STAGES[:-1]:
