@@ -181,3 +181,63 @@ def test_digamma():
 def test_scaler_keeps_training_medians():
     s = K.RobustScaler(np.array([[1.0, np.inf], [3.0, np.nan], [5.0, np.nan]]))
     assert s(np.array([[np.nan, 7.0]])).tolist() == [[0.0, 7.0]]
+
+
+def test_kernel_changes_are_the_optimum():
+    """Against all ways to cut a short series on every fifth bar."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(3)
+    for n, shift in ((40, 20), (45, 25), (30, 0)):
+        step = np.where(np.arange(n) < shift, 0.0, 0.05) + 0.01 * rng.normal(size=n)
+        close, volume = 100 * np.exp(np.cumsum(step)), np.exp(np.where(np.arange(n) < shift, 5, 8) + 0.2 * rng.normal(size=n))
+        x = np.stack([np.diff(np.log(close), prepend=np.log(close[0])), np.log1p(volume)], axis=1)
+        x = (x - x.mean(axis=0)) / x.std(axis=0)
+        gap = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        gram = np.exp(-np.clip(gap / np.median(gap[np.triu_indices(n, 1)]), 1e-2, 1e2))
+        np.fill_diagonal(gram, 1)
+        least = max(3, n // 30)
+
+        def cost(cuts, gram=gram, n=n, least=least):
+            ends = [0, *cuts, n]
+            if any(b - a < least for a, b in zip(ends, ends[1:], strict=False)):
+                return np.inf
+            return sum(b - a - gram[a:b, a:b].sum() / (b - a) + 5.0 for a, b in zip(ends, ends[1:], strict=False))
+
+        places = [t for t in range(5, n, 5) if t >= least]
+        best = min((c for k in range(4) for c in combinations(places, k)), key=cost)
+        assert [b.index + 1 for b in K.kernel_changes(close, volume)] == [t for t in best if t < n - 1]
+        assert all(b.source == "ruptures" and b.probability == 0.58 for b in K.kernel_changes(close, volume))
+    assert K.kernel_changes(close[:11], volume[:11]) == []
+
+
+def test_density_clusters():
+    from tidemark.functions.density import DensityClusters, core_distances, spanning_tree
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.3, (60, 2)), rng.normal(5, 0.3, (50, 2)), rng.normal((0, 6), 0.3, (40, 2)), rng.uniform(-20, 20, (15, 2))])
+    core = core_distances(x, 5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    assert np.allclose(core, np.sort(d, axis=1)[:, 5])
+    reach = np.maximum(np.maximum(d, core[:, None]), core[None, :])
+    # Kruskal's tree has the same lengths
+    root = list(range(len(x)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    lengths = []
+    for i, j in sorted(zip(*np.triu_indices(len(x), 1), strict=True), key=lambda e: reach[e]):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            lengths.append(reach[i, j])
+    assert np.allclose(spanning_tree(x, core)[:, 2], lengths)
+    c = DensityClusters(x, 5)
+    blobs = [c.labels[a:b] for a, b in ((0, 60), (60, 110), (110, 150))]
+    tops = [np.bincount(b[b >= 0]).argmax() for b in blobs]
+    assert c.count == 3 and len(set(tops)) == 3 and all((b == t).mean() > 0.85 for b, t in zip(blobs, tops, strict=True))
+    assert (c.labels[150:] < 0).mean() > 0.6 and ((c.strengths >= 0) & (c.strengths <= 1)).all() and (c.strengths[c.labels < 0] == 0).all()
+    label, strength = c.predict(np.array([[0.0, 0.0], [5.0, 5.0], [0.0, 6.0], [100.0, -100.0]]))
+    assert label.tolist() == [*tops, -1] and (strength[:3] > 0.3).all() and strength[3] == 0

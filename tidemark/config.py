@@ -1,4 +1,5 @@
-"""Settings with their defaults, passed by value into kernels."""
+"""Settings with their defaults (fixed values: names and defaults have to agree with the surveyed behaviour), passed by value
+into kernels. Kernel change points and HDBSCAN are optional there and off by default here."""
 
 from __future__ import annotations
 
@@ -22,6 +23,8 @@ class SegmentationConfig:
     use_adaptive_structure: bool = True
     use_fractal_pivots: bool = True
     use_bocpd: bool = True
+    use_kernel_changes: bool = False
+    kernel_change_penalty: float = 5.0
     fractal_window: int = 2
     fractal_min_prominence_atr: float = 0.35
     bocpd_hazard: float = 0.04
@@ -49,6 +52,7 @@ class GateConfig:
     min_recognizability: float = 0.48
     max_boundary_uncertainty: float = 0.44
     max_context_conflict: float = 0.75
+    include_hdbscan: bool = False
     hdbscan_min_strength: float = 0.30
     min_cluster_samples: int = 5
     min_cluster_symbols: int = 2

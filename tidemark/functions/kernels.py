@@ -214,6 +214,39 @@ def change_points(close, hazard: float, min_run: int, least: float, max_run: int
     return [Boundary(i, min(0.9, max(0.42, 0.4 + 0.55 * float(p[i]))), "bocpd") for i in keep]
 
 
+def kernel_changes(close, volume, penalty: float = 5.0, jump: int = 5) -> list[Boundary]:
+    """Change points of return and log volume by a Gaussian kernel cost under a penalty (the optimum that PELT finds): ends of
+    segments lie on every jump-th bar, segments have at least a thirtieth of the bars. Memory grows with the square of the bars."""
+    n = len(close)
+    if n < 12:
+        return []
+    price = np.log(np.maximum(close, 1e-12))
+    x = np.stack([np.diff(price, prepend=price[0]), np.log1p(np.maximum(volume, 0))], axis=1)
+    sd = x.std(axis=0)
+    x = (x - x.mean(axis=0)) / np.where(sd > 1e-10, sd, 1.0)
+    gap = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    middle = np.median(gap[np.triu_indices(n, 1)])
+    gram = np.exp(-np.clip(gap / middle if middle else gap, 1e-2, 1e2))
+    np.fill_diagonal(gram, 1.0)
+    area = np.zeros((n + 1, n + 1))
+    area[1:, 1:] = gram.cumsum(axis=0).cumsum(axis=1)
+    least = max(3, n // 30)
+    ends = [t for t in range(0, n, jump) if t >= least] + [n]
+    total, back = {0: 0.0}, {}
+    for t in ends:
+        starts = np.array([s for s in total if t - s >= least])
+        if not len(starts):
+            continue
+        inside = area[t, t] - area[starts, t] - area[t, starts] + area[starts, starts]
+        worth = np.array([total[s] for s in starts]) + (t - starts) - inside / (t - starts) + penalty
+        total[t], back[t] = float(worth.min()), int(starts[worth.argmin()])
+    cuts, t = [], n
+    while back.get(t):
+        t = back[t]
+        cuts.append(t)
+    return [Boundary(t - 1, 0.58, "ruptures") for t in reversed(cuts) if t < n - 1]
+
+
 def fuse(found: Sequence[Boundary], n: int, tolerance: int, min_bars: int, least: float, votes: int, alone: float) -> list[Boundary]:
     """One boundary for each chain of near ones, by weighted mean and joint probability; weak ones of few sources go, both
     ends are edges, and legs shorter than min_bars (but the last) lose their less certain end."""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checks import unique_rows
 from ..functions.numeric import close_to
 
 UNKNOWN = "UNKNOWN"
@@ -23,14 +24,31 @@ def _weight(votes: DataFrame) -> F.Column:
     return 1 / F.coalesce(p, F.lit(1.0))
 
 
+def _quoted(text: F.Column) -> F.Column:
+    """text inside a JSON string."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for plain, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(plain), F.lit(escaped))
+    return out
+
+
+def with_consensus(features: DataFrame, agreed: DataFrame, *, known_only: bool = True) -> DataFrame:
+    """Feature rows with their segment's consensus (label as truth, its weight), for supervised fits: segments without one are
+    left out, and disputed or UNKNOWN ones too unless asked for. A segment with two consensus rows fails."""
+    rows = agreed.where(F.col("consensus_label") != UNKNOWN) if known_only else agreed
+    rows = unique_rows(rows.select(F.col("segment_id").cast("string").alias("_id"), F.col("consensus_label").alias("truth"), "weight", "agreement_rate"), ["_id"], "consensus")
+    return features.join(rows, features["segment_id"].cast("string") == rows["_id"]).drop("_id")
+
+
 def consensus(votes: DataFrame) -> DataFrame:
-    """A row a segment: a label only if two or more raters all agree, else UNKNOWN; votes as sorted 'label=n' text."""
+    """A row a segment: a label only if two or more raters all agree, else UNKNOWN; votes as a JSON object of
+    numbers by label, sorted."""
     per = votes.where("label IS NOT NULL").withColumn("label", F.col("label").cast("string"))
     counts = per.groupBy("segment_id", "label").agg(F.count(F.lit(1)).alias("n"), _weight(per).alias("w"))
     top = F.max_by("label", F.struct("n", "label"))
     out = counts.groupBy("segment_id").agg(
         F.sum("n").alias("annotator_count"), F.max("n").alias("_top"), F.count(F.lit(1)).alias("_labels"), top.alias("_label"), F.max("w").alias("weight"),
-        F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "label", F.col("n").cast("string")))), ",").alias("vote_counts"),
+        F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "n"))), lambda x: F.concat(F.lit('"'), _quoted(x["label"]), F.lit('": '), x["n"].cast("string"))), ", "), F.lit("}")).alias("vote_counts"),
     )
     agreed = (F.col("_labels") == 1) & (F.col("annotator_count") >= 2)
     return out.select(

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from ..config import BASELINE_GATES, GateConfig
 from ..functions import kernels as K
 from ..functions.checks import DISCOVERY_TOKENS, reject_look_ahead, require
+from ..functions.density import DensityClusters
 from ..functions.numeric import clip, dense_numbers
 from . import labels as L
 
@@ -34,6 +35,8 @@ class Ensemble:
     process: K.Mixture | None
     low_density: float
     names: list[str]
+    density: DensityClusters | None = None
+    nearest: np.ndarray | None = None  # for each density cluster the mixture component of the nearest mean
 
     @property
     def converged(self) -> bool:
@@ -42,14 +45,24 @@ class Ensemble:
     def score(self, x: np.ndarray) -> dict[str, np.ndarray]:
         z = self.scaler(x)
         own = np.stack([m.probabilities(z) for m in self.members])
-        each = own if self.process is None else np.concatenate([own, self.process.probabilities(z)[None]])
+        process = own[-1] if self.process is None else self.process.probabilities(z)
+        each = own if self.process is None else np.concatenate([own, process[None]])
+        noise, strength = None, None
+        if self.density is not None:
+            label, strength = self.density.predict(z)
+            noise, k = label < 0, own.shape[2]
+            h = np.full((len(z), k), 1.0 / k)
+            some = np.flatnonzero(~noise)
+            h[some] = ((1 - strength[some]) / k)[:, None]
+            h[some, self.nearest[label[some]]] += strength[some]
+            each = np.concatenate([each, h[None]])
         p = each.mean(axis=0)
         p = p / p.sum(axis=1, keepdims=True)
         k = p.shape[1]
         entropy = -(p * np.log(np.maximum(p, 1e-12))).sum(axis=1) / np.log(k) if k > 1 else np.zeros(len(p))
         # the discovery ensemble takes the first member's density, the baseline the mean of all
         density = self.members[0].log_density(z) if self.process is not None else np.mean([m.log_density(z) for m in self.members], axis=0)
-        return {"p": p, "gmm": own.mean(axis=0), "dpgmm": each[-1], "entropy": entropy, "disagreement": each.std(axis=0).mean(axis=1), "density": density, "low": density < self.low_density}
+        return {"p": p, "gmm": own.mean(axis=0), "dpgmm": process, "noise": noise, "strength": strength, "entropy": entropy, "disagreement": each.std(axis=0).mean(axis=1), "density": density, "low": density < self.low_density}
 
 
 def _reorder(m, order: np.ndarray):
@@ -74,7 +87,12 @@ def fit_ensemble(x: np.ndarray, features: list[str], cfg: GateConfig, key: tuple
     align = lambda m: _reorder(m, K.assign(((base[:, None, :] - m.means[None, :, :]) ** 2).sum(axis=2)))
     members[1:] = [align(m) for m in members[1:]]
     low = float(np.quantile(members[0].log_density(z), cfg.density_quantile))
-    return Ensemble(features, scaler, members, align(process), low, [f"CLUSTER_{chr(65 + j)}" for j in range(k)])
+    model = Ensemble(features, scaler, members, align(process), low, [f"CLUSTER_{chr(65 + j)}" for j in range(k)])
+    if cfg.include_hdbscan:
+        model.density = DensityClusters(z, max(2, min(cfg.min_cluster_samples, len(z))))
+        centres = [z[model.density.labels == c].mean(axis=0) for c in range(model.density.count)]
+        model.nearest = np.array([((base - c) ** 2).sum(axis=1).argmin() for c in centres], int)
+    return model
 
 
 def fit_baseline(x: np.ndarray, features: list[str], cfg: GateConfig, key: tuple = ()) -> Ensemble:
@@ -113,16 +131,21 @@ def year_quotas(df: DataFrame, most: int, floor: int = 0) -> DataFrame:
     return rows.select("year", "available", (F.col("low") + F.col("whole") + F.when(place <= left, 1).otherwise(0)).cast("long").alias("quota"))
 
 
+def keyed_hash(key: str, seed: int) -> F.Column:
+    """60 bits of the MD5 of the key and the seed: a number from 0 that any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def hash_share(h: F.Column, take, of) -> F.Column:
-    """Whether the hash h is among the smallest share that holds `take` of `of` rows with room to spare (six deviations), so
-    that few more rows than are taken are sorted."""
+    """Whether the hash h (of 60 bits) is among the smallest share that holds `take` of `of` rows with room to spare (six
+    deviations), so that few more rows than are taken are sorted."""
     room = F.least(F.lit(1.0), (take + 6 * F.sqrt(take.cast("double")) + 6) / of)
-    return h.cast("double") <= F.lit(-(2.0**63)) + room * F.lit(2.0**64)
+    return h.cast("double") <= room * F.lit(2.0**60)
 
 
 def stratified_fit_sample(df: DataFrame, most: int, floor: int = 0, seed: int = 42) -> DataFrame:
     q = year_quotas(df, most, floor).select(F.col("year").alias("_y"), "available", "quota")  # a row a year
-    h = F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed))
+    h = keyed_hash("segment_id", seed)
     rows = df.withColumns({"_year": F.year("start"), "_h": h}).join(F.broadcast(q), F.col("_year").eqNullSafe(F.col("_y"))).where(hash_share(F.col("_h"), F.col("quota"), F.col("available")))
     w = Window.partitionBy("_year").orderBy("_h", "segment_id")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r <= quota").drop("_year", "_r", "_y", "_h", "available", "quota")
@@ -137,17 +160,17 @@ def score_segments(df: DataFrame, model: Ensemble) -> DataFrame:
     def run(batches):
         for pdf in batches:
             s = model.score(pdf[model.features].to_numpy(float))
-            yield pd.DataFrame({"segment_id": pdf["segment_id"], "p": list(s["p"]), "g": list(s["gmm"]), "d": list(s["dpgmm"]), "posterior_entropy": s["entropy"], "model_disagreement": s["disagreement"], "density_score": s["density"], "is_low_density": s["low"]})
+            yield pd.DataFrame({"segment_id": pdf["segment_id"], "p": list(s["p"]), "g": list(s["gmm"]), "d": list(s["dpgmm"]), "posterior_entropy": s["entropy"], "model_disagreement": s["disagreement"], "density_score": s["density"], "is_low_density": s["low"], "hdbscan_noise": s["noise"] if s["noise"] is not None else None, "hdbscan_strength": s["strength"] if s["strength"] is not None else np.nan})
 
     kind = next(f.dataType.simpleString() for f in df.schema if f.name == "segment_id")
-    scored = need.mapInPandas(run, f"segment_id {kind}, p array<double>, g array<double>, d array<double>, posterior_entropy double, model_disagreement double, density_score double, is_low_density boolean")
+    scored = need.mapInPandas(run, f"segment_id {kind}, p array<double>, g array<double>, d array<double>, posterior_entropy double, model_disagreement double, density_score double, is_low_density boolean, hdbscan_noise boolean, hdbscan_strength double")
     out = df.join(scored, "segment_id")
     fan = {f"{prefix}prob_{n}": F.get(a, F.lit(j)) for prefix, a in (("", "p"), ("gmm_", "g"), ("dpgmm_", "d")) for j, n in enumerate(names)}
     top = F.array_max("p")
     best = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position("p", top).cast("int"))
     return out.withColumns(fan | {
         "max_probability": top, "candidate_label": best, "soft_label": F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("p")), "mixture_converged": F.lit(model.converged),
-        "hdbscan_available": F.lit(False), "hdbscan_noise": F.lit(None).cast("boolean"),
+        "hdbscan_available": F.lit(model.density is not None), "hdbscan_strength": F.when(~F.isnan("hdbscan_strength"), F.col("hdbscan_strength")),
     }).drop("p", "g", "d")
 
 
@@ -299,7 +322,7 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
     models = train.groupBy("version").applyInPandas(learn, "version timestamp_ntz, model binary")
     k = cfg.n_clusters
     columns = [f"prob_CLUSTER_{chr(65 + j)}" for j in range(k)]
-    schema = "segment_id string, candidate_label string, max_probability double, posterior_entropy double, model_disagreement double, density_score double, is_low_density boolean, mixture_converged boolean, cluster_supported boolean, " + ", ".join(f"{c} double" for c in columns)
+    schema = "segment_id string, candidate_label string, max_probability double, posterior_entropy double, model_disagreement double, density_score double, is_low_density boolean, hdbscan_noise boolean, hdbscan_strength double, mixture_converged boolean, cluster_supported boolean, " + ", ".join(f"{c} double" for c in columns)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def score(ask: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
@@ -310,7 +333,7 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
         p = np.zeros((len(ask), k))
         p[:, : s["p"].shape[1]] = s["p"]
         best = p.argmax(axis=1)
-        out = pd.DataFrame({"segment_id": ask.segment_id, "candidate_label": [model.names[b] for b in best], "max_probability": p.max(axis=1), "posterior_entropy": s["entropy"], "model_disagreement": s["disagreement"], "density_score": s["density"], "is_low_density": s["low"], "mixture_converged": model.converged, "cluster_supported": [b in good for b in best]})
+        out = pd.DataFrame({"segment_id": ask.segment_id, "candidate_label": [model.names[b] for b in best], "max_probability": p.max(axis=1), "posterior_entropy": s["entropy"], "model_disagreement": s["disagreement"], "density_score": s["density"], "is_low_density": s["low"], "hdbscan_noise": s["noise"] if s["noise"] is not None else None, "hdbscan_strength": s["strength"] if s["strength"] is not None else None, "mixture_converged": model.converged, "cluster_supported": [b in good for b in best]})
         return out.assign(**{c: p[:, j] for j, c in enumerate(columns)})[names]
 
     asks = rows.where("version IS NOT NULL AND NOT purged").select("segment_id", *values, "version", F.pmod(F.xxhash64("segment_id"), F.lit(salts)).cast("int").alias("_salt"))
@@ -388,8 +411,8 @@ def align_prototypes(base: Ensemble, other: Ensemble) -> tuple[dict[str, str], f
     ones. Prototypes are the first members' means in raw units, and distances are in units of base's scaler."""
     if len(base.names) != len(other.names):
         raise ValueError("cluster counts differ: no alignment")
-    raw = [m.scaler.center + m.members[0].means * m.scaler.scale for m in (base, other)]
-    unit = np.where(np.isfinite(base.scaler.scale) & (base.scaler.scale > 1e-12), base.scaler.scale, 1.0)
+    raw = [m.scaler.middle + m.members[0].means * m.scaler.spread for m in (base, other)]
+    unit = np.where(np.isfinite(base.scaler.spread) & (base.scaler.spread > 1e-12), base.scaler.spread, 1.0)
     gap = (((raw[0][:, None, :] - raw[1][None, :, :]) / unit) ** 2).mean(axis=2)
     to = K.assign(gap)  # for each of base's clusters the place of other's
     return {other.names[j]: base.names[i] for i, j in enumerate(to)}, float(np.sqrt(np.mean([gap[i, j] for i, j in enumerate(to)])))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DurationConfig, GateConfig
 from ..functions import kernels as K
-from ..functions.checks import require
+from ..functions.checks import require, unique_rows
 from ..functions.numeric import clip
 
 UNKNOWN = K.UNKNOWN
@@ -39,7 +39,7 @@ def discovery_gates(cfg: GateConfig) -> list[tuple[str, str]]:
     """(name, SQL condition), in the order they are told."""
     return [
         ("low_consensus", f"max_probability < {cfg.min_consensus}"), ("model_disagreement", f"model_disagreement > {cfg.max_disagreement}"), ("mixture_nonconverged", "NOT mixture_converged"),
-        ("low_density", "is_low_density"), ("hdbscan_noise", "hdbscan_noise"), ("weak_hdbscan_membership", f"hdbscan_strength < {cfg.hdbscan_min_strength}"),
+        ("low_density", "is_low_density"), ("hdbscan_noise", "hdbscan_noise"), ("weak_hdbscan_membership", f"hdbscan_strength < {cfg.hdbscan_min_strength} AND NOT hdbscan_noise"),
         ("high_entropy", f"posterior_entropy > {cfg.max_entropy}"), ("boundary_unstable", f"boundary_uncertainty > {cfg.max_boundary_uncertainty}"),
         ("context_conflict", f"context_conflict > {cfg.max_context_conflict}"), ("low_recognizability", f"recognizability < {cfg.min_recognizability}"),
         ("insufficient_cluster_support", "NOT cluster_supported"),
@@ -132,6 +132,14 @@ def merge_runs(segments: DataFrame, *, merge_unknown: bool = False) -> DataFrame
     }).drop("_run")
 
 
+def with_regimes(states: DataFrame, regimes: DataFrame, take: tuple = ("market_proxy_regime",), *, time: str = "state_available_at") -> DataFrame:
+    """States with the regime of the day they became known; without one that day the regime is UNKNOWN. A day with two rows in
+    regimes fails."""
+    r = unique_rows(regimes.select(F.to_date("timestamp").alias("_day"), *take), ["_day"], "regimes")
+    out = states.join(r, F.to_date(time) == F.col("_day"), "left").drop("_day")
+    return out.withColumns({c: F.coalesce(c, F.lit(UNKNOWN)) for c in take})
+
+
 def version_transitions(df: DataFrame, by: str = "model_version", label: str = "label") -> DataFrame:
     """(by, from_label, to_label, n) of adjacent segments of one symbol and version, on a dense grid of a version's labels."""
     w = Window.partitionBy(by, "symbol").orderBy("start_idx", "end_idx")
@@ -175,8 +183,16 @@ def transitions(segments: DataFrame, *, drop_unknown: bool = False, label: str =
     return filled.withColumn("probability", F.coalesce(F.col("n") / F.nullif(total.cast("double"), F.lit(0.0)), F.lit(0.0)))
 
 
-def describe_labels(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """(label, feature, n, mean, median, std, min, max, segments, share), long form; a null label is a label."""
+def describe_labels(df: DataFrame, features: list[str], label: str = "label", by: str | None = None) -> DataFrame:
+    """(label, feature, n, mean, median, std, min, max, segments, share), long form; a null label is a label. by: also for
+    each of its values (a model version, say), with the share within it."""
+    if by is not None:
+        pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
+        rows = df.select(F.col(by), F.col(label).alias("label"), pairs.alias("p")).select(by, "label", "p.*")
+        out = rows.groupBy(by, "label", "feature").agg(
+            F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.count(F.lit(1)).alias("segments")
+        )
+        return out.withColumn("share", F.col("segments") / F.sum("segments").over(Window.partitionBy(by, "feature")))
     total = df.count()
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
     rows = df.select(F.col(label).alias("label"), pairs.alias("p")).select("label", "p.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import require
 from ..functions.numeric import clip, keep_last
-from .discovery import hash_share
+from .discovery import hash_share, keyed_hash
 
 UNKNOWN = "UNKNOWN"
 REVIEWER = ("annotator", "review_status", "accepted", "true_label", "boundary_ok", "boundary_start_correction", "boundary_end_correction", "notes", "reviewed_at")
@@ -100,7 +100,7 @@ def allocation(df: DataFrame, target: int, *, unknown_share: float = 0.35, seed:
     level = F.min(F.when(F.col("level") < F.col("capacity"), F.struct("i", "level"))).over(Window.partitionBy("is_unknown"))["level"]
     rows = rows.withColumn("base", F.least("capacity", F.greatest(F.coalesce(level, F.col("capacity")), F.lit(0))))
     rest = F.col("want") - F.sum("base").over(Window.partitionBy("is_unknown"))
-    lucky = F.row_number().over(Window.partitionBy("is_unknown", F.col("base") < F.col("capacity")).orderBy(F.xxhash64("sampling_stratum", F.lit(seed)), "sampling_stratum"))
+    lucky = F.row_number().over(Window.partitionBy("is_unknown", F.col("base") < F.col("capacity")).orderBy(keyed_hash("sampling_stratum", seed), "sampling_stratum"))
     rows = rows.withColumns({"rest": rest, "lucky": lucky}).withColumn("take", F.col("base") + F.when((F.col("base") < F.col("capacity")) & (F.col("lucky") <= F.col("rest")), 1).otherwise(0))
     return rows.select("sampling_stratum", "is_unknown", "capacity", F.col("take").cast("long").alias("take"))
 
@@ -108,7 +108,7 @@ def allocation(df: DataFrame, target: int, *, unknown_share: float = 0.35, seed:
 def stratified_sample(df: DataFrame, target: int, *, unknown_share: float = 0.35, seed: int = 42) -> DataFrame:
     """The queue of a seeded sample with each stratum's own sampling probability."""
     take = allocation(df, target, unknown_share=unknown_share, seed=seed).select("sampling_stratum", "take", "capacity", (F.col("take") / F.col("capacity")).alias("sampling_probability"))
-    h = F.xxhash64(F.col("segment_id").cast("string"), F.lit(seed))
+    h = keyed_hash("segment_id", seed)
     rows = df.withColumns({"sampling_stratum": stratum(df), "_h": h}).drop("sampling_probability").join(take, "sampling_stratum").where(hash_share(F.col("_h"), F.col("take"), F.col("capacity")))
     w = Window.partitionBy("sampling_stratum").orderBy("_h", "segment_id")
     chosen = rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.col("take")).drop("_r", "_h", "take", "capacity")

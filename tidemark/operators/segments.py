@@ -40,6 +40,8 @@ def boundaries(bars: dict[str, np.ndarray], cfg: SegmentationConfig, change_poin
         found += K.fractals(h, lo, c, max(1, cfg.fractal_window), cfg.fractal_min_prominence_atr, cfg.atr_period)
     if change_points and cfg.use_bocpd:
         found += K.change_points(c, cfg.bocpd_hazard, cfg.bocpd_min_run_length, cfg.bocpd_change_probability, cfg.bocpd_max_run_length)
+    if change_points and cfg.use_kernel_changes:
+        found += K.kernel_changes(c, v, cfg.kernel_change_penalty)
     return K.fuse(found, len(c), cfg.merge_tolerance, cfg.min_bars, cfg.min_boundary_probability, cfg.min_boundary_votes, cfg.single_source_min_probability)
 
 
@@ -129,6 +131,19 @@ def boundary_matches(predicted: DataFrame, reference: DataFrame, tolerance: int
     return both.groupBy(*by).applyInPandas(run, f"{kinds}, matched long, predicted long, reference long")
 
 
+def compare_boundaries(reference: DataFrame, observed: DataFrame, tolerance: int = 3) -> dict[str, DataFrame]:
+    """Agreement of two segmentations' boundaries (causal_boundaries of each): overall, by symbol, and by symbol and year; a
+    match across years counts in neither year. Names say that neither side is the truth."""
+    if tolerance < 0:
+        raise ValueError("tolerance must not be negative")
+    a, b = causal_boundaries(observed), causal_boundaries(reference)
+    names = {"predicted": "observed_boundaries", "reference": "reference_boundaries", "matched": "matches", "precision": "precision_vs_reference", "recall": "recall_vs_reference", "f1": "f1_agreement"}
+    zero = lambda df: df.fillna(0.0, ["precision", "recall", "f1"]).withColumnsRenamed(names)
+    by_symbol = boundary_matches(a, b, tolerance)
+    by_year = boundary_matches(a, b, tolerance, ("symbol", "year"))
+    return {"overall": zero(precision_recall(by_symbol)).withColumn("tolerance_bars", F.lit(tolerance)), "symbol": zero(precision_recall(by_symbol, ("symbol",))), "year": zero(precision_recall(by_year, ("symbol", "year")))}
+
+
 def precision_recall(counts: DataFrame, by: tuple = ()) -> DataFrame:
     sums = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("matched", "predicted", "reference")])
     p, r = (F.col("matched") / F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("predicted", "reference"))

@@ -54,7 +54,7 @@ def latest_annotations(spark, d):
 
 @query("consensus_labels", oracle("f7_annotations", """
 , c AS (SELECT segment_id, CAST(label AS VARCHAR) AS label, count(*) AS n, max(1 / sampling_probability) AS w FROM f7_annotations GROUP BY ALL),
-g AS (SELECT segment_id, sum(n) AS raters, max(n) AS top, count(*) AS k, arg_max(label, n * 100 + CAST(label AS INT)) AS label, string_agg(label || '=' || n, ',' ORDER BY label) AS v, max(w) AS w FROM c GROUP BY segment_id)
+g AS (SELECT segment_id, sum(n) AS raters, max(n) AS top, count(*) AS k, arg_max(label, n * 100 + CAST(label AS INT)) AS label, '{' || string_agg('"' || label || '": ' || n, ', ' ORDER BY label) || '}' AS v, max(w) AS w FROM c GROUP BY segment_id)
 SELECT segment_id, CASE WHEN k = 1 AND raters >= 2 THEN label ELSE 'UNKNOWN' END AS consensus_label, CAST(raters AS BIGINT) AS annotator_count, round(top / raters, 6) AS agreement_rate, NOT (k = 1 AND raters >= 2) AS is_disputed, v AS vote_counts,
        CASE WHEN k = 1 AND raters >= 2 THEN 'unanimous' WHEN raters < 2 THEN 'insufficient_independent_raters' ELSE 'label_disagreement' END AS consensus_reason, round(w, 6) AS weight FROM g"""))
 def consensus_labels(spark, d):
@@ -184,14 +184,25 @@ def review_feedback(spark, d):
     return review.apply_reviews(rows, marks).select("segment_id", "supervised_label")
 
 
-@query("stratified_allocation")
+ALLOCATION = POOL + """
+, st AS (SELECT *, CAST(year("start") AS VARCHAR) || '|' || label || '|' || industry AS stratum, label = 'UNKNOWN' AS unknown FROM p),
+cp AS (SELECT stratum, unknown, count(*) AS capacity FROM st GROUP BY ALL), n AS (SELECT sum(capacity) FILTER (WHERE unknown) AS u, sum(capacity) FILTER (WHERE NOT unknown) AS k FROM cp),
+n2 AS (SELECT *, least(60, u + k) AS total, least(u, round_even(least(60, u + k) * 0.35, 0)) AS f FROM n), n3 AS (SELECT *, least(k, total - f) AS kn FROM n2), n4 AS (SELECT kn AS want_k, least(u, f + greatest(0, total - f - kn)) AS want_u FROM n3),
+rd AS (SELECT stratum, unknown, unnest(range(capacity)) AS rnd FROM cp), od AS (SELECT *, row_number() OVER (PARTITION BY unknown ORDER BY rnd, md5(stratum || '|42'), stratum) AS place FROM rd),
+al AS (SELECT cp.stratum, cp.unknown, capacity, count(od.place) AS take FROM cp CROSS JOIN n4 LEFT JOIN od ON od.stratum = cp.stratum AND od.unknown = cp.unknown AND od.place <= CASE WHEN cp.unknown THEN want_u ELSE want_k END GROUP BY ALL)
+"""
+
+
+@query("stratified_allocation", oracle(("f4_states", "f3_fixed_segments"), ALLOCATION + "SELECT stratum AS sampling_stratum, unknown AS is_unknown, capacity, take FROM al"))
 def stratified_allocation(spark, d):
     return review.allocation(pool(spark, d), 60)
 
 
-@query("stratified_review_sample")
+@query("stratified_review_sample", oracle(("f4_states", "f3_fixed_segments"), ALLOCATION + """
+, ch AS (SELECT st.*, al.take, al.capacity, row_number() OVER (PARTITION BY st.stratum ORDER BY md5(segment_id || '|42'), segment_id) AS r FROM st JOIN al USING (stratum))
+SELECT segment_id, symbol, label AS predicted_label, stratum AS sampling_stratum, round(take / capacity, 6) AS sampling_probability, round(CASE WHEN unknown THEN 10 ELSE 0 END + 1 - greatest(0, least(1, coalesce(recognizability, 0))) + 0.25, 6) AS review_priority FROM ch WHERE r <= take"""))
 def stratified_review_sample(spark, d):
-    return review.stratified_sample(pool(spark, d), 60).select("segment_id", "symbol", "predicted_label", "sampling_stratum", "sampling_probability", "review_priority")
+    return rounded(review.stratified_sample(pool(spark, d), 60).select("segment_id", "symbol", "predicted_label", "sampling_stratum", "sampling_probability", "review_priority"))
 
 
 @query("calibrated_classifier")
@@ -224,3 +235,64 @@ def bulk_partition_audit(spark, d):
 SELECT round(avg(2 * (tp / p) * (tp / s) / (tp / p + tp / s)), 6) AS macro_f1, round(avg(tp / s), 6) AS balanced_accuracy FROM g"""))
 def macro_metrics(spark, d):
     return rounded(calibration.macro_metrics(scored(spark, d), LABELS))
+
+
+@query("review_feedback_repeated", oracle(("f4_states", "f3_fixed_segments"), POOL + """
+, n AS (SELECT segment_id, CAST(split_part(segment_id, ':', 2) AS INT) AS n FROM p), r AS (
+ SELECT segment_id, 'first' AS t, 'no' AS a, TIMESTAMP '2024-01-01' AS w FROM n UNION ALL SELECT segment_id, '', 'yes', TIMESTAMP '2024-02-01' + INTERVAL (n) MINUTE FROM n WHERE n % 2 = 0
+ UNION ALL SELECT segment_id, ' third', 'no', CAST(NULL AS TIMESTAMP) FROM n WHERE n % 6 = 0),
+l AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY w IS NULL DESC, w DESC) AS k FROM r)
+SELECT p.segment_id, coalesce(nullif(trim(l.t), ''), CASE WHEN l.a = 'yes' THEN p.label END) AS supervised_label FROM p LEFT JOIN l ON l.segment_id = p.segment_id AND l.k = 1"""))
+def review_feedback_repeated(spark, d):
+    """Up to three reviews a segment: the last counts, and one without a time is the last."""
+    rows = pool(spark, d)
+    n = F.split("segment_id", ":")[1].cast("int")
+    at = lambda t, a, w: rows.select("segment_id", n.alias("n"), F.lit(t).alias("true_label"), F.lit(a).alias("accepted"), w.alias("reviewed_at"))
+    marks = at("first", "no", F.lit("2024-01-01T00:00:00")).unionByName(at("", "yes", F.date_format(F.timestamp_seconds(F.lit(1706745600) + n * 60), "yyyy-MM-dd'T'HH:mm:ss")).where("n % 2 = 0")).unionByName(at(" third", "no", F.lit(None).cast("string")).where("n % 6 = 0"))
+    return review.apply_reviews(rows, marks.drop("n")).select("segment_id", "supervised_label")
+
+
+@query("features_with_consensus", oracle("f7_annotations", """
+, c AS (SELECT segment_id, CAST(label AS VARCHAR) AS label, count(*) AS n, max(1 / sampling_probability) AS w FROM f7_annotations GROUP BY ALL), g AS (SELECT segment_id, sum(n) AS raters, count(*) AS k, max(label) AS label, max(w) AS w FROM c GROUP BY segment_id)
+SELECT CAST(d.doc_id AS VARCHAR) AS segment_id, CAST(d.n_chars AS BIGINT) AS n_chars, g.label AS truth, round(g.w, 6) AS weight FROM documents d JOIN g ON g.segment_id = CAST(d.doc_id AS VARCHAR) WHERE k = 1 AND raters >= 2"""))
+def features_with_consensus(spark, d):
+    rows = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("segment_id"), F.col("n_chars").cast("long").alias("n_chars"))
+    return rounded(agreement.with_consensus(rows, agreement.consensus(votes(spark, d))).select("segment_id", "n_chars", "truth", "weight"))
+
+
+@query("daily_build_audit", oracle(("f6_adjusted_source", "f6_master"), """
+, x AS (SELECT ts_code, timestamp AS t, CASE WHEN month(timestamp) = 5 THEN NULL ELSE adj_factor END AS f FROM f6_adjusted_source WHERE month(timestamp) <> 7 UNION ALL SELECT ts_code, timestamp, adj_factor FROM f6_adjusted_source WHERE month(timestamp) = 3),
+dd AS (SELECT DISTINCT timestamp AS t FROM f6_adjusted_source), en AS (SELECT t, CASE WHEN month(t) = 9 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN month(t) = 2 THEN 1 ELSE (SELECT count(*) FROM x WHERE x.t = dd.t) END AS told FROM dd WHERE month(t) <> 11),
+g AS (SELECT t, count(*) AS n, count(f) AS m, count(*) - count(DISTINCT ts_code) AS dup FROM x GROUP BY t), j AS (SELECT dd.t, en.status, en.told, en.t IS NOT NULL AS known, g.n, g.m, g.dup FROM dd LEFT JOIN en USING (t) LEFT JOIN g USING (t)),
+ac AS (SELECT dd.t, count(*) AS active FROM dd JOIN f6_master m ON m.list_date <= CAST(dd.t AS DATE) AND (m.delist_date IS NULL OR m.delist_date >= CAST(dd.t AS DATE)) GROUP BY dd.t),
+i AS (SELECT t, 'missing_manifest_date' AS code FROM j WHERE NOT known UNION ALL SELECT t, 'partition_not_complete' FROM j WHERE known AND status <> 'complete' UNION ALL SELECT t, 'partition_file_missing' FROM j WHERE known AND n IS NULL
+ UNION ALL SELECT t, 'manifest_row_count_mismatch' FROM j WHERE known AND n <> told UNION ALL SELECT t, 'duplicate_security_date_keys' FROM j WHERE known AND dup > 0 UNION ALL SELECT t, 'low_adj_factor_match' FROM j WHERE known AND m / CAST(n AS DOUBLE) < 0.999
+ UNION ALL SELECT j.t, 'low_universe_coverage' FROM j LEFT JOIN ac USING (t) WHERE known AND n IS NOT NULL AND (active IS NULL OR n / CAST(active AS DOUBLE) < 0.8)
+ UNION ALL SELECT t, 'required_endpoint_not_ok' FROM en WHERE month(t) IN (4, 8) UNION ALL SELECT t, 'suspected_truncation' FROM en WHERE month(t) = 10)
+SELECT CAST(t AS TIMESTAMP) AS trade_date, code FROM i"""))
+def daily_build_audit(spark, d):
+    """Issues of a build by days with planted faults."""
+    return _daily(spark, d)["issues"].select("trade_date", "code")
+
+
+def _daily(spark, d):
+    rows = load(spark, d, "f6_adjusted_source").select("ts_code", F.col("timestamp").alias("trade_date"), "adj_factor")
+    m = F.month("trade_date")
+    daily = rows.where(m != 7).withColumn("adj_factor", F.when(m != 5, F.col("adj_factor"))).unionByName(rows.where(m == 3))
+    days = rows.select("trade_date").distinct()
+    n = daily.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"))
+    entries = days.where(m != 11).join(n, "trade_date", "left").select("trade_date", F.when(m == 9, "incomplete").otherwise("complete").alias("status"), F.when(m == 2, 1).otherwise(F.coalesce("n", F.lit(0))).alias("rows"))
+    ends = entries.select("trade_date", F.explode(F.array(*[F.lit(e) for e in ("daily", "adj_factor", "stk_limit")])).alias("endpoint"))
+    ends = ends.where((m != 4) | (F.col("endpoint") != "daily")).select("trade_date", "endpoint", F.when((m == 8) & (F.col("endpoint") == "adj_factor"), "failed").otherwise("ok").alias("status"), ((m == 10) & (F.col("endpoint") == "stk_limit")).alias("truncated"))
+    return audit.audit_daily(daily, entries, ends, days, load(spark, d, "f6_master"), least_coverage=0.8)
+
+
+@query("daily_build_summary", oracle(("f6_adjusted_source", "f6_master"), """
+, x AS (SELECT ts_code, timestamp AS t, CASE WHEN month(timestamp) = 5 THEN NULL ELSE adj_factor END AS f FROM f6_adjusted_source WHERE month(timestamp) <> 7 UNION ALL SELECT ts_code, timestamp, adj_factor FROM f6_adjusted_source WHERE month(timestamp) = 3),
+dd AS (SELECT DISTINCT timestamp AS t FROM f6_adjusted_source), g AS (SELECT t, count(*) AS n, count(f) AS m FROM x GROUP BY t),
+ac AS (SELECT dd.t, count(*) AS active FROM dd JOIN f6_master m ON m.list_date <= CAST(dd.t AS DATE) AND (m.delist_date IS NULL OR m.delist_date >= CAST(dd.t AS DATE)) GROUP BY dd.t),
+c AS (SELECT dd.t, n, m, n / CAST(active AS DOUBLE) AS cov FROM dd LEFT JOIN g USING (t) LEFT JOIN ac USING (t))
+SELECT count(*) AS expected_dates, count(*) FILTER (WHERE n IS NOT NULL AND month(t) NOT IN (9, 11)) AS completed_partitions, CAST(sum(n) FILTER (WHERE month(t) <> 11) AS BIGINT) AS rows, round(sum(m) / sum(n), 6) AS adj_factor_match_rate, round(min(cov), 6) AS coverage_min, round(quantile_cont(cov, 0.01), 6) AS coverage_p01,
+ round(quantile_cont(cov, 0.05), 6) AS coverage_p05, round(quantile_cont(cov, 0.5), 6) AS coverage_median, round(quantile_cont(cov, 0.95), 6) AS coverage_p95, round(max(cov), 6) AS coverage_max, count(*) FILTER (WHERE cov < 0.9) AS dates_below_90pct FROM c"""))
+def daily_build_summary(spark, d):
+    return rounded(_daily(spark, d)["summary"].drop("issue_count", "passed"))

@@ -71,6 +71,60 @@ def register(spark: SparkSession, name: str, fetch: Callable[[str, str, str], pd
     spark.dataSource.register(Source)
 
 
+#: Listing states that make a universe without survivors' bias (fixed values).
+LISTING_STATES = ("L", "D", "P")
+
+
+def _frames(spark: SparkSession, calls: list[Callable[[], pd.DataFrame]], tries: int, pause: float) -> DataFrame | None:
+    """All rows of the calls that gave any, in order of the calls and rows (column _place); columns by name. Calls are few:
+    one a listing state, code or symbol asked for."""
+    got = [rows for rows in (with_retries(c, tries, pause) for c in calls) if rows is not None and len(rows)]
+    if not got:
+        return None
+    rows = pd.concat(got, ignore_index=True).reset_index(names="_place")
+    return spark.createDataFrame(rows.astype(object).where(rows.notna(), None))
+
+
+def fetch_securities(spark: SparkSession, client, *, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """Listed, delisted and paused securities, a row each: of a code under several states the first in LISTING_STATES stays.
+    The code is symbol, the vendor's own symbol local_symbol."""
+    rows = _frames(spark, [lambda s=s: client.stock_basic(exchange="", list_status=s) for s in LISTING_STATES], tries, pause)
+    if rows is None:
+        raise RuntimeError("no securities were given")
+    rows = rows.withColumnsRenamed({"symbol": "local_symbol"}).withColumnRenamed("ts_code", "symbol")
+    rest = [c for c in rows.columns if c not in ("symbol", "_place")]
+    return rows.groupBy("symbol").agg(F.min_by(F.struct(*rest), "_place").alias("_r")).select("symbol", "_r.*")
+
+
+def fetch_membership(spark: SparkSession, client, codes: Iterable[str] | None = None, *, symbols: Iterable[str] | None = None, tries: int = 3, pause: float = 1.0) -> DataFrame | None:
+    """Distinct membership intervals of industry codes, or of symbols, or (neither given) in one call; None without rows."""
+    if codes is not None and symbols is not None:
+        raise ValueError("give codes or symbols, not both")
+    asked = [{"l1_code": c} for c in codes] if codes is not None else [{"ts_code": s} for s in symbols] if symbols is not None else [{}]
+    rows = _frames(spark, [lambda a=a: client.index_member_all(**a) for a in asked], tries, pause)
+    return None if rows is None else rows.drop("_place").distinct()
+
+
+def fetch_index(spark: SparkSession, client, symbol: str, start: str, end: str, *, tries: int = 3, pause: float = 1.0) -> DataFrame:
+    """Normalised bars of an index, as market context."""
+    rows = _frames(spark, [lambda: client.index_daily(ts_code=symbol, start_date=start.replace("-", ""), end_date=end.replace("-", ""))], tries, pause)
+    if rows is None:
+        raise RuntimeError(f"no rows for {symbol}")
+    return B.normalize(rows, "_place").drop("_place")
+
+
+def fetch_metadata(spark: SparkSession, client, endpoint: str, symbols: Iterable[str], start: str, end: str, *, tries: int = 3, pause: float = 1.0, **more) -> DataFrame | None:
+    """Rows of a per-symbol endpoint for each symbol, with (symbol, timestamp) keys, the last of equal keys kept."""
+    ask = {"start_date": start.replace("-", ""), "end_date": end.replace("-", ""), **more}
+    rows = _frames(spark, [lambda s=s: getattr(client, endpoint)(ts_code=s, **ask) for s in symbols], tries, pause)
+    if rows is None:
+        return None
+    rows = rows.withColumnsRenamed({k: v for k, v in B.ALIASES.items() if k in rows.columns})
+    rows = rows.withColumn("timestamp", B.as_timestamp(rows, "timestamp"))
+    rest = [c for c in rows.columns if c not in ("symbol", "timestamp", "_place")]
+    return rows.groupBy("symbol", "timestamp").agg(F.max_by(F.struct(*rest), "_place").alias("_r")).select("symbol", "timestamp", "_r.*")
+
+
 class ChunkedBuilder:
     """Resumable download of symbols by date chunks into path/data (partitioned by symbol and chunk) with path/manifest."""
 
