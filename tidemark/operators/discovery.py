@@ -19,6 +19,7 @@ from ..functions import kernels as K
 from ..functions.checks import DISCOVERY_TOKENS, reject_look_ahead, require
 from ..functions.density import DensityClusters
 from ..functions.numeric import clip, dense_numbers
+from ..session import cut
 from . import labels as L
 
 #: Segments of a sample for fits on a whole market.
@@ -301,6 +302,7 @@ def walk_forward(df: DataFrame, features: list[str], cfg: GateConfig | None = No
         raise ValueError("min_rows must be at least 2 and every positive")
     reject_look_ahead(features, DISCOVERY_TOKENS)
     require(df, ("segment_id", "symbol", "start", "end", "available_at", *features), "segments")
+    df = cut(df)
     check_segments(df)
     schedule = refit_schedule(df, min_rows=min_rows, every=every)
     bounds = training_bounds(df, schedule)

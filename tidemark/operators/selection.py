@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import STATE_TOKENS, reject_look_ahead, require
 from ..functions.numeric import average_rank, finite, keep_last, pearson, ratio
+from ..session import cut
 from .asof import asof
 
 
@@ -95,10 +96,10 @@ def neutralise(df: DataFrame, value: str, *, industry: str | None = "industry",
 
 
 def rank_ic(df: DataFrame, score: str, target: str, by: str = "timestamp") -> DataFrame:
-    """(by, n, rank_ic): Spearman of the pairs without nulls, if there are three."""
+    """(by, n, rank_ic): Spearman of the pairs without nulls, if there are three, to 12 digits (so that 0 is 0)."""
     pairs = df.select(by, finite(score).alias("s"), finite(target).alias("t")).where("s IS NOT NULL AND t IS NOT NULL")
     ranks = pairs.withColumns({"rs": average_rank("s", [by]), "rt": average_rank("t", [by])})
-    out = ranks.groupBy(by).agg(F.count(F.lit(1)).alias("n"), pearson("rs", "rt").alias("rank_ic"))
+    out = ranks.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.round(pearson("rs", "rt"), 12).alias("rank_ic"))
     return out.withColumn("rank_ic", F.when(F.col("n") >= 3, F.col("rank_ic")))
 
 
@@ -137,8 +138,12 @@ def rebalance_days(df: DataFrame, every: int) -> DataFrame:
 def long_short(df: DataFrame, target: str, *, every: int, cost_bps: float = 0.0, group: str = "group") -> DataFrame:
     """(timestamp, turnover, gross, net) of each rebalance day with weights: +1/n on its top group, -1/n on its bottom.
     Turnover is half the absolute change of weights, 0 on the first day; gross takes the last and first group of all days."""
+    return _long_short(cut(df.select("timestamp", "symbol", group, target)), target, every, cost_bps, group)
+
+
+def _long_short(df: DataFrame, target: str, every: int, cost_bps: float, group: str = "group") -> DataFrame:
     # rows are read twice: for one row a day and group, from which days, ends and weights follow, and for the weights' symbols
-    per = df.groupBy("timestamp", group).agg(F.avg(target).alias("mean_return"), F.count(F.lit(1)).alias("n")).persist()  # a row a day and group
+    per = cut(df.groupBy("timestamp", group).agg(F.avg(target).alias("mean_return"), F.count(F.lit(1)).alias("n")))  # a row a day and group
     days = rebalance_days(per, every).select("timestamp")
     some = per.where(F.col(group).isNotNull()).join(days, "timestamp")
     some = some.withColumns({"_top": F.max(group).over(same_day()), "_low": F.min(group).over(same_day())}).where(f"`{group}` = _top OR `{group}` = _low")
@@ -198,9 +203,9 @@ def evaluate(df: DataFrame, score: str, target: str, *, groups: int = 5, cost_bp
             df = df.where(F.coalesce(F.col(c), F.lit(False)))
     df = neutralise(df, score, industry=industry, size=size, name="score_neutral")
     df = neutralise(df, target, industry=industry, size=size, name="target_neutral")
-    df = quantile_groups(df, "score_neutral", groups).persist()  # read by every metric; the caller may unpersist "dataset"
-    ic = rank_ic(df, "score_neutral", "target_neutral")
-    ls = long_short(df, target, every=every, cost_bps=cost_bps)
+    df = cut(quantile_groups(df, "score_neutral", groups))  # read by every metric
+    ic = cut(rank_ic(df, "score_neutral", "target_neutral"))  # a row a day
+    ls = cut(_long_short(df, target, every, cost_bps))  # a row a rebalance day
     t = hac_t(ic, "rank_ic", max_lag=every - 1)
     one = ic.agg(F.avg("rank_ic").alias("rank_ic"), (F.avg("rank_ic") / F.nullif(F.stddev_samp("rank_ic"), F.lit(0.0))).alias("icir"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("rank_ic_positive_rate"))
     rest = ls.agg(F.avg("net").alias("mean_net_long_short")).crossJoin(drawdown(ls).agg(F.min("drawdown").alias("max_drawdown"))).crossJoin(monotonicity(df, target))
@@ -260,7 +265,8 @@ def ridge_walk_forward(df: DataFrame, features: list[str], target: str, *, min_d
     names = [f"m{a}_{b}" for a in range(p + 2) for b in range(a, p + 2)]
     sums = [F.sum(F.when(ok, v[a] * v[b])).alias(f"m{a}_{b}") for a in range(p + 2) for b in range(a, p + 2)]
     # the one pass over rows before scoring: a row for each day and day of knowledge
-    small = df.groupBy("timestamp", F.col(known_at).alias("known_at")).agg(F.count_if(ok).alias("ok"), *sums).persist()
+    small = df.groupBy("timestamp", F.col(known_at).alias("known_at")).agg(F.count_if(ok).alias("ok"), *sums)
+    small = cut(small)
     known = small.where("ok > 0")
     by_day = known.groupBy("known_at").agg(*[F.sum(c).alias(c) for c in names])
     dates = known.groupBy("timestamp").agg(F.min("known_at").alias("first_known")).groupBy(F.col("first_known").alias("known_at")).agg(F.count(F.lit(1)).alias("dates"))
@@ -302,7 +308,8 @@ def ridge_walk_forward(df: DataFrame, features: list[str], target: str, *, min_d
 
 def incremental_test(df: DataFrame, base: list[str], extra: list[str], target: str, *, max_lag: int = 0, **settings) -> DataFrame:
     """One row: does the larger ridge's daily IC beat the smaller's on common rows? n, mean, hac_t, passed."""
-    df = df.select("symbol", "timestamp", target, *dict.fromkeys([*base, *extra]), *[c for c in df.columns if c == "selection_eligible" or c.startswith(("target_available_at", "target_tradable"))]).persist()
+    df = df.select("symbol", "timestamp", target, *dict.fromkeys([*base, *extra]), *[c for c in df.columns if c == "selection_eligible" or c.startswith(("target_available_at", "target_tradable"))])
+    df = cut(df)
     a = ridge_walk_forward(df, base, target, **settings).select("symbol", "timestamp", F.col("score").alias("score_a"))
     b = ridge_walk_forward(df, [*base, *extra], target, **settings).select("symbol", "timestamp", F.col("score").alias("score_b"))
     both = df.select("symbol", "timestamp", target).join(a, ["symbol", "timestamp"]).join(b, ["symbol", "timestamp"]).where("score_a IS NOT NULL AND score_b IS NOT NULL")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -102,11 +104,56 @@ def bootstrap_stability_causal(spark, d):
     return segments.fold_in_stability(segments.segment_causal(bars), segments.bootstrap_stability(bars, iterations=100, causal=True), default=0.0)
 
 
-@query("boundary_agreement")
+def _second(sql: str) -> str:
+    """The pivots and legs of ZIGZAG at the other multiple, under other names."""
+    body = re.sub(r"\b(z|pivots|legs)\b", r"\g<1>2", sql[len(TR):])
+    return body.replace("a.atr * 2.2", "a.atr * 1.8")
+
+
+AGREEMENT = ZIGZAG + _second(ZIGZAG) + """
+, e1 AS (SELECT symbol, a AS i FROM legs WHERE b - a >= 4 UNION SELECT symbol, b FROM legs WHERE b - a >= 4), b1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM e1),
+e2 AS (SELECT symbol, a AS i FROM legs2 WHERE b - a >= 4 UNION SELECT symbol, b FROM legs2 WHERE b - a >= 4), b2 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY i) AS k FROM e2),
+o AS (SELECT 0 AS side, x.symbol, x.i, {slice} AS s FROM b1 x JOIN t ON t.symbol = x.symbol AND t.idx = x.i WHERE k > 1 UNION ALL SELECT 1, x.symbol, x.i, {slice} FROM b2 x JOIN t ON t.symbol = x.symbol AND t.idx = x.i WHERE k > 1),
+ls AS (SELECT symbol, s, coalesce(list(i ORDER BY i) FILTER (WHERE side = 0), []) AS p, coalesce(list(i ORDER BY i) FILTER (WHERE side = 1), []) AS r FROM o GROUP BY ALL),
+mt AS (SELECT symbol, s, 1 AS x, 1 AS y, 0 AS n FROM ls UNION ALL
+  SELECT mt.symbol, mt.s, CASE WHEN p[x] - r[y] <= 3 THEN x + 1 ELSE x END, CASE WHEN r[y] - p[x] <= 3 THEN y + 1 ELSE y END, n + CASE WHEN abs(p[x] - r[y]) <= 3 THEN 1 ELSE 0 END
+  FROM mt JOIN ls ON ls.symbol = mt.symbol AND ls.s = mt.s WHERE x <= len(p) AND y <= len(r)),
+ct AS (SELECT ls.symbol, ls.s, max(n) AS matched, any_value(len(p)) AS predicted, any_value(len(r)) AS reference FROM mt JOIN ls ON ls.symbol = mt.symbol AND ls.s = mt.s GROUP BY ALL)
+"""
+AGREED = "round(2 * (m / p) * (m / r) / nullif(m / p + m / r, 0), 6)"
+
+
+@query(
+    "boundary_agreement",
+    oracle("f1_event_bars", AGREEMENT.replace("{slice}", "0") + """
+SELECT symbol, CAST(matched AS BIGINT) AS matched, CAST(predicted AS BIGINT) AS predicted, CAST(reference AS BIGINT) AS reference, round(matched / nullif(predicted, 0), 6) AS precision, round(matched / nullif(reference, 0), 6) AS recall,
+       coalesce(round(2 * (matched / nullif(predicted, 0)) * (matched / nullif(reference, 0)) / nullif(matched / nullif(predicted, 0) + matched / nullif(reference, 0), 0), 6), 0) AS f1 FROM ct""", recursive=True),
+)
 def boundary_agreement(spark, d):
+    a, b = (segments.causal_boundaries(x) for x in _two(spark, d))
+    return rounded(segments.precision_recall(segments.boundary_matches(a, b), ("symbol",)))
+
+
+def _two(spark, d):
     bars = load(spark, d, "f1_event_bars")
-    a, b = (segments.causal_boundaries(segments.segment_causal(bars, SegmentationConfig(atr_reversal=x))) for x in (2.2, 1.8))
-    return segments.precision_recall(segments.boundary_matches(a, b), ("symbol",))
+    return [segments.segment_causal(bars, SegmentationConfig(atr_reversal=x)) for x in (2.2, 1.8)]
+
+
+COMPARED = """coalesce(round(sum(matched) / nullif(sum(predicted), 0), 6), 0) AS precision_vs_reference, coalesce(round(sum(matched) / nullif(sum(reference), 0), 6), 0) AS recall_vs_reference,
+ coalesce(round(2 * (sum(matched) / nullif(sum(predicted), 0)) * (sum(matched) / nullif(sum(reference), 0)) / nullif(sum(matched) / nullif(sum(predicted), 0) + sum(matched) / nullif(sum(reference), 0), 0), 6), 0) AS f1_agreement,
+ CAST(sum(matched) AS BIGINT) AS matches, CAST(sum(predicted) AS BIGINT) AS observed_boundaries, CAST(sum(reference) AS BIGINT) AS reference_boundaries"""
+
+
+@query("boundary_agreement_overall", oracle("f1_event_bars", AGREEMENT.replace("{slice}", "0") + f"SELECT {COMPARED}, 3 AS tolerance_bars FROM ct", recursive=True))
+def boundary_agreement_overall(spark, d):
+    a, b = _two(spark, d)
+    return rounded(segments.compare_boundaries(b, a)["overall"])
+
+
+@query("boundary_agreement_years", oracle("f1_event_bars", AGREEMENT.replace("{slice}", "CAST(year(t.timestamp) AS INT)") + f"SELECT symbol, s AS year, {COMPARED} FROM ct GROUP BY symbol, s", recursive=True))
+def boundary_agreement_years(spark, d):
+    a, b = _two(spark, d)
+    return rounded(segments.compare_boundaries(b, a)["year"])
 
 
 # --- features -------------------------------------------------------------------------------------------------------
@@ -482,3 +529,107 @@ def causal_workflow_audit(spark, d):
     from .workflows import causal_states
 
     return audit.audit_states(causal_states(load(spark, d, "f1_event_bars"), min_rows=40)["states"])
+
+
+# --- evidence, provenance and joins ---
+
+
+@query("null_evidence_gates", oracle("f4_states", """
+, s AS (SELECT segment_id, CAST(split_part(segment_id, ':', 2) AS INT) AS n, boundary_uncertainty AS u FROM f4_states),
+e AS (SELECT segment_id, n, greatest(0, least(1, coalesce(CASE WHEN n % 3 <> 0 THEN u END, 1.0))) AS given, 1 - greatest(0, least(1, coalesce(CASE WHEN n % 3 <> 1 THEN 1.2 - u END, 0.0))) AS fallback, greatest(0, least(1, coalesce(CASE WHEN n % 4 <> 0 THEN (n % 5) / 4.0 END, 0))) AS conflict FROM s)
+SELECT segment_id, round(given, 6) AS given, round(fallback, 6) AS fallback, round(conflict, 6) AS context_conflict, concat_ws(';', CASE WHEN given > 0.44 THEN 'boundary_unstable' END, CASE WHEN conflict > 0.75 THEN 'context_conflict' END) AS unknown_reason FROM e"""))
+def null_evidence_gates(spark, d):
+    """Missing boundary evidence closes the gate, whichever column it would stand in; a given conflict is kept."""
+    n = F.split("segment_id", ":")[1].cast("int")
+    u = F.col("boundary_uncertainty")
+    rows = states(spark, d).select("segment_id", n.alias("n"), F.when(n % 3 != 0, u).alias("boundary_uncertainty"), F.when(n % 3 != 1, 1.2 - u).alias("boundary_probability"), F.when(n % 4 != 0, (n % 5) / 4.0).alias("multi_period_conflict"), F.lit("A").alias("candidate_label"))
+    fallback = discovery.boundary_uncertainty(rows.drop("boundary_uncertainty")).select("segment_id", F.col("boundary_uncertainty").alias("fallback"))
+    out = discovery.context_conflict(discovery.boundary_uncertainty(rows))
+    gates = [g for g in labels.discovery_gates(GateConfig()) if g[0] in ("boundary_unstable", "context_conflict")]
+    return rounded(labels.apply_gates(out, gates).join(fallback, "segment_id").select("segment_id", F.col("boundary_uncertainty").alias("given"), "fallback", "context_conflict", "unknown_reason"))
+
+
+@query("walk_forward_provenance", oracle(("f3_fixed_segments", "f4_states"), SCHEDULE + """
+, b AS (SELECT x.version, count(*) AS n, max(s.end_ts) AS a FROM (SELECT DISTINCT version FROM v WHERE version IS NOT NULL) x JOIN f3_fixed_segments s ON s.end_ts < x.version GROUP BY x.version),
+l AS (SELECT s.segment_id, s.end_ts, s.start_ts, v.version, (SELECT max(p.end_ts) FROM f3_fixed_segments p WHERE p.symbol = s.symbol AND p.end_ts < v.version) AS e FROM f3_fixed_segments s LEFT JOIN v ON v.t = s.end_ts)
+SELECT segment_id, end_ts AS state_available_at, l.version AS oos_model_trained_at, coalesce(b.n, 0) AS oos_train_rows, e AS oos_train_max_end, b.a AS oos_train_max_available_at,
+       CASE WHEN l.version IS NULL THEN 'insufficient_history' WHEN start_ts <= e THEN 'purged_overlap' ELSE 'scored' END AS outcome FROM l LEFT JOIN b ON b.version = l.version"""))
+def walk_forward_provenance(spark, d):
+    """What each out-of-sample state was fitted on: the version, its rows, and the symbol's own last training end."""
+    n = F.col("segment_no")
+    rows = _timed(spark, d).select("segment_id", "symbol", "start", "end", "available_at", (n % 7).cast("double").alias("x"), (n * 37 % 11).cast("double").alias("y"))
+    out = discovery.walk_forward(rows, ["x", "y"], GateConfig(n_clusters=2, ensemble_size=1, max_iter=5), min_rows=50, every=20)
+    special = F.col("unknown_reason").isin("insufficient_history", "purged_overlap")
+    return out.select("segment_id", "state_available_at", "oos_model_trained_at", "oos_train_rows", "oos_train_max_end", "oos_train_max_available_at", F.when(special, F.col("unknown_reason")).otherwise("scored").alias("outcome"))
+
+
+@query("state_audit", oracle("f4_states", """
+, s AS (SELECT CAST(split_part(segment_id, ':', 2) AS INT) AS n, label, available_at AS t FROM f4_states),
+x AS (SELECT *, label = 'UNKNOWN' AS un, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 11 = 3 THEN t + INTERVAL 1 DAY ELSE t - INTERVAL 1 DAY END AS m, CASE WHEN n % 13 = 7 THEN t + INTERVAL 2 DAY ELSE t - INTERVAL 2 DAY END AS a, CASE WHEN n % 17 = 1 THEN NULL ELSE t END AS sa, CASE WHEN n % 2 = 0 THEN 'low' ELSE '' END AS why FROM s)
+SELECT 'model_after_state' AS code, count(*) FILTER (WHERE m > sa) AS n FROM x UNION ALL SELECT 'training_not_before_model', count(*) FILTER (WHERE a >= m) FROM x UNION ALL SELECT 'known_without_model', count(*) FILTER (WHERE NOT un AND m IS NULL) FROM x
+UNION ALL SELECT 'state_without_time', count(*) FILTER (WHERE sa IS NULL) FROM x UNION ALL SELECT 'unknown_without_reason', count(*) FILTER (WHERE un AND why = '') FROM x"""))
+def state_audit(spark, d):
+    """The audit of out-of-sample states over rows with planted faults."""
+    n, t = F.split("segment_id", ":")[1].cast("int"), F.col("available_at")
+    day = lambda k: F.expr(f"available_at + INTERVAL '{k}' DAY")
+    rows = states(spark, d).select(
+        (F.col("label") == "UNKNOWN").alias("is_unknown"), F.when(n % 5 == 0, None).when(n % 11 == 3, day(1)).otherwise(day(-1)).alias("oos_model_trained_at"),
+        F.when(n % 13 == 7, day(2)).otherwise(day(-2)).alias("oos_train_max_available_at"), F.when(n % 17 != 1, t).alias("state_available_at"), F.when(n % 2 == 0, "low").otherwise("").alias("unknown_reason"),
+    )
+    return audit.audit_states(rows)
+
+
+@query("artifact_audit", oracle("f3_fixed_segments", """
+, s AS (SELECT *, CAST(segment_no % 4 AS VARCHAR) AS bucket FROM f3_fixed_segments),
+a AS (SELECT bucket, segment_id, CASE WHEN segment_no % 17 = 0 THEN n_bars + 1 ELSE n_bars END AS nb, start_idx, end_idx, CASE WHEN segment_no % 23 = 5 THEN 1.5 ELSE 0.5 END AS p FROM s UNION ALL SELECT '3', segment_id, n_bars, start_idx, end_idx, 0.5 FROM s WHERE segment_no % 19 = 0),
+f AS (SELECT bucket, segment_id FROM s WHERE segment_no % 13 <> 0), r AS (SELECT bucket, segment_id, label FROM s UNION ALL SELECT bucket, segment_id, label FROM s WHERE segment_no % 29 = 0),
+c AS (SELECT b.bucket, (SELECT count(*) FROM a WHERE a.bucket = b.bucket) AS na, (SELECT count(*) FROM f WHERE f.bucket = b.bucket) AS nf, (SELECT count(*) FROM r WHERE r.bucket = b.bucket) AS nr FROM (SELECT DISTINCT bucket FROM s) b),
+u AS (SELECT bucket, segment_id FROM a UNION SELECT bucket, segment_id FROM f UNION SELECT bucket, segment_id FROM r)
+SELECT bucket, 'duplicate_segment_id' AS code, 'review' AS artifact, count(*) - count(DISTINCT segment_id) AS n FROM r GROUP BY bucket HAVING count(*) > count(DISTINCT segment_id)
+UNION ALL SELECT bucket, 'duplicate_segment_id', 'segments', count(*) - count(DISTINCT segment_id) FROM a GROUP BY bucket HAVING count(*) > count(DISTINCT segment_id)
+UNION ALL SELECT bucket, 'premature_semantic_label', 'review', 1 FROM r GROUP BY bucket HAVING bool_or(label <> 'UNKNOWN')
+UNION ALL SELECT bucket, 'segment_id_set_mismatch', NULL, count(*) FROM u WHERE NOT (EXISTS (SELECT 1 FROM a WHERE a.bucket = u.bucket AND a.segment_id = u.segment_id) AND EXISTS (SELECT 1 FROM f WHERE f.bucket = u.bucket AND f.segment_id = u.segment_id) AND EXISTS (SELECT 1 FROM r WHERE r.bucket = u.bucket AND r.segment_id = u.segment_id)) GROUP BY bucket
+UNION ALL SELECT bucket, 'cross_bucket_duplicate_id', NULL, count(*) FROM (SELECT DISTINCT bucket, segment_id FROM a) x WHERE EXISTS (SELECT 1 FROM a y WHERE y.segment_id = x.segment_id AND y.bucket < x.bucket) GROUP BY bucket
+UNION ALL SELECT bucket, 'row_count_mismatch', NULL, na FROM c WHERE bucket <> '2' AND (na <> nf OR na <> nr)
+UNION ALL SELECT '2', 'bucket_incomplete', 'running', 1
+UNION ALL SELECT bucket, 'invalid_segment_geometry', NULL, count(*) FROM a WHERE nb <> end_idx - start_idx + 1 GROUP BY bucket UNION ALL SELECT bucket, 'invalid_probability', 'boundary_probability', count(*) FROM a WHERE p > 1 GROUP BY bucket"""))
+def artifact_audit(spark, d):
+    """The audit of a build in buckets over artefacts with planted faults."""
+    n = F.col("segment_no")
+    rows = fixed(spark, d).withColumn("bucket", (n % 4).cast("string"))
+    unlabelled = rows.drop("label").withColumn("boundary_probability", F.lit(0.5))
+    bad = unlabelled.withColumns({"n_bars": F.when(n % 17 == 0, F.col("n_bars") + 1).otherwise(F.col("n_bars")), "boundary_probability": F.when(n % 23 == 5, 1.5).otherwise(0.5)})
+    segs = bad.unionByName(unlabelled.where("segment_no % 19 = 0").withColumn("bucket", F.lit("3")))
+    review = rows.select("bucket", "segment_id", "segment_no", F.col("label").alias("predicted_label"))
+    review = review.unionByName(review.where("segment_no % 29 = 0"))
+    told = segs.groupBy("bucket").agg(F.count(F.lit(1)).alias("segments")).withColumn("status", F.when(F.col("bucket") == "2", "running").otherwise("complete"))
+    return audit.audit_artifacts(segs, rows.where("segment_no % 13 <> 0").select("bucket", "segment_id"), review, told, complete=True)
+
+
+@query("states_with_regime", oracle(("f4_states", "f2b_supplier_panel"), """
+, rg AS (SELECT CAST(timestamp AS DATE) AS d, CASE WHEN month(timestamp) % 3 = 0 THEN 'BULL_PROXY' ELSE 'BEAR_PROXY' END AS g FROM (SELECT DISTINCT timestamp FROM f2b_supplier_panel) WHERE month(timestamp) % 5 <> 0),
+s AS (SELECT segment_id, TIMESTAMP '1994-01-01' + INTERVAL (CAST(split_part(segment_id, ':', 2) AS INT)) MONTH AS t FROM f4_states)
+SELECT s.segment_id, coalesce(rg.g, 'UNKNOWN') AS market_proxy_regime FROM s LEFT JOIN rg ON rg.d = CAST(s.t AS DATE)"""))
+def states_with_regime(spark, d):
+    months = load(spark, d, "f2b_supplier_panel").select("timestamp").distinct().where(F.month("timestamp") % 5 != 0)
+    regimes = months.withColumn("market_proxy_regime", F.when(F.month("timestamp") % 3 == 0, "BULL_PROXY").otherwise("BEAR_PROXY"))
+    rows = states(spark, d).select("segment_id", F.add_months(F.lit("1994-01-01").cast("date"), F.split("segment_id", ":")[1].cast("int")).cast("timestamp_ntz").alias("state_available_at"))
+    return labels.with_regimes(rows, regimes).select("segment_id", "market_proxy_regime")
+
+
+@query("label_descriptions_by_version", oracle("f4_states", """
+, u AS (SELECT model_version, label, unnest(['n_bars', 'boundary_uncertainty']) AS feature, unnest([CAST(n_bars AS DOUBLE), boundary_uncertainty]) AS x FROM f4_states), k AS (SELECT model_version, count(*) AS k FROM f4_states GROUP BY ALL)
+SELECT model_version, label, feature, count(x) AS n, round(avg(x), 6) AS mean, round(median(x), 6) AS median, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(max(x), 6) AS max, count(*) AS segments, round(count(*) / any_value(k), 6) AS share FROM u JOIN k USING (model_version) GROUP BY model_version, label, feature"""))
+def label_descriptions_by_version(spark, d):
+    return rounded(labels.describe_labels(states(spark, d), ["n_bars", "boundary_uncertainty"], by="model_version"))
+
+
+@query("inferred_features", "SELECT * FROM (VALUES ('unsupervised', 'duration_bars'), ('unsupervised', 'n_bars'), ('validation', 'boundary_uncertainty'), ('validation', 'duration_bars'), ('validation', 'n_bars')) x(layer, feature)")
+def inferred_features(spark, d):
+    """Columns that each layer takes as features where none are named."""
+    from ..functions.checks import numeric_features, validation_features
+
+    rows = states(spark, d).withColumns({"duration_bars": F.col("n_bars"), "max_probability": F.col("prob_CLUSTER_A"), "gate_low": F.lit(1), "recognizability": F.lit(0.5)})
+    rows = rows.drop("start_idx", "end_idx")
+    found = [("unsupervised", c) for c in numeric_features(rows)] + [("validation", c) for c in validation_features(rows.drop("gate_low"))]
+    return spark.createDataFrame(found, "layer string, feature string")

@@ -155,15 +155,65 @@ def ridge_walk_forward_1f(spark, d):
     return rounded(selection.ridge_walk_forward(targets(spark, d), ["signal"], TARGET, min_dates=12, min_rows=100, refit_every=5), 7)
 
 
-@query("selection_summary")
+def _neutral(name: str, y: str, size: bool) -> str:
+    """name: rows of r with the neutral value of y; NULL where y is."""
+    x = "ln(greatest(market_cap, 1))" if size else "0.0"
+    return f"""
+, {name}_v AS (SELECT symbol, timestamp, industry, CAST({y} AS DOUBLE) AS y, {x} AS x, avg(CAST({y} AS DOUBLE)) OVER g AS my, avg({x}) OVER g AS mx FROM r WHERE {y} IS NOT NULL WINDOW g AS (PARTITION BY timestamp, industry)),
+{name}_b AS (SELECT timestamp, CASE WHEN sum((x - mx) * (x - mx)) > 1e-12 THEN sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) ELSE 0 END AS beta, count(*) AS n FROM {name}_v GROUP BY timestamp),
+{name}_p AS (SELECT timestamp, greatest(count(DISTINCT industry), 1) + {int(size)} AS p FROM r GROUP BY timestamp),
+{name} AS (SELECT symbol, timestamp, CASE WHEN n <= p THEN y ELSE y - my - beta * (x - mx) END AS v FROM {name}_v JOIN {name}_b USING (timestamp) JOIN {name}_p USING (timestamp))"""
+
+
+def _summary(y: str, size: bool, k: str = "") -> str:
+    """CTEs up to sm{k}: the summary of score y, rebalanced every three sessions, groups of the neutral score."""
+    return _neutral(f"na{k}", y, size) + _neutral(f"nb{k}", "ex", size) + f"""
+, pr{k} AS (SELECT a.timestamp, a.v AS s, b.v AS t FROM na{k} a JOIN nb{k} b USING (symbol, timestamp)), kk{k} AS (SELECT timestamp, rank() OVER (PARTITION BY timestamp ORDER BY s) + (count(*) OVER (PARTITION BY timestamp, s) - 1) / 2.0 AS x, rank() OVER (PARTITION BY timestamp ORDER BY t) + (count(*) OVER (PARTITION BY timestamp, t) - 1) / 2.0 AS y FROM pr{k}),
+ic{k} AS (SELECT timestamp, CASE WHEN count(*) >= 3 THEN round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 12) END AS ic FROM kk{k} GROUP BY timestamp),
+q{k} AS (SELECT r.symbol, r.timestamp, r.ex, a.v, row_number() OVER (PARTITION BY r.timestamp ORDER BY a.v, r.symbol) AS rn, count(*) OVER (PARTITION BY r.timestamp) AS n FROM r JOIN na{k} a USING (symbol, timestamp)),
+g{k} AS (SELECT *, CASE WHEN n >= 5 THEN CAST(greatest(((rn - 1) * 5 + n - 2) // (n - 1), 1) - 1 AS INT) END AS grp FROM q{k}), gr{k} AS (SELECT timestamp, grp, avg(ex) AS mr FROM g{k} WHERE grp IS NOT NULL AND ex IS NOT NULL GROUP BY ALL),
+dd{k} AS (SELECT timestamp FROM cal WHERE (s - 1) % 3 = 0), gs{k} AS (SELECT timestamp, max(CASE WHEN grp = (SELECT max(grp) FROM gr{k}) THEN mr END) - max(CASE WHEN grp = (SELECT min(grp) FROM gr{k}) THEN mr END) AS net FROM gr{k} JOIN dd{k} USING (timestamp) GROUP BY timestamp),
+wl{k} AS (SELECT timestamp, product(1 + coalesce(net, 0)) OVER (ORDER BY timestamp) AS w FROM gs{k}), dr{k} AS (SELECT min(w / m - 1) AS dd FROM (SELECT w, max(w) OVER (ORDER BY timestamp) AS m FROM wl{k})),
+mo{k} AS (SELECT covar_pop(x, y) / (stddev_pop(x) * stddev_pop(y)) AS mono FROM (SELECT rank() OVER (ORDER BY grp) AS x, rank() OVER (ORDER BY m) AS y FROM (SELECT grp, avg(mr) AS m FROM gr{k} GROUP BY grp))),
+xs{k} AS (SELECT row_number() OVER (ORDER BY timestamp) AS i, ic AS x FROM ic{k} WHERE ic IS NOT NULL), mm{k} AS (SELECT count(*) AS n, avg(x) AS m FROM xs{k}), cc{k} AS (SELECT i, x - m AS c, n, m FROM xs{k}, mm{k}),
+ga{k} AS (SELECT j.j, sum(u.c * w.c) / any_value(u.n) AS g FROM range(3) j(j) JOIN cc{k} u ON true JOIN cc{k} w ON u.i - j.j = w.i GROUP BY j.j), hs{k} AS (SELECT m / sqrt(greatest((SELECT sum(CASE WHEN j = 0 THEN g ELSE 2 * (1 - j / 3.0) * g END) FROM ga{k}), 0) / n) AS t FROM mm{k}),
+sm{k} AS (SELECT round(avg(ic), 6) AS rank_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg(CASE WHEN ic > 0 THEN 1.0 WHEN ic <= 0 THEN 0.0 END), 6) AS rank_ic_positive_rate, round((SELECT t FROM hs{k}), 5) AS rank_ic_hac_t, (SELECT round(avg(net), 6) FROM gs{k}) AS mean_net_long_short,
+ (SELECT round(dd, 6) FROM dr{k}) AS max_drawdown, (SELECT round(mono, 6) FROM mo{k}) AS monotonicity, (SELECT count(*) FROM r WHERE {y} IS NOT NULL AND ex IS NOT NULL) AS scored_rows FROM ic{k})"""
+
+
+@query("selection_summary", oracle("f2_panel", TARGETS + _summary("signal", True) + "SELECT * FROM sm"))
 def selection_summary(spark, d):
-    return rounded(selection.evaluate(targets(spark, d), "signal", TARGET)["summary"])
+    out = selection.evaluate(targets(spark, d), "signal", TARGET)["summary"]
+    return rounded(out.withColumn("rank_ic_hac_t", F.round("rank_ic_hac_t", 5)))
 
 
-@query("selection_compare")
+@query("regime_ic", oracle("f2_panel", TARGETS + """
+, pr AS (SELECT CASE WHEN month(timestamp) % 3 = 0 THEN 'BULL' ELSE 'BEAR' END AS market_regime, signal AS s, ex AS t FROM r WHERE ex IS NOT NULL),
+k AS (SELECT market_regime, rank() OVER (PARTITION BY market_regime ORDER BY s) + (count(*) OVER (PARTITION BY market_regime, s) - 1) / 2.0 AS x, rank() OVER (PARTITION BY market_regime ORDER BY t) + (count(*) OVER (PARTITION BY market_regime, t) - 1) / 2.0 AS y FROM pr)
+SELECT market_regime, count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS rank_ic FROM k GROUP BY market_regime"""))
+def regime_ic(spark, d):
+    rows = targets(spark, d).withColumn("market_regime", F.when(F.month("timestamp") % 3 == 0, "BULL").otherwise("BEAR"))
+    return rounded(selection.rank_ic(rows, "signal", TARGET, by="market_regime"))
+
+
+@query("selection_dataset", oracle(("f2_panel", "f4_states"), TARGETS + """
+, s AS (SELECT DISTINCT ON (symbol, timestamp) symbol, timestamp, signal + 1 AS st FROM f2_panel WHERE month(timestamp) % 2 = 0)
+SELECT r.symbol, r.timestamp, s.st AS state, round(r.ex, 8) AS future_excess_3d, r.av AS target_available_at_3d FROM r ASOF LEFT JOIN s ON s.symbol = r.symbol AND r.timestamp > s.timestamp"""))
+def selection_dataset(spark, d):
+    """One call from bars and states, both with repeated keys of which the last as read counts."""
+    rows = panel(spark, d).coalesce(1)
+    stale = rows.withColumns({"close": F.col("close") * 3, "low": F.col("low") / 2})
+    states = rows.where(F.month("timestamp") % 2 == 0).select("symbol", "timestamp", (F.col("signal") + 1).alias("state"))
+    both = states.withColumn("state", F.lit(-1.0)).unionByName(states).coalesce(1)
+    out = selection.selection_dataset(stale.unionByName(rows).coalesce(1), both, ["state"], horizons=(3,))
+    return rounded(out.select("symbol", "timestamp", "state", TARGET, "target_available_at_3d"), 8)
+
+
+@query("selection_compare", oracle("f2_panel", TARGETS + _summary("signal", False, "1") + _summary("market_cap", False, "2") + "SELECT *, 'signal' AS score FROM sm1 UNION ALL SELECT *, 'size_score' FROM sm2"))
 def selection_compare(spark, d):
     rows = targets(spark, d).withColumn("size_score", F.col("market_cap"))
-    return rounded(selection.compare(rows, ["signal", "size_score"], TARGET, size=None))
+    out = selection.compare(rows, ["signal", "size_score"], TARGET, size=None)
+    return rounded(out.withColumn("rank_ic_hac_t", F.round("rank_ic_hac_t", 5)))
 
 
 @query("selection_incremental")

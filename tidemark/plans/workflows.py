@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import PipelineConfig
 from ..operators import discovery, features, labels, review, segments
 from ..operators.bars import normalize
+from ..session import cut
 
 
 def describe_bars(bars: DataFrame, cfg: PipelineConfig | None = None, *, names: list[str] | None = None) -> dict[str, DataFrame]:
@@ -20,8 +21,8 @@ def describe_bars(bars: DataFrame, cfg: PipelineConfig | None = None, *, names:
     if cfg.segmentation.bootstrap_iterations:
         stable = segments.bootstrap_stability(bars, cfg.segmentation, iterations=cfg.segmentation.bootstrap_iterations, change_points=True)
         segs = segments.fold_in_stability(segs, stable)
-    segs = segs.persist()  # the fit, the labels and the merged rows all start from it
-    rows = segs.join(features.segment_features(segs, bars), "segment_id").persist()
+    segs = cut(segs)  # the fit, the labels and the merged rows all start from it
+    rows = cut(segs.join(features.segment_features(segs, bars), "segment_id"))
     found = discovery.discover(rows, names, cfg.model, backend=cfg.backend)
     found = labels.dwell_filter(found, cfg.duration.dwell_bars)
     final = found
@@ -45,8 +46,8 @@ def causal_states(bars: DataFrame, cfg: PipelineConfig | None = None, *, min_row
     if cfg.segmentation.bootstrap_iterations:
         stable = segments.bootstrap_stability(bars, cfg.segmentation, iterations=cfg.segmentation.bootstrap_iterations, causal=True)
         segs = segments.fold_in_stability(segs, stable, default=0.0)
-    segs = segs.persist()
-    rows = segs.join(features.segment_features(segs, bars), "segment_id").persist()
+    segs = cut(segs)
+    rows = cut(segs.join(features.segment_features(segs, bars), "segment_id"))
     states = discovery.walk_forward(rows, names, cfg.model, min_rows=min_rows, every=every)
     versioned = states.withColumn("model_version", F.coalesce(F.col("oos_model_trained_at").cast("string"), F.lit("none")))
     return {"segments": rows, "states": states, "coverage": labels.coverage(versioned, ["model_version"]), "reasons": labels.unknown_reasons(versioned), "structure": labels.structure_summary(versioned)}

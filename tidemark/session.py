@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,3 +19,16 @@ SETTINGS = {
 def session(name: str = "tidemark", master: str | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(name).config(map=SETTINGS | extra)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder of spark.checkpoint.dir and read from there: it is made once, plans on top of it stay
+    small, and lost executors cost no recomputation. Where the setting is missing a local master takes a temporary folder; a
+    cluster's machines share none, so there it is an error."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
