@@ -44,9 +44,9 @@ def test_url_rules_against_sql(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
-    for name in ("op2_url_filter", "op7_chat"):
+    for name in ("op2_url_filter", "op7_chat", "op10_sharding"):
         df = QUERIES[name](spark, sf)
         got = sorted(map(str, (tuple(r) for r in df.collect())))
         rel = con.sql(ORACLE_SQL[name])

@@ -605,6 +605,26 @@ def test_sharding(spark, docs, awkward):
     assert (seventeen.sort_index() == sixteen.sort_index()).all()
 
 
+def test_slots_of_a_row_repeated_very_often(spark, monkeypatch):
+    for name, value in (("BUCKET_ROWS", 64), ("SPREAD", 500)):
+        monkeypatch.setattr(sharding, name, value)
+    rows = spark.range(20_000).select(F.lit(7).cast("long").alias("k"), F.lit(0).alias("g")).unionByName(spark.range(3000).select((F.col("id") % 900).alias("k"), (F.col("id") % 3).cast("int").alias("g")))
+    out = sharding.number_slots(rows, "g", ["k"])
+    got = out.toPandas()
+    assert len(got) == 23_000 and all(sorted(x.slot) == list(range(len(x))) for _, x in got.groupby("g"))
+    assert out.where("k = 7 AND g = 0").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_winner_is_the_largest_score(spark):
+    """Each key's shard recomputed from the definition."""
+    weights = [1.0, 0.5, 3.0]
+    out = sharding.assign_shards(spark.range(300), ["id"], weights, grown_weight=2.0, seed=5).collect()
+    for r in out:
+        u = [(int(hashlib.md5(f"{r.id}|5|{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for j in range(4)]
+        scores = [-w / math.log(x) for w, x in zip([*weights, 2.0], u, strict=True)]
+        assert r.shard == int(np.argmax(scores[:3])) and r.grown_shard == (3 if scores[3] > max(scores[:3]) else r.shard)
+
+
 def test_sharding_follows_weights(spark):
     out = sharding.assign_shards(spark.range(40_000), ["id"], [1.0, 2.0, 5.0]).groupBy("shard").count().orderBy("shard").collect()
     assert [abs(r["count"] / 40_000 - w / 8) < 0.01 for r, w in zip(out, (1, 2, 5), strict=True)] == [True] * 3

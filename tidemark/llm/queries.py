@@ -17,4 +17,4 @@ QUERIES = {
     "op9_packing": lambda spark, d: packing.op9(table(spark, d, "documents")),
     "op10_sharding": lambda spark, d: sharding.op10(table(spark, d, "documents")),
 }
-ORACLE_SQL = {"op2_url_filter": url_filter.OP2_SQL, "op7_chat": chat.OP7_SQL}
+ORACLE_SQL = {"op2_url_filter": url_filter.OP2_SQL, "op7_chat": chat.OP7_SQL, "op10_sharding": sharding.OP10_SQL}
