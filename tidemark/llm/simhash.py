@@ -22,8 +22,9 @@ Components: least labels over the stars' edges with shortcuts, checkpointed each
 Near copies: texts of a word shingle similarity of 0.8 differ in about 9 of 64 bits, and no ball of that radius can be pruned
 among 64 bits (unrelated texts lie at 32 give or take 4). deduplicate therefore adds to the tree's links those of similarity:
 texts that share a band of MinHashes meet at a centre, pairs with it are verified on their whole shingle sets, and members
-that fail meet again without it, until all of a bucket have been centres or are linked. A dense group gives as many pairs as
-it has members. What is found is exact; two texts that never share a centre can be missed (the README has the recall).
+that fail meet again where they share one more band, which parts those that only have a passage in common. A dense group
+gives as many pairs as it has members. What is found is exact; two texts that never share a centre can be missed (the README
+has the recall).
 
 Null and empty texts have fingerprint zero and link like others. A null doc_id counts in no minimum; a component of such
 rows only has a null id. Repeated rows stay. An empty table gives an empty result. Extra columns are not read; columns
@@ -53,6 +54,8 @@ FULL, FAN, TWIG, HOT_SHARE = 16384, 64, 16, 0.01
 #: Words of a shingle and least similarity of near copies in deduplicate; bands of MinHashes and MinHashes of a band: two texts
 #: of similarity s share a band with a chance of 1 - (1 - s^ROWS)^BANDS (.99 at .8); members of a centre in one task.
 NEAR_WORDS, NEAR, BANDS, ROWS, MEMBERS = 5, 0.8, 16, 6, 4096
+#: Pairs of a round (three numbers each) that are broadcast at most.
+FEW = 200_000
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -378,25 +381,27 @@ def op4(docs: DataFrame) -> DataFrame:
 
 def similar_links(sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Edges (a long, b long) between fingerprints of texts of at least that similarity of shingle sets. sketches: fp, size,
-    bands; sets gives (fp, shingles binary: sorted unsigned 64-bit hashes) of a table of fp."""
+    bands (checkpointed); sets gives (fp, shingles binary: sorted unsigned 64-bit hashes) of a table of fp. There are at most
+    BANDS rounds."""
     spark = sketches.sparkSession
     bound_batches(spark)
-    left = sketches.select("fp", "size", F.posexplode("bands").alias("band", "value"))
-    shared = left.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "value")
-    left = cut(left.join(shared, ["band", "value"]))
-    have = cut(sets(left.select("fp").distinct()))
-    edges = None
+    left = sketches.select("fp", "size", F.posexplode("bands").alias("last", "value")).select("fp", "size", "last", F.xxhash64("last", "value").alias("bucket"))
+    edges, have = None, None
     while True:
-        centres = left.groupBy("band", "value").agg(F.min(F.struct("fp", "size")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        met = cut(left.join(centres.select("band", "value", F.col("c.fp").alias("centre"), F.col("c.size").alias("other")), ["band", "value"]).where("fp != centre"))
+        centres = left.groupBy("bucket").agg(F.min(F.struct("fp", "size")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("c.fp").alias("centre"), F.col("c.size").alias("other"))
+        met = cut(left.join(centres, "bucket").where("fp != centre"))
         if not met.limit(1).count():
             return edges if edges is not None else spark.createDataFrame([], "a long, b long")
+        if have is None:
+            have = cut(sets(met.select("fp").union(met.select("centre")).distinct()))
         fits = F.least("size", "other") >= F.lit(similarity) * F.greatest("size", "other")
-        pairs = met.where(fits).select("centre", "fp").distinct()
+        pairs = cut(met.where(fits).select("centre", "fp").distinct())
+        # up to FEW pairs go to the sets, so that sets are not shuffled again in each round; more are joined by a shuffle
+        small = F.broadcast if pairs.count() <= FEW else (lambda df: df)
         salts = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
         pairs = pairs.join(salts, "centre").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).drop("salts")
-        own = have.select(F.col("fp").alias("centre"), F.col("shingles").alias("theirs")).join(salts, "centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        both = pairs.join(have, "fp").join(own, ["centre", "salt"]).select("centre", "fp", "shingles", "theirs")
+        own = have.select(F.col("fp").alias("centre"), F.col("shingles").alias("theirs")).join(small(salts), "centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        both = have.join(small(pairs), "fp").join(own, ["centre", "salt"]).select("centre", "fp", "shingles", "theirs")
 
         def verify(batches):
             for batch in batches:
@@ -410,9 +415,10 @@ def similar_links(sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], s
 
         found = cut(both.mapInArrow(verify, "a long, b long"))
         edges = found if edges is None else edges.unionByName(found)
-        # linked members are done, centres too
-        left = met.join(found, (met["centre"] == found["a"]) & (met["fp"] == found["b"]), "left_anti").select("fp", "size", "band", "value")
-        left = cut(left)
+        # linked members and centres are done in this bucket; the others meet again where they share a later band too
+        rest = met.join(found, (met["centre"] == found["a"]) & (met["fp"] == found["b"]), "left_anti").select("fp", "last", "bucket")
+        later = rest.join(sketches.select("fp", "size", F.posexplode("bands").alias("band", "value")), "fp").where("band > last")
+        left = cut(later.select("fp", "size", F.col("band").alias("last"), F.xxhash64("bucket", "band", "value").alias("bucket")))
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = NEAR_WORDS, radius: int = RADIUS, similarity: float | None = NEAR) -> DataFrame:
@@ -447,7 +453,7 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", wid
                 texts = texts.join(of, "id", "left_semi").groupBy("id").agg(F.first("_text").alias("_text"))
             return arrow_map(texts.join(of, "id").select("fp", "_text"), setup, "shingles binary").select("fp", "shingles")
 
-        edges = edges.unionByName(similar_links(distinct.select("fp", "first.size", "first.bands"), sets, similarity))
+        edges = edges.unionByName(similar_links(cut(distinct.select("fp", "first.size", "first.bands")), sets, similarity))
     labels = components(edges)
     labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select(F.struct("first.no", "first._key", "first._hash").alias("first"), F.coalesce("label", "fp").alias("label"))
     stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.struct("first._key", "first._hash").alias("id"))
