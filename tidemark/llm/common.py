@@ -43,6 +43,13 @@ def cut(df: DataFrame, *, compact: bool = False) -> DataFrame:
     return df.checkpoint()
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """df, cut, without the size estimated for it. A join is estimated as the product of its sides and checkpoints keep that,
+    so in loops that join a cut table with itself the estimate gets digits without end, and planning takes longer than work."""
+    df, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df for kernels that cost more than a shuffle of their rows: a table of fewer splits than cores is dealt to all."""
     cores = df.sparkSession.sparkContext.defaultParallelism

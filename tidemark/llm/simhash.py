@@ -22,7 +22,7 @@ Components: least labels over the stars' edges with shortcuts, checkpointed each
 Near copies: texts of a word shingle similarity of 0.8 differ in about 9 of 64 bits, and no ball of that radius can be pruned
 among 64 bits (unrelated texts lie at 32 give or take 4). deduplicate therefore adds to the tree's links those of similarity:
 texts that share a band of MinHashes meet at a centre, pairs with it are verified on their whole shingle sets, and members
-that fail meet again where they share one more band, which parts those that only have a passage in common. A dense group
+outside its component meet again where they share one more band, which parts those that only have a passage in common. A dense group
 gives as many pairs as it has members. What is found is exact; two texts that never share a centre can be missed (the README
 has the recall).
 
@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bound_batches, cut, hash_sample, spread
+from .common import arrow_map, bound_batches, cut, hash_sample, spread, unsized
 
 SEED, RADIUS, SHINGLE = 42, 2, 3
 #: Fingerprints the partition tree is built from at most; mean fingerprints of a leaf; most of a block; most that visit at
@@ -352,7 +352,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
         near = labels.join(seen, labels["v"] == seen["a"]).select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         onward = labels.select(F.col("v").alias("w"), F.col("label").alias("next"))
-        new = cut(near.join(onward, near["label"] == onward["w"], "left").select("v", "old", F.least("label", "next").alias("label")))
+        new = unsized(near.join(onward, near["label"] == onward["w"], "left").select("v", "old", F.least("label", "next").alias("label")))
         labels, changed = new.select("v", "label"), new.where("old != label").limit(1).count()
         if not changed:
             return labels
@@ -379,29 +379,32 @@ def op4(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs.select("doc_id", "text"))
 
 
-def similar_links(sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """Edges (a long, b long) between fingerprints of texts of at least that similarity of shingle sets. sketches: fp, size,
-    bands (checkpointed); sets gives (fp, shingles binary: sorted unsigned 64-bit hashes) of a table of fp. There are at most
-    BANDS rounds."""
+def similar_links(sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], similarity: float, labels: DataFrame) -> DataFrame:
+    """Edges (a long, b long) between fingerprints of texts of at least that similarity of shingle sets, which with labels
+    connect what is found. sketches: fp, size, bands (checkpointed); sets gives (fp, shingles binary: sorted unsigned 64-bit
+    hashes) of a table of fp; labels (v, label): components known before. There are at most BANDS rounds. A bucket whose
+    members are all of one component goes no further, as links in it would join nothing. The centre of a bucket is the one of the
+    least hash with it, so that texts which share many buckets meet many centres."""
     spark = sketches.sparkSession
     bound_batches(spark)
-    left = sketches.select("fp", "size", F.posexplode("bands").alias("last", "value")).select("fp", "size", "last", F.xxhash64("last", "value").alias("bucket"))
+    named = sketches.join(labels, sketches["fp"] == labels["v"], "left").withColumn("label", F.coalesce("label", "fp"))
+    left = named.select("fp", "size", "label", F.posexplode("bands").alias("last", "value")).select("fp", "size", "label", "last", F.xxhash64("last", "value").alias("bucket"))
     edges, have = None, None
     while True:
-        centres = left.groupBy("bucket").agg(F.min(F.struct("fp", "size")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", F.col("c.fp").alias("centre"), F.col("c.size").alias("other"))
+        centres = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("fp", "bucket"), "fp", "size", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", F.col("c.fp").alias("centre"), F.col("c.size").alias("other"), F.col("c.label").alias("home"))
         met = cut(left.join(centres, "bucket").where("fp != centre"))
         if not met.limit(1).count():
             return edges if edges is not None else spark.createDataFrame([], "a long, b long")
         if have is None:
             have = cut(sets(met.select("fp").union(met.select("centre")).distinct()))
         fits = F.least("size", "other") >= F.lit(similarity) * F.greatest("size", "other")
-        pairs = cut(met.where(fits).select("centre", "fp").distinct())
+        pairs = cut(met.where(fits & (F.col("label") != F.col("home"))).select("centre", "fp", "home", "label").distinct())
         # up to FEW pairs go to the sets, so that sets are not shuffled again in each round; more are joined by a shuffle
         small = F.broadcast if pairs.count() <= FEW else (lambda df: df)
         salts = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts"))
         pairs = pairs.join(salts, "centre").withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).drop("salts")
         own = have.select(F.col("fp").alias("centre"), F.col("shingles").alias("theirs")).join(small(salts), "centre").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        both = have.join(small(pairs), "fp").join(own, ["centre", "salt"]).select("centre", "fp", "shingles", "theirs")
+        both = have.join(small(pairs), "fp").join(own, ["centre", "salt"]).select("centre", "fp", "home", "label", "shingles", "theirs")
 
         def verify(batches):
             for batch in batches:
@@ -411,14 +414,18 @@ def similar_links(sketches: DataFrame, sets: Callable[[DataFrame], DataFrame], s
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(common >= similarity * (len(x) + len(y) - common))
                 take = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column("centre").filter(take), batch.column("fp").filter(take)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(take) for c in ("centre", "fp", "home", "label")], names=["a", "b", "home", "label"])
 
-        found = cut(both.mapInArrow(verify, "a long, b long"))
-        edges = found if edges is None else edges.unionByName(found)
-        # linked members and centres are done in this bucket; the others meet again where they share a later band too
-        rest = met.join(found, (met["centre"] == found["a"]) & (met["fp"] == found["b"]), "left_anti").select("fp", "last", "bucket")
-        later = rest.join(sketches.select("fp", "size", F.posexplode("bands").alias("band", "value")), "fp").where("band > last")
-        left = cut(later.select("fp", "size", F.col("band").alias("last"), F.xxhash64("bucket", "band", "value").alias("bucket")))
+        found = cut(both.mapInArrow(verify, "a long, b long, home long, label long"))
+        edges = found.select("a", "b") if edges is None else edges.unionByName(found.select("a", "b"))
+        # centres and members of their component are done in this bucket; the others meet again where they share a later band too
+        joined = components(found.select(F.col("home").alias("a"), F.col("label").alias("b")))
+        of = lambda c: joined.select(F.col("v").alias(c), F.col("label").alias(f"_{c}"))
+        rest = met.join(of("label"), "label", "left").join(of("home"), "home", "left").withColumn("label", F.coalesce("_label", "label"))
+        rest = cut(rest.where(F.col("label") != F.coalesce("_home", "home")).select("fp", "label", "last", "bucket"))
+        mixed = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+        later = rest.join(mixed, "bucket", "left_semi").join(sketches.select("fp", "size", F.posexplode("bands").alias("band", "value")), "fp").where("band > last")
+        left = unsized(later.select("fp", "size", "label", F.col("band").alias("last"), F.xxhash64("bucket", "band", "value").alias("bucket")))
 
 
 def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", width: int = NEAR_WORDS, radius: int = RADIUS, similarity: float | None = NEAR) -> DataFrame:
@@ -453,7 +460,9 @@ def deduplicate(docs: DataFrame, *, text: str = "text", key: str = "doc_id", wid
                 texts = texts.join(of, "id", "left_semi").groupBy("id").agg(F.first("_text").alias("_text"))
             return arrow_map(texts.join(of, "id").select("fp", "_text"), setup, "shingles binary").select("fp", "shingles")
 
-        edges = edges.unionByName(similar_links(cut(distinct.select("fp", "first.size", "first.bands")), sets, similarity))
+        known = components(edges)
+        more = similar_links(cut(distinct.select("fp", "first.size", "first.bands")), sets, similarity, known)
+        edges = known.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more)
     labels = components(edges)
     labelled = distinct.join(labels, distinct["fp"] == labels["v"], "left").select(F.struct("first.no", "first._key", "first._hash").alias("first"), F.coalesce("label", "fp").alias("label"))
     stays = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.struct("first._key", "first._hash").alias("id"))
