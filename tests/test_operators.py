@@ -84,7 +84,7 @@ def test_whole_interval_tables_overlap(spark, tiny):
     right = segments.segment_causal(load(spark, tiny, "f1_event_bars")).toPandas()
     want = [r.segment_id for r in left.itertuples() if ((right.symbol == r.symbol) & (right.start <= r.end_ts) & (right.end >= r.start_ts)).any()]
     assert 0 < len(want) < len(left)
-    assert sorted(r.segment_id for r in QUERIES["interval_overlaps_whole"](spark, tiny).collect()) == sorted(want)
+    assert sorted(r.segment_id for r in QUERIES["interval_overlaps"](spark, tiny).collect()) == sorted(want)
 
 
 def test_normalize_reads_vendor_types(spark):
@@ -192,7 +192,7 @@ def test_soft_assignment_reads_whole_vectors(spark, tiny):
     assert x.shape[1] == 64
     lj = np.stack([np.log((p.label == n).mean()) - 0.5 * ((x - (g := x[(p.label == n).to_numpy()]).mean(0)) ** 2 / (s := g.var(0) + 1e-4) + np.log(2 * np.pi * s)).sum(1) for n in names], axis=1)
     e = np.exp(lj - lj.max(axis=1, keepdims=True))
-    got = QUERIES["gaussian_soft_assign_whole"](spark, tiny).toPandas().sort_values("vec_id")
+    got = QUERIES["gaussian_soft_assign"](spark, tiny).toPandas().sort_values("vec_id")
     assert got.candidate_label.tolist() == [names[k] for k in lj.argmax(axis=1)]
     assert np.allclose(got.max_probability, (e / e.sum(axis=1, keepdims=True)).max(axis=1), atol=1e-6)
 

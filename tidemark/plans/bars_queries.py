@@ -315,19 +315,9 @@ def suspension_tristate(spark, d):
     return asof.suspended(rows, covered.where(F.col("volume").cast("int") % 13 == 0), covered).select("symbol", "timestamp", "is_suspended")
 
 
-@query(
-    "interval_overlaps",
-    oracle("f3_fixed_segments", """
-SELECT l.segment_id FROM f3_fixed_segments l WHERE l.segment_no % 2 = 0 AND EXISTS (SELECT 1 FROM f3_fixed_segments r WHERE r.segment_no % 5 = 1 AND r.symbol = l.symbol AND r.start_ts <= l.end_ts AND r.end_ts >= l.start_ts)"""),
-)
+@query("interval_overlaps")
 def interval_overlaps(spark, d):
-    rows = load(spark, d, "f3_fixed_segments").withColumnsRenamed({"start_ts": "start", "end_ts": "end"}).select("segment_id", "symbol", "segment_no", "start", "end")
-    return asof.overlapping(rows.where("segment_no % 2 = 0"), rows.where("segment_no % 5 = 1")).select("segment_id")
-
-
-@query("interval_overlaps_whole")
-def interval_overlaps_whole(spark, d):
-    """All fixed segments against all causal ones of the same bars; interval_overlaps is held to its SQL, which takes parts."""
+    """All fixed segments against all causal ones of the same bars; held to brute force in the tests."""
     from ..operators.segments import segment_causal
 
     rows = load(spark, d, "f3_fixed_segments").withColumnsRenamed({"start_ts": "start", "end_ts": "end"}).select("segment_id", "symbol", "start", "end")

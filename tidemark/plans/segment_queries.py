@@ -451,26 +451,9 @@ def year_quotas(spark, d):
     return discovery.year_quotas(load(spark, d, "f2_ship_bars").withColumnRenamed("timestamp", "start"), 1000, 5)
 
 
-@query("gaussian_soft_assign", """
-WITH v AS (SELECT label, unnest(range(1, 9)) AS k, unnest(embedding[1:8]) AS x FROM embeddings), c AS (SELECT label, k, avg(CAST(x AS DOUBLE)) AS m, var_pop(CAST(x AS DOUBLE)) + 1e-4 AS s FROM v GROUP BY ALL), w AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
-r AS (SELECT vec_id, unnest(range(1, 9)) AS k, unnest(embedding[1:8]) AS x FROM embeddings),
-j AS (SELECT r.vec_id, c.label, ln(any_value(w.n) / CAST((SELECT count(*) FROM embeddings) AS DOUBLE)) - 0.5 * sum((CAST(x AS DOUBLE) - m) * (CAST(x AS DOUBLE) - m) / s + ln(2 * pi() * s)) AS lj FROM r JOIN c USING (k) JOIN w ON w.label = c.label GROUP BY ALL),
-q AS (SELECT vec_id, label, lj, exp(lj - max(lj) OVER (PARTITION BY vec_id)) AS e FROM j), p AS (SELECT vec_id, label, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM q)
-SELECT vec_id, CAST(arg_max(label, p) AS INT) AS candidate_label, round(max(p), 6) AS max_probability FROM p GROUP BY vec_id""")
+@query("gaussian_soft_assign")
 def gaussian_soft_assign(spark, d):
-    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(8)])
-    stats = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{k}").alias(f"m{k}") for k in range(8)], *[(F.var_pop(f"x{k}") + 1e-4).alias(f"s{k}") for k in range(8)])
-    total = F.sum("n").over(Window.partitionBy())
-    params = stats.withColumn("lw", F.ln(F.col("n") / total)).drop("n")  # a row a component
-    terms = [(F.col(f"x{k}") - F.col(f"m{k}")) * (F.col(f"x{k}") - F.col(f"m{k}")) / F.col(f"s{k}") + F.ln(F.lit(2.0) * F.pi() * F.col(f"s{k}")) for k in range(8)]
-    joint = rows.drop("label").crossJoin(F.broadcast(params)).select("vec_id", "label", (F.col("lw") - 0.5 * sum(terms[1:], terms[0])).alias("lj"))
-    best = joint.groupBy("vec_id").agg(F.max("lj").alias("top"), F.max_by("label", "lj").alias("candidate_label"), F.collect_list("lj").alias("ljs"))
-    return rounded(best.select("vec_id", "candidate_label", (1 / F.aggregate("ljs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))).alias("max_probability")))
-
-
-@query("gaussian_soft_assign_whole")
-def gaussian_soft_assign_whole(spark, d):
-    """Over all dimensions; gaussian_soft_assign is held to its SQL, which reads the first eight."""
+    """Over all dimensions; held to brute force in the tests."""
     return rounded(discovery.soft_assign(spark.read.parquet(f"{d}/embeddings.parquet")))
 
 
