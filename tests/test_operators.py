@@ -110,6 +110,32 @@ def test_asof_null_keys_and_ties(spark):
     assert get(True) == {(None, 5): None, ("k", 5): "before", ("k", 1): None}
 
 
+def test_announcements_as_by_brute_force(spark):
+    rng, day = np.random.default_rng(5), lambda k: dt.date(2020, 1, 1) + dt.timedelta(int(k))
+    noon = lambda k: dt.datetime.combine(day(k), dt.time(int(k) % 2 * 12))
+    times = {s: [noon(k) for k in sorted(rng.choice(120, 40, replace=False))] for s in "AB"} | {"C": [noon(3)]}
+    events = []
+    for order, s in enumerate(rng.choice(list("ABD"), 600)):
+        end = rng.integers(0, 130)
+        ann, f_ann = [None if rng.random() < 0.2 else day(end + rng.integers(-15, 20)) for _ in range(2)]
+        events.append((str(s), day(end), ann, f_ann, order, float(order)))
+    want = {}
+    for s, ts in times.items():
+        known = []
+        for symbol, end, ann, f_ann, order, roe in events:
+            at = max((x for x in (ann, f_ann) if x), default=None)
+            first = next((t for t in ts if at and symbol == s and t >= dt.datetime.combine(at, dt.time())), None)
+            if first and end <= first.date():
+                known.append((end, at, order, roe, first))
+        for t in ts:
+            want[s, t] = max((k[:4] for k in known if k[4] <= t), default=(None,) * 4)
+    df = spark.createDataFrame([(s, t) for s, ts in times.items() for t in ts], "symbol string, timestamp timestamp_ntz")
+    e = spark.createDataFrame(events, "symbol string, end_date date, ann_date date, f_ann_date date, source_order int, roe double")
+    got = {(r.symbol, r.timestamp): (r.report_period, r.effective_at and r.effective_at.date(), r.roe) for r in asof.align_announcements(df, e, ["roe"]).collect()}
+    assert got == {k: (v[0], v[1], v[3]) for k, v in want.items()} and len(got) == 81
+    assert sum(v[2] is not None for v in got.values()) > 60
+
+
 def test_unknown_suspension_is_not_false(spark):
     df = spark.createDataFrame([(10.0, 11.0, 9.0, 5.0, 12.0, 8.0, None), (10.0, 11.0, 9.0, 5.0, 12.0, 8.0, False), (12.0, 12.0, 12.0, 5.0, 12.0, 8.0, False)], "close double, high double, low double, volume double, up_limit double, down_limit double, is_suspended boolean")
     assert [(r.tradability_known, r.tradability_eligible) for r in asof.tradability(df).collect()] == [(False, False), (True, True), (True, False)]

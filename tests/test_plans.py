@@ -19,3 +19,10 @@ def test_no_pairs_of_rows(name, spark, tiny):
     assert "CartesianProduct" not in plan
     for inner in re.findall(r"BroadcastNestedLoopJoin[^\n]*\n(.*?)(?=\n\S|\Z)", plan, re.S):
         assert re.search(r"Aggregate\(key(s)?=\[\]|Range|LocalTableScan", inner), name
+
+
+def test_announcements_read_no_frame_to_the_end(spark, tiny):
+    """A frame from a row to the end of its symbol is read again for each row: the square of a symbol's events."""
+    plan = QUERIES["announcement_alignment"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedpreceding$(), currentrow$()" in plan
+    assert "unboundedfollowing$()" not in plan

@@ -49,8 +49,9 @@ def align_announcements(bars: DataFrame, events: DataFrame, take: list[str], *,
     l = bars.select(*bars.columns, F.col("timestamp").alias("_t"), F.lit(1).alias("_side"), F.lit(True).alias("_row"))
     r = e.select("symbol", F.col("effective_at").alias("_t"), F.lit(0).alias("_side"), v.alias("_v"))
     both = l.unionByName(r, allowMissingColumns=True)
-    ahead = Window.partitionBy("symbol").orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    first_bar = F.first(F.when(F.col("_row"), F.col("_t")), ignorenulls=True).over(ahead)
+    # backwards in time: a running last value, where a frame up to the end would be read again for each row
+    back = Window.partitionBy("symbol").orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    first_bar = F.last(F.when(F.col("_row"), F.col("_t")), ignorenulls=True).over(back)
     both = both.withColumn("_v", F.when(F.col("_v.period") <= F.to_date(first_bar), F.col("_v")))
     w = Window.partitionBy("symbol").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("_v", F.max("_v").over(w)).where("_row")
